@@ -6,10 +6,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, WHITE, cut, doc_bytes, map_batches, read, signed, window_hashes, word_hashes
+from .common import LOWER, SPACED, WHITE, cut, doc_bytes, map_batches, read, window_hashes, word_hashes
 
 _SYMBOLS = b"#*$%&|<>"
 _NOT_A_POINT = WHITE + bytes(range(0x80, 0xC0))
@@ -38,8 +39,7 @@ def line_hashes(raw: bytes) -> tuple[list[int], list[int]]:
         words = line.translate(LOWER).split()
         if words:
             found[_DIGITS.sub(b"0", b" ".join(words))] += len(words)
-    hashes = [int(signed(window_hashes(word_hashes(line), line.count(b" ") + 1))[0]) for line in found]
-    return hashes, list(found.values())
+    return [xxhash.xxh3_64_intdigest(line) - (1 << 63) for line in found], list(found.values())
 
 
 def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, line_docs: int = 10, line_share: float = 0.01, min_left_share: float = 0.3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
