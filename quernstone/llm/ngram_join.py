@@ -50,8 +50,8 @@ class Rule:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """One hashed bit for each shingle, in a power of two of bits, at least as many."""
-    width = max(64, 1 << (len(hashes) - 1).bit_length())
+    """One hashed bit for each shingle, in a power of two of bits, at least twice as many."""
+    width = max(64, 2 << (len(hashes) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(hashes & U64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -63,11 +63,10 @@ def folded(raw: bytes, width: int) -> np.ndarray:
     return np.bitwise_or.reduce(words.reshape(-1, width), axis=0) if len(words) > width else words
 
 
-def possible(percent: int, n: int, bits: np.ndarray, m: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """For a set of n shingles and each of the others of m: a bit that only one side
+def most_shared(n: int, bits: np.ndarray, m: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Of a set of n shingles and each of the others of m: a bit that only one side
     has stands for a shingle that the other lacks, which bounds the overlap from above."""
-    most = np.minimum(n - np.bitwise_count(bits & ~others).sum(axis=1), m - np.bitwise_count(others & ~bits).sum(axis=1)).astype(np.int64)
-    return 100 * most >= percent * (n + m - most)
+    return np.minimum(n - np.bitwise_count(bits & ~others).sum(axis=1), m - np.bitwise_count(others & ~bits).sum(axis=1)).astype(np.int64)
 
 
 def _sketch(docs: DataFrame, rule: Rule, hot: np.ndarray | None = None) -> DataFrame:
@@ -93,17 +92,18 @@ def _sketch(docs: DataFrame, rule: Rule, hot: np.ndarray | None = None) -> DataF
     return map_batches(docs, rows, "doc_id long, n int, digest binary, bits binary, keys array<long>")
 
 
-def _bounded_filter(df: DataFrame, ids: DataFrame, column: str = "doc_id", log_bits: int = 22) -> DataFrame:
-    """Rows of df whose id may be among ids, before any shuffle: ids leave one bit
-    each in a table of 2**log_bits bits at most, so the broadcast has a fixed bound."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << log_bits))
-    table = ids.select(bit(F.col(column)).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(31).cast("int"))).alias("mask"))
-    marked = df.withColumn("_bit", bit(F.col(column)))
-    return marked.join(F.broadcast(table), (F.shiftright("_bit", 5) == table["word"]) & (F.call_function("bit_get", table["mask"], F.col("_bit").bitwiseAND(31).cast("int")) == 1), "left_semi").drop("_bit")
+def _split(df: DataFrame, ids: DataFrame, log_bits: int = 22) -> tuple[DataFrame, DataFrame]:
+    """(rows whose doc_id may be among ids, the others), before any shuffle: ids leave
+    one bit each in a table of 2**log_bits bits at most, so the broadcast has a fixed bound."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << log_bits)).cast("int")
+    table = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, bit & 31))").alias("_mask"))
+    marked = df.withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 5)).join(F.broadcast(table), "_word", "left")
+    maybe = F.expr("coalesce(bit_get(_mask, _bit & 31) = 1, false)")
+    return tuple(marked.filter(x).select(*df.columns) for x in (maybe, ~maybe))
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return _bounded_filter(docs, ids).join(ids, "doc_id", "left_semi")
+    return _split(docs, ids)[0].join(ids, "doc_id", "left_semi")
 
 
 def _keyed(sets: DataFrame, rule: Rule) -> DataFrame:
@@ -129,15 +129,18 @@ def _keyed(sets: DataFrame, rule: Rule) -> DataFrame:
 
 def _pairs_bounded(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that their bitmaps leave possible."""
+    pairs = cut(pairs)
     side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
 
     def rows(a, b, n, bits, m, others):
         keep = []
         for i in range(len(a)):
             width = min(len(bits[i]), len(others[i])) // 8
-            keep.append(bool(possible(rule.percent, n[i], folded(bits[i], width), np.array([m[i]]), folded(others[i], width)[None])[0]))
+            most = int(most_shared(n[i], folded(bits[i], width), np.array([m[i]]), folded(others[i], width)[None])[0])
+            keep.append(100 * most >= rule.percent * (n[i] + m[i] - most))
         return {"a": [x for x, k in zip(a, keep, strict=True) if k], "b": [x for x, k in zip(b, keep, strict=True) if k]}
 
+    sets = _split(sets, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))[0]
     wide = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
     return map_batches(wide, rows, "a long, b long")
 
@@ -156,57 +159,104 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     return cut(map_batches(wide, rows, "a long, b long"))
 
 
-def _tile_pairs(keyed: DataFrame, sets: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of one key that no link joins yet and that bitmaps leave possible.
+def _hot_keys(sets: DataFrame, rule: Rule) -> np.ndarray | None:
+    """The most frequent keys, sorted: of those that a task holds eight times or more."""
+
+    def often(batches):
+        found = [b.column(0).combine_chunks().flatten().to_numpy() if isinstance(b.column(0), pa.ChunkedArray) else b.column(0).flatten().to_numpy() for b in batches if b.num_rows]
+        if found:
+            keys, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"key": keys[n >= 8], "n": n[n >= 8]})
+
+    rows = sets.select("keys").mapInArrow(often, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > rule.hot_rows)
+    keys = rows.orderBy(F.col("n").desc(), "key").limit(rule.hot_keys).toPandas()["key"].to_numpy(np.int64)
+    return np.sort(keys.view(U64)) if len(keys) else None
+
 
-    Rows of a key are dealt into tiles of one size band and the next above; a band of
-    many rows is dealt into blocks, each pair of which is a tile, so no tile exceeds a
-    few times rule.tile_rows rows. Only keys that two components share come here.
+def _neighbours(keyed: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs to look at first: of each key, sets next to each other by size, and all
+    with the set that most others share keys with (often the one the rest are copied from)."""
+    of_key = Window.partitionBy("key")
+    near = of_key.orderBy("n", "doc_id")
+    fame = keyed.withColumn("g", F.count("*").over(of_key)).groupBy("doc_id").agg(F.sum("g").alias("fame"))
+    sides = keyed.join(fame, "doc_id").select("doc_id", "n", F.lag(F.struct("doc_id", "n")).over(near).alias("before"), F.max(F.struct("fame", "doc_id", "n")).over(of_key).alias("best"))
+    pairs = sides.select("doc_id", "n", F.explode(F.array("before", F.struct("best.doc_id", "best.n"))).alias("x")).filter("x is not null").select("doc_id", "n", F.col("x.doc_id").alias("other"), F.col("x.n").alias("m"))
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * rule.percent
+    return pairs.filter(fits & (F.col("doc_id") != F.col("other"))).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+
+
+def _tiles(keyed: DataFrame, sets: DataFrame, labels: DataFrame, rule: Rule, best: int | None, once: bool) -> DataFrame:
+    """key, a, b: pairs under a key that no link joins yet and bitmaps leave possible.
+
+    A key of at most rule.tile_rows rows is a tile; the rows of one with more are dealt
+    into tiles of one size band and the next above, and a band of many rows into blocks,
+    each pair of which is a tile. With best, a set names only so many larger ones, those
+    with the highest bound; rows (key, doc_id, null) then say which had more. With once,
+    a pair counts under the least key that both share only (a round before has either
+    checked it there or named both rows).
     """
+    keys_too = F.col("keys") if once else F.lit(None).cast("array<long>").alias("keys")
     labelled = keyed.join(labels, keyed["doc_id"] == labels["node"], "left").select("key", "n", "doc_id", "first", F.coalesce("component", "doc_id").alias("component"))
-    open_keys = labelled.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).filter("rows > 2 and low < high").select("key")
-    left = labelled.join(open_keys, "key", "left_semi").withColumn("band", rule.band(F.col("n")))
-    bits = sets.select("doc_id", "bits")
-    blocks = left.groupBy("key", "band").agg(F.ceil(F.count("*") / rule.tile_rows).cast("int").alias("blocks"))
-    dealt = left.join(blocks, ["key", "band"]).join(bits, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    keys = labelled.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "rows")
+    left = labelled.join(keys, "key").join(_split(sets.select("doc_id", "bits", keys_too), keyed.select("doc_id"))[0], "doc_id").withColumn("band", rule.band(F.col("n")))
+    small = left.filter(F.col("rows") <= rule.tile_rows).withColumns({"tile": F.lit(-1), "i": F.lit(0), "j": F.lit(0), "upper": F.lit(0), "block": F.lit(0)})
+    large = left.filter(F.col("rows") > rule.tile_rows)
+    blocks = large.groupBy("key", "band").agg(F.ceil(F.count("*") / rule.tile_rows).cast("int").alias("blocks"))
+    dealt = large.join(blocks, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     own = dealt.select("*", F.col("band").alias("tile"), F.lit(0).alias("upper"), F.explode(F.expr("transform(sequence(0, blocks - 1), i -> struct(least(i, block) as i, greatest(i, block) as j))")).alias("ij"))
-    below = blocks.select("key", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_below"))
-    lower = blocks.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_above"))
-    # a row of band b meets rows of band b - 1 in the tiles (block there, own block + 10**6), one of each pair of blocks
-    meets_below = dealt.join(below, ["key", "band"]).select(*dealt.columns, (F.col("band") - 1).alias("tile"), F.lit(1).alias("upper"), F.explode(F.expr("transform(sequence(0, blocks_below - 1), i -> struct(i, block + 1000000 as j))")).alias("ij"))
-    meets_above = dealt.join(lower, ["key", "band"]).select(*dealt.columns, F.col("band").alias("tile"), F.lit(0).alias("upper"), F.explode(F.expr("transform(sequence(0, blocks_above - 1), i -> struct(block as i, i + 1000000 as j))")).alias("ij"))
-    rows = own.unionByName(meets_below).unionByName(meets_above).select("key", "tile", F.col("ij.i").cast("long").alias("i"), F.col("ij.j").cast("long").alias("j"), "n", "doc_id", "first", "component", "upper", "block", "bits")
+    # a band's rows meet those of the band below in the tiles (block there, own block + 1000000)
+    below = dealt.join(blocks.select("key", (F.col("band") + 1).alias("band"), F.col("blocks").alias("others")), ["key", "band"])
+    below = below.select(*dealt.columns, (F.col("band") - 1).alias("tile"), F.lit(1).alias("upper"), F.explode(F.expr("transform(sequence(0, others - 1), i -> struct(i, block + 1000000 as j))")).alias("ij"))
+    above = dealt.join(blocks.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("others")), ["key", "band"])
+    above = above.select(*dealt.columns, F.col("band").alias("tile"), F.lit(0).alias("upper"), F.explode(F.expr("transform(sequence(0, others - 1), i -> struct(block as i, i + 1000000 as j))")).alias("ij"))
+    names = ["key", "tile", "i", "j", "n", "doc_id", "first", "component", "upper", "block", "bits", "keys"]
+    rows = own.unionByName(below).unionByName(above).withColumns({"i": F.col("ij.i"), "j": F.col("ij.j")}).select(*names).unionByName(small.select(*names))
 
     def pairs(batches):
         for t in runs(batches, 4):
-            t = t.sort_by([("n", "ascending"), ("doc_id", "ascending")])
-            n, ids, first, part, upper, block = (t.column(c).to_numpy() for c in ("n", "doc_id", "first", "component", "upper", "block"))
-            if len(ids) < 2 or (part == part[0]).all():
-                continue
-            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            raws = t.column("bits").to_pylist()
-            width = min(map(len, raws)) // 8
-            bits = np.stack([folded(r, width) for r in raws])
-            a, b = [], []
-            for x in range(len(ids) - 1):
-                if not first[x]:
-                    continue  # of a pair the smaller set has the key within its index prefix
-                top = np.searchsorted(n, 100 * int(n[x]) // rule.percent, "right")
-                y = np.arange(x + 1, max(top, x + 1))
-                y = y[part[y] != part[x]]
-                if j >= 1_000_000:
-                    y = y[upper[y] != upper[x]]
-                elif i != j:
-                    y = y[block[y] != block[x]]
-                if len(y):
-                    y = y[possible(rule.percent, int(n[x]), bits[x], n[y].astype(np.int64), bits[y])]
-                    a += [ids[x]] * len(y)
-                    b += ids[y].tolist()
-            if a:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    sorted_rows = rows.repartition("key", "tile", "i", "j").sortWithinPartitions("key", "tile", "i", "j")
-    return sorted_rows.mapInArrow(pairs, "a long, b long").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            found = _possible_pairs(t, rule, best)
+            if found and found["a"]:
+                yield pa.RecordBatch.from_pydict(found | {"key": [t.column("key")[0].as_py()] * len(found["a"])}, schema=pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]))
+
+    return cut(rows.repartition("key", "tile", "i", "j").sortWithinPartitions("key", "tile", "i", "j").mapInArrow(pairs, "key long, a long, b long"))
+
+
+def _possible_pairs(t: pa.Table, rule: Rule, best: int | None) -> dict[str, list] | None:
+    t = t.sort_by([("n", "ascending"), ("doc_id", "ascending")])
+    n, ids, first, part, upper, block = (t.column(c).to_numpy() for c in ("n", "doc_id", "first", "component", "upper", "block"))
+    if (part == part[0]).all():
+        return None
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    raws = t.column("bits").to_pylist()
+    width = min(map(len, raws)) // 8
+    bits = np.stack([folded(r, width) for r in raws])
+    keys = [None if k is None else np.array(k, np.int64) for k in t.column("keys").to_pylist()]
+    key = t.column("key")[0].as_py()
+    wide = n.astype(np.int64)
+    a, b, more = [], [], set()
+    for x in np.flatnonzero(first[:-1]):  # of a pair the smaller set has the key within its index prefix
+        y = np.arange(x + 1, max(x + 1, np.searchsorted(n, 100 * int(n[x]) // rule.percent, "right")))
+        y = y[part[y] != part[x]]
+        if j >= 1_000_000:
+            y = y[upper[y] != upper[x]]
+        elif i != j:
+            y = y[block[y] != block[x]]
+        if not len(y):
+            continue
+        most = most_shared(int(n[x]), bits[x], wide[y], bits[y])
+        union = n[x] + wide[y] - most
+        can = 100 * most >= rule.percent * union
+        y, share = y[can], (most / union)[can]
+        if keys[x] is not None and len(y):
+            own = keys[x][: rule.index(int(n[x]))]
+            here = np.array([np.intersect1d(own, keys[k]).min() == key for k in y])
+            y, share = y[here], share[here]
+        if best is not None and len(y) > best:
+            more.update([int(ids[x]), *ids[y].tolist()])
+            y = y[np.argsort(-share, kind="stable")[:best]]
+        a += [int(ids[x])] * len(y)
+        b += ids[y].tolist()
+    return {"a": a + sorted(more), "b": b + [None] * len(more)}
 
 
 def join_ngrams(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -222,37 +272,41 @@ def join_ngrams(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id
     Equal sets are one class from the start (aggregation by digest), so copies are
     never paired. Of the classes, prefixes of the sets make the candidate keys; the most
     frequent keys (a list of fixed bound) come last in the order, so common passages
-    stay out of the prefixes. First, sets next to each other by size under a key are
-    checked and joined to components; then only sets of different components meet in
-    size-banded tiles, where bitmaps bound the overlap before the exact intersection.
+    stay out of the prefixes. First, sets next to each other by size under a key, and
+    each with the one that most share keys with, are checked and joined to components;
+    then only sets of different components meet in size-banded tiles, where bitmaps
+    bound the overlap before the exact intersection: twice the best few of each set,
+    which joins most of a group of near copies, then all that are still apart.
     """
     docs = doc_bytes(docs, text=text, doc_id=doc_id).withColumn("doc_id", F.col("doc_id").cast("long"))
     known = docs.filter(F.col("doc_id").isNotNull())
     all_sets = cut(_sketch(docs, rule))
     sets = all_sets.filter("n > 0 and doc_id is not null")
     classes = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    of_class = sets.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-
-    hot_rows = of_class.select(F.explode("keys").alias("key")).groupBy("key").count().filter(F.col("count") > rule.hot_rows).orderBy(F.col("count").desc(), "key").limit(rule.hot_keys).toPandas()
-    if len(hot_rows):
-        hot = np.sort(hot_rows["key"].to_numpy(np.int64).view(U64))
-        keys = set(signed(hot).tolist())
-        touched = map_batches(of_class.select("doc_id", "keys"), lambda ids, ks: {"doc_id": [i for i, k in zip(ids, ks, strict=True) if not keys.isdisjoint(k)]}, "doc_id long").distinct()
-        touched = cut(touched)
-        again = _sketch(_texts_of(known, touched), rule, hot)
-        of_class = cut(of_class.join(touched, "doc_id", "left_anti").unionByName(again))
+    copies = cut(sets.select("doc_id", "digest").join(classes.filter("copies > 1"), "digest").filter("doc_id != rep").select("doc_id", "digest"))
+    maybe, unique = _split(sets, copies)
+    of_class = unique.unionByName(maybe.join(copies, ["doc_id", "digest"], "left_anti").select(*sets.columns))
+
+    hot = _hot_keys(of_class, rule)
+    if hot is not None:
+        late = set(signed(hot).tolist())
+        touched = cut(map_batches(of_class.select("doc_id", "keys"), lambda ids, ks: {"doc_id": [i for i, k in zip(ids, ks, strict=True) if not late.isdisjoint(k)]}, "doc_id long").distinct())
+        maybe, others = _split(of_class, touched)
+        of_class = cut(others.unionByName(maybe.join(touched, "doc_id", "left_anti").select(*sets.columns)).unionByName(_sketch(_texts_of(known, touched), rule, hot)))
     keyed = cut(_keyed(of_class, rule))
-    bits = of_class.select("doc_id", "n", "bits").dropDuplicates(["doc_id"])
+    bits = of_class.select("doc_id", "n", "bits", "keys").dropDuplicates(["doc_id"])
 
-    # sets next to each other by size under a key, where the sizes allow a link
-    near = Window.partitionBy("key").orderBy("n", "doc_id")
-    chain = keyed.select("doc_id", "n", F.lag("doc_id").over(near).alias("other"), F.lag("n").over(near).alias("m")).filter(F.col("m") * 100 >= F.col("n") * rule.percent).filter("doc_id != other")
-    chain = chain.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-    found = _verified(_pairs_bounded(chain, bits, rule), known, rule)
+    found = _verified(_pairs_bounded(_neighbours(keyed, rule), bits, rule), known, rule)
     labels = cut(components(found))
-    rest = _verified(_tile_pairs(keyed, bits, labels, rule), known, rule)
-    if rest.take(1):
-        labels = cut(components(found.union(rest)))
+    for best, once in ((2, False), (2, True), (None, True)):
+        tiles = _tiles(keyed, bits, labels, rule, best, once)
+        new = _verified(tiles.filter("b is not null and a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), known, rule)
+        if new.take(1):
+            found = found.unionByName(new)
+            labels = cut(components(found))
+        keyed = cut(keyed.join(tiles.filter("b is null").select("key", F.col("a").alias("doc_id")).distinct(), ["key", "doc_id"], "left_semi").select(*keyed.columns))
+        if not keyed.take(1):
+            break
 
     linked = classes.join(labels, classes["rep"] == labels["node"], "left").filter("copies > 1 or component is not null").select("digest", F.coalesce("component", "rep").alias("component"))
     return (
