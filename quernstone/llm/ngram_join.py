@@ -197,7 +197,7 @@ def _tiles(keyed: DataFrame, sets: DataFrame, labels: DataFrame, rule: Rule, bes
     """
     keys_too = F.col("keys") if once else F.lit(None).cast("array<long>").alias("keys")
     labelled = keyed.join(labels, keyed["doc_id"] == labels["node"], "left").select("key", "n", "doc_id", "first", F.coalesce("component", "doc_id").alias("component"))
-    keys = labelled.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "rows")
+    keys = labelled.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).filter(f"low < high and rows > {1 if once else 2}").select("key", "rows")  # two alone have been compared as neighbours
     left = labelled.join(keys, "key").join(_split(sets.select("doc_id", "bits", keys_too), keyed.select("doc_id"))[0], "doc_id").withColumn("band", rule.band(F.col("n")))
     small = left.filter(F.col("rows") <= rule.tile_rows).withColumns({"tile": F.lit(-1), "i": F.lit(0), "j": F.lit(0), "upper": F.lit(0), "block": F.lit(0)})
     large = left.filter(F.col("rows") > rule.tile_rows)
@@ -275,8 +275,8 @@ def join_ngrams(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id
     stay out of the prefixes. First, sets next to each other by size under a key, and
     each with the one that most share keys with, are checked and joined to components;
     then only sets of different components meet in size-banded tiles, where bitmaps
-    bound the overlap before the exact intersection: twice the best few of each set,
-    which joins most of a group of near copies, then all that are still apart.
+    bound the overlap before the exact intersection: the best few of each set, which
+    joins most of a group of near copies, then all that are still apart.
     """
     docs = doc_bytes(docs, text=text, doc_id=doc_id).withColumn("doc_id", F.col("doc_id").cast("long"))
     known = docs.filter(F.col("doc_id").isNotNull())
@@ -292,13 +292,13 @@ def join_ngrams(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id
         late = set(signed(hot).tolist())
         touched = cut(map_batches(of_class.select("doc_id", "keys"), lambda ids, ks: {"doc_id": [i for i, k in zip(ids, ks, strict=True) if not late.isdisjoint(k)]}, "doc_id long").distinct())
         maybe, others = _split(of_class, touched)
-        of_class = cut(others.unionByName(maybe.join(touched, "doc_id", "left_anti").select(*sets.columns)).unionByName(_sketch(_texts_of(known, touched), rule, hot)))
+        of_class = others.unionByName(maybe.join(touched, "doc_id", "left_anti").select(*sets.columns)).unionByName(cut(_sketch(_texts_of(known, touched), rule, hot)))
     keyed = cut(_keyed(of_class, rule))
     bits = of_class.select("doc_id", "n", "bits", "keys").dropDuplicates(["doc_id"])
 
     found = _verified(_pairs_bounded(_neighbours(keyed, rule), bits, rule), known, rule)
     labels = cut(components(found))
-    for best, once in ((2, False), (2, True), (None, True)):
+    for best, once in ((2, False), (None, True)):
         tiles = _tiles(keyed, bits, labels, rule, best, once)
         new = _verified(tiles.filter("b is not null and a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), known, rule)
         if new.take(1):

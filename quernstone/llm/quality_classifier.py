@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, cut, doc_bytes, map_batches, read
 
 SLOTS = 1 << 16
+#: Labelled rows that the document classifier learns from, at most.
+SAMPLE_ROWS = 20_000
 #: A document's evidence is its mean log odds a feature, times this many features at most.
 FEATURES = 20.0
 MEMO = 300_000
@@ -40,12 +42,14 @@ def slot_counts(raw: bytes | None) -> np.ndarray:
     return np.array([features(w) for w in (raw or b"").split()], np.int64).reshape(-1)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarray:
-    """Log odds of good against bad for each slot, from all labelled documents: each
-    task adds up its own counts (2 x SLOTS numbers), their sums are grouped by slot."""
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
+    """Log odds of good against bad for each slot, from at most sample_rows labels (those
+    of least hash, so that their broadcast has a fixed bound): each task adds up its own
+    counts (2 x SLOTS numbers), their sums are grouped by slot."""
     kind = dict(docs.dtypes)["doc_id"]
-    marked = labels.select("doc_id", F.col(label).cast("int").alias("good")).filter("good is not null and doc_id is not null").dropDuplicates(["doc_id"])
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("raw")).filter(F.col("doc_id").isNotNull()).join(marked.withColumn("doc_id", F.col("doc_id").cast(kind)), "doc_id").select("raw", "good")
+    marked = labels.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col(label).cast("int").alias("good")).filter("good is not null and doc_id is not null").dropDuplicates(["doc_id"])
+    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("raw")).filter(F.col("doc_id").isNotNull()).join(F.broadcast(marked), "doc_id").select("raw", "good")
 
     def count(batches):
         sums = np.zeros((2, SLOTS), np.int64)
