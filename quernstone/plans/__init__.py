@@ -1,0 +1,21 @@
+"""What a plan must show: pushed filters, pruned columns, no unwanted operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def plan(df: DataFrame) -> str:
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def reads_only(df: DataFrame, columns: set[str]) -> bool:
+    """Whether every scan reads no other columns."""
+    import re
+
+    found = {c.split(":")[0] for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan(df)) for c in schema.split(",") if c}
+    return found <= columns
+
+
+def pushes(df: DataFrame, predicate: str) -> bool:
+    return any(predicate in line for line in plan(df).splitlines() if "PushedFilters" in line)
