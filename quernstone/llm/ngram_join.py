@@ -49,9 +49,9 @@ class Rule:
         return F.floor(F.log(n.cast("double")) / math.log(100 / self.percent) + 1e-9).cast("int")
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """One hashed bit for each shingle, in a power of two of bits, at least twice as many."""
-    width = max(64, 2 << (len(hashes) - 1).bit_length())
+def bitmap(hashes: np.ndarray, times: int = 2) -> bytes:
+    """One hashed bit for each shingle, in a power of two of bits, at least times as many."""
+    width = max(64, times << (len(hashes) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(hashes & U64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -129,7 +129,6 @@ def _keyed(sets: DataFrame, rule: Rule) -> DataFrame:
 
 def _pairs_bounded(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that their bitmaps leave possible."""
-    pairs = cut(pairs)
     side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
 
     def rows(a, b, n, bits, m, others):
@@ -140,7 +139,6 @@ def _pairs_bounded(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             keep.append(100 * most >= rule.percent * (n[i] + m[i] - most))
         return {"a": [x for x, k in zip(a, keep, strict=True) if k], "b": [x for x, k in zip(b, keep, strict=True) if k]}
 
-    sets = _split(sets, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))[0]
     wide = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
     return map_batches(wide, rows, "a long, b long")
 
@@ -296,7 +294,7 @@ def join_ngrams(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id
     keyed = cut(_keyed(of_class, rule))
     bits = of_class.select("doc_id", "n", "bits", "keys").dropDuplicates(["doc_id"])
 
-    found = _verified(_pairs_bounded(_neighbours(keyed, rule), bits, rule), known, rule)
+    found = _verified(_pairs_bounded(cut(_neighbours(keyed, rule)), bits, rule), known, rule)
     labels = cut(components(found))
     for best, once in ((2, False), (None, True)):
         tiles = _tiles(keyed, bits, labels, rule, best, once)
