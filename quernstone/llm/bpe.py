@@ -20,7 +20,7 @@ import regex
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Pretokens that a task process remembers before it starts anew.
-MEMO = 700_000
+MEMO = 300_000
 
 _PIECES = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Below this code point all character classes agree (tests/llm holds them against each other).

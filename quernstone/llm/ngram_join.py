@@ -92,7 +92,7 @@ def _sketch(docs: DataFrame, rule: Rule, hot: np.ndarray | None = None) -> DataF
     return map_batches(docs, rows, "doc_id long, n int, digest binary, bits binary, keys array<long>")
 
 
-def _split(df: DataFrame, ids: DataFrame, log_bits: int = 22) -> tuple[DataFrame, DataFrame]:
+def _split(df: DataFrame, ids: DataFrame, log_bits: int = 20) -> tuple[DataFrame, DataFrame]:
     """(rows whose doc_id may be among ids, the others), before any shuffle: ids leave
     one bit each in a table of 2**log_bits bits at most, so the broadcast has a fixed bound."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << log_bits)).cast("int")
@@ -290,7 +290,8 @@ def join_ngrams(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id
         late = set(signed(hot).tolist())
         touched = cut(map_batches(of_class.select("doc_id", "keys"), lambda ids, ks: {"doc_id": [i for i, k in zip(ids, ks, strict=True) if not late.isdisjoint(k)]}, "doc_id long").distinct())
         maybe, others = _split(of_class, touched)
-        of_class = others.unionByName(maybe.join(touched, "doc_id", "left_anti").select(*sets.columns)).unionByName(cut(_sketch(_texts_of(known, touched), rule, hot)))
+        of_class = others.unionByName(maybe.join(touched, "doc_id", "left_anti").select(*sets.columns)).unionByName(_sketch(_texts_of(known, touched), rule, hot))
+    of_class = cut(of_class)
     keyed = cut(_keyed(of_class, rule))
     bits = of_class.select("doc_id", "n", "bits", "keys").dropDuplicates(["doc_id"])
 
