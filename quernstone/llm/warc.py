@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, shared_folder
 from .runs import runs
 
 MIN_REVISIT_BYTES = 1_000
@@ -181,14 +181,8 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
     return places.mapInArrow(fetch, _RECORD)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir."""
-    cut(spark.range(0))  # sets a folder where none is named
-    return f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
-
-
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_folder(spark)
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     return read_archives(write_archives(read(spark, sf_dir, "pages"), folder), folder)
 
 
