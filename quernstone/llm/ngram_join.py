@@ -63,6 +63,13 @@ def folded(raw: bytes, width: int) -> np.ndarray:
     return np.bitwise_or.reduce(words.reshape(-1, width), axis=0) if len(words) > width else words
 
 
+def coarse(raw: bytes) -> bytes | None:
+    """The bitmap for tiles, where a long set comes once for each of many keys: a wide one
+    folded four times, to 2048 bits at least, so that widths still rise with the size;
+    null for one that goes as it is."""
+    return None if len(raw) <= 256 else folded(raw, max(len(raw) // 4, 256) // 8).tobytes()
+
+
 def most_shared(n: int, bits: np.ndarray, m: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Of a set of n shingles and each of the others of m: a bit that only one side
     has stands for a shingle that the other lacks, which bounds the overlap from above."""
@@ -70,12 +77,12 @@ def most_shared(n: int, bits: np.ndarray, m: np.ndarray, others: np.ndarray) ->
 
 
 def _sketch(docs: DataFrame, rule: Rule, hot: np.ndarray | None = None) -> DataFrame:
-    """doc_id, n, digest of the set, bits, keys: the probe prefix in the order of
-    (hot, hash). hot: a sorted array of at most rule.hot_keys hashes."""
+    """doc_id, n, digest of the set, bits, coarse bits, keys: the probe prefix in the
+    order of (hot, hash). hot: a sorted array of at most rule.hot_keys hashes."""
     shared = docs.sparkSession.sparkContext.broadcast(hot) if hot is not None else None
 
     def rows(ids, raws, *_):
-        out: dict[str, list] = {"doc_id": ids, "n": [], "digest": [], "bits": [], "keys": []}
+        out: dict[str, list] = {"doc_id": ids, "n": [], "digest": [], "bits": [], "coarse": [], "keys": []}
         for raw in raws:
             s = rule.shingles(raw)
             keys = s
@@ -86,10 +93,11 @@ def _sketch(docs: DataFrame, rule: Rule, hot: np.ndarray | None = None) -> DataF
             out["n"].append(len(s))
             out["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             out["bits"].append(bitmap(s) if len(s) else b"")
+            out["coarse"].append(coarse(out["bits"][-1]))
             out["keys"].append(signed(keys[: rule.probe(len(s))]) if len(s) else [])
         return out
 
-    return map_batches(docs, rows, "doc_id long, n int, digest binary, bits binary, keys array<long>")
+    return map_batches(docs, rows, "doc_id long, n int, digest binary, bits binary, coarse binary, keys array<long>")
 
 
 def _split(df: DataFrame, ids: DataFrame, log_bits: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -107,24 +115,16 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _keyed(sets: DataFrame, rule: Rule) -> DataFrame:
-    """key, n, doc_id, first (the key is within index(n)), of keys that two rows have."""
+    """key, n, doc_id, first (the key is within index(n)), of rows that can have a
+    partner under the key: in the order of (n, doc_id) the smaller of a pair is first and the
+    larger at most 100 / percent times as large."""
     index = F.expr(f"n - (2 * {rule.percent} * n + {99 + rule.percent}) div {100 + rule.percent} + 1")
     rows = sets.select(F.posexplode("keys").alias("at", "key"), "n", "doc_id", index.alias("index")).select("key", "n", "doc_id", (F.col("at") < F.col("index")).alias("first"))
-
-    def shared(batches):
-        last = None  # of the batch before: its last row, and whether it has gone out
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = b.column(0).to_numpy()
-            again = np.concatenate([[last is not None and last[0].column(0)[0].as_py() == key[0]], key[1:] == key[:-1]])
-            if again[0] and not last[1]:
-                yield last[0]
-            keep = again | np.concatenate([again[1:], [False]])
-            yield b.filter(pa.array(keep))
-            last = (b.slice(b.num_rows - 1), bool(keep[-1]))
-
-    return rows.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(shared, "key long, n int, doc_id long, first boolean")
+    by_size = Window.partitionBy("key").orderBy("n", "doc_id")
+    after = F.lead("n").over(by_size).cast("long")
+    before = F.last(F.when(F.col("first"), F.col("n").cast("long")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    sides = rows.withColumns({"after": after, "before": before})
+    return sides.filter((F.col("first") & (F.col("after") * rule.percent <= F.col("n") * 100)) | (F.col("before") * 100 >= F.col("n") * rule.percent)).select("key", "n", "doc_id", "first")
 
 
 def _pairs_bounded(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -196,7 +196,7 @@ def _tiles(keyed: DataFrame, sets: DataFrame, labels: DataFrame, rule: Rule, bes
     keys_too = F.col("keys") if once else F.lit(None).cast("array<long>").alias("keys")
     labelled = keyed.join(labels, keyed["doc_id"] == labels["node"], "left").select("key", "n", "doc_id", "first", F.coalesce("component", "doc_id").alias("component"))
     keys = labelled.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).filter(f"low < high and rows > {1 if once else 2}").select("key", "rows")  # two alone have been compared as neighbours
-    left = labelled.join(keys, "key").join(_split(sets.select("doc_id", "bits", keys_too), keyed.select("doc_id"))[0], "doc_id").withColumn("band", rule.band(F.col("n")))
+    left = labelled.join(keys, "key").join(_split(sets.select("doc_id", F.coalesce("coarse", "bits").alias("bits"), keys_too), keyed.select("doc_id"))[0], "doc_id").withColumn("band", rule.band(F.col("n")))
     small = left.filter(F.col("rows") <= rule.tile_rows).withColumns({"tile": F.lit(-1), "i": F.lit(0), "j": F.lit(0), "upper": F.lit(0), "block": F.lit(0)})
     large = left.filter(F.col("rows") > rule.tile_rows)
     blocks = large.groupBy("key", "band").agg(F.ceil(F.count("*") / rule.tile_rows).cast("int").alias("blocks"))
@@ -226,8 +226,11 @@ def _possible_pairs(t: pa.Table, rule: Rule, best: int | None) -> dict[str, list
         return None
     i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
     raws = t.column("bits").to_pylist()
-    width = min(map(len, raws)) // 8
-    bits = np.stack([folded(r, width) for r in raws])
+    widths = np.array([len(r) // 8 for r in raws])
+    by_width = {}  # of a width, where its rows begin, and they with all as wide or twice so, folded to it
+    for w in np.unique(widths).tolist():
+        low, high = np.searchsorted(widths, [w, 2 * w + 1])
+        by_width[w] = low, np.stack([folded(r, w) for r in raws[low:high]])
     keys = [None if k is None else np.array(k, np.int64) for k in t.column("keys").to_pylist()]
     key = t.column("key")[0].as_py()
     wide = n.astype(np.int64)
@@ -241,7 +244,8 @@ def _possible_pairs(t: pa.Table, rule: Rule, best: int | None) -> dict[str, list
             y = y[block[y] != block[x]]
         if not len(y):
             continue
-        most = most_shared(int(n[x]), bits[x], wide[y], bits[y])
+        low, bits = by_width[int(widths[x])]
+        most = most_shared(int(n[x]), bits[x - low], wide[y], bits[y - low])
         union = n[x] + wide[y] - most
         can = 100 * most >= rule.percent * union
         y, share = y[can], (most / union)[can]
@@ -291,15 +295,20 @@ def join_ngrams(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id
         touched = cut(map_batches(of_class.select("doc_id", "keys"), lambda ids, ks: {"doc_id": [i for i, k in zip(ids, ks, strict=True) if not late.isdisjoint(k)]}, "doc_id long").distinct())
         maybe, others = _split(of_class, touched)
         of_class = others.unionByName(maybe.join(touched, "doc_id", "left_anti").select(*sets.columns)).unionByName(_sketch(_texts_of(known, touched), rule, hot))
+    repeated = cut(sets.groupBy("doc_id", "digest").count().filter("count > 1").select("doc_id").distinct())
+    if repeated.take(1):  # rows of equal doc_id and text
+        maybe, once = _split(of_class, repeated)
+        of_class = once.unionByName(maybe.dropDuplicates(["doc_id", "digest"]))
     of_class = cut(of_class)
     keyed = cut(_keyed(of_class, rule))
-    bits = of_class.select("doc_id", "n", "bits", "keys").dropDuplicates(["doc_id"])
+    bits = of_class.select("doc_id", "n", "bits", "coarse", "keys")
 
     found = _verified(_pairs_bounded(cut(_neighbours(keyed, rule)), bits, rule), known, rule)
     labels = cut(components(found))
     for best, once in ((2, False), (None, True)):
         tiles = _tiles(keyed, bits, labels, rule, best, once)
-        new = _verified(tiles.filter("b is not null and a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), known, rule)
+        pairs = tiles.filter("b is not null and a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = _verified(_pairs_bounded(cut(pairs), bits, rule), known, rule)
         if new.take(1):
             found = found.unionByName(new)
             labels = cut(components(found))
