@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm.common import cut, read
+from quernstone.llm.common import read, shared_folder
 from quernstone.llm.decontamination import decontaminate
 from quernstone.llm.language_id import language_stage
 from quernstone.llm.line_dedup import dedup_lines
-from quernstone.llm.ngram_join import join_ngrams
+from quernstone.llm.ngram_join import Rule, join_ngrams
 from quernstone.llm.packing import pack
 
 
@@ -25,8 +25,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one of the least doc_id stays."""
-    others = join_ngrams(docs).filter("component_id != doc_id").select("doc_id")
+    """Of each component of documents with a similarity of 0.8 or more by shingles of
+    five words, the one of the least doc_id stays."""
+    others = join_ngrams(docs, Rule(words=5, percent=80)).filter("component_id != doc_id").select("doc_id")
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -48,8 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; what each keeps is written as Parquet in the shared folder."""
-    cut(spark.range(0))  # sets a folder where the cluster names none
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
