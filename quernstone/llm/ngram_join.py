@@ -320,7 +320,7 @@ def join_ngrams(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id
     return (
         all_sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest")
         .join(linked, "digest", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
 

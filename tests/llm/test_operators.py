@@ -50,6 +50,14 @@ def shingles(text, k=4):
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} - {()}
 
 
+def test_join_of_repeated_and_null_ids(spark):
+    base = [f"w{i}" for i in range(200)]
+    near = [*base[:100], "zz", *base[101:]]
+    rows = [(7, " ".join(base)), (7, " ".join(base)), (3, " ".join(near)), (4, None), (5, ""), (None, " ".join(base)), (6, "one two")]
+    out = ngram_join.join_ngrams(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, out))) == ["(3, 197, 3)", "(4, 0, 4)", "(5, 0, 5)", "(6, 1, 6)", "(7, 197, 3)", "(7, 197, 3)", "(None, 197, None)"]
+
+
 def test_join_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
