@@ -8,6 +8,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 registry = pytest.importorskip("quernstone.registry")
+pytest.importorskip("quernstone.content_queries")
 
 
 def rows(df):
