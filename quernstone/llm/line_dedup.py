@@ -1,13 +1,15 @@
-"""Line dedup: patience alignment of documents that share rare lines."""
+"""Line dedup: passages of lines that an earlier document has too."""
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left, bisect_right
+
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, cut, doc_bytes, map_batches, read
-from .patience import align
 
 MIN_WORDS = 40
 
@@ -25,50 +27,77 @@ def line_keys(raw: bytes | None) -> tuple[list[int], list[int], list[int]]:
     return at, keys, words
 
 
-def common_blocks(keys: list[int], words: list[int], other: list[int], least: int) -> list[int]:
-    """Positions in keys of aligned blocks, unbroken on both sides, of least words or more."""
+def passage_runs(keys: list[int], words: list[int], least: int) -> list[tuple[int, int, int]]:
+    """(hash, first position, last position) of each run of consecutive lines that is
+    minimal for its first or for its last line: least words or more, and fewer without
+    the line at its other end."""
+    spans, start, total = set(), 0, 0
+    for end, n in enumerate(words):  # backward: the latest start that is enough for this end
+        total += n
+        while start < end and total - words[start] >= least:
+            total -= words[start]
+            start += 1
+        if total >= least:
+            spans.add((start, end))
+    end, total = -1, 0
+    for start, n in enumerate(words):  # forward: the earliest end that is enough for this start
+        while total < least and end + 1 < len(words):
+            end += 1
+            total += words[end]
+        if total < least:
+            break
+        spans.add((start, end))
+        total -= n
+    raw = array("q", keys).tobytes()
+    return [(xxhash.xxh3_64_intdigest(raw[8 * x : 8 * y + 8]) - (1 << 63), x, y) for x, y in sorted(spans)]
+
+
+def covered(at: list[int], spans: list[tuple[int, int]]) -> list[int]:
+    """The numbers of at within any of the spans (first, last)."""
     out: list[int] = []
-    block: list[int] = []
-    pairs = align(keys, other)
-    for n, (x, y) in enumerate(pairs):
-        if n and pairs[n - 1] != (x - 1, y - 1):
-            block = []
-        block.append(x)
-        if n + 1 == len(pairs) or pairs[n + 1] != (x + 1, y + 1):
-            if sum(words[p] for p in block) >= least:
-                out += block
+    done = 0
+    for first, last in sorted(spans):
+        x, y = max(done, bisect_left(at, first)), bisect_right(at, last)
+        out += at[x:y]
+        done = max(done, y)
     return out
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(lines of each document: doc_id, at, keys, words, as a checkpoint;
+    """(lines of each document: doc_id, at, words, runs, as a checkpoint;
     doc_id, removed: numbers of the lines that an earlier document has too).
 
-    A line that several documents have leads from each of them to the first that has
-    it, never to all others. Pairs whose lines found so hold min_words / 2 words
-    or more are aligned whole; of the later document (by doc_id) aligned blocks
-    of at least min_words words go. The first to have a block keeps it.
+    Of a document every line goes that stands in an unbroken block of at least
+    min_words words which any earlier document (by doc_id) has too, wherever, in what
+    order and how often either has it. The first to have a block keeps it.
+
+    Such a block is covered by its minimal runs: the one that starts at a line fits into
+    the block, or else the one that ends at the block's last line holds that line. So a line goes
+    if a run that holds it has an earlier document; runs are compared by hash,
+    at most two a line, and no documents are paired.
     """
     docs = doc_bytes(docs, text=text, doc_id=doc_id).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def rows(ids, raws):
-        found = [line_keys(r) for r in raws]
-        return {"doc_id": ids} | {n: [f[i] for f in found] for i, n in enumerate(("at", "keys", "words"))}
-
-    lines = cut(map_batches(docs, rows, "doc_id long, at array<int>, keys array<long>, words array<int>"))
+        out = {"doc_id": ids, "at": [], "words": [], "runs": []}
+        for raw in raws:
+            at, keys, words = line_keys(raw)
+            out["at"].append(at)
+            out["words"].append(words)
+            out["runs"].append([{"key": k, "first": at[x], "last": at[y]} for k, x, y in passage_runs(keys, words, min_words)])
+        return out
+
+    lines = cut(map_batches(docs, rows, "doc_id long, at array<int>, words array<int>, runs array<struct<key:long,first:int,last:int>>"))
     known = lines.filter("doc_id is not null")
-    single = known.select("doc_id", F.explode(F.arrays_zip("keys", "words")).alias("x")).select("doc_id", F.col("x.keys").alias("key"), F.col("x.words").alias("n"))
-    first = single.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("key", "first")
-    pairs = cut(single.join(first, "key").filter("doc_id > first").groupBy("doc_id", "first").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_words / 2).select("doc_id", "first"))
-    sides = pairs.join(known.select("doc_id", "at", "keys", "words"), "doc_id").join(known.select(F.col("doc_id").alias("first"), F.col("keys").alias("other")), "first").select("doc_id", "at", "keys", "words", "other")
-
-    def aligned(ids, at, keys, words, other):
-        found = [[at[i][x] for x in common_blocks(keys[i], words[i], other[i], min_words)] for i in range(len(ids))]
-        keep = [i for i, f in enumerate(found) if f]
-        return {"doc_id": [ids[i] for i in keep], "removed": [found[i] for i in keep]}
-
-    removed = map_batches(sides, aligned, "doc_id long, removed array<int>").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
-    return lines, removed
+    single = known.select("doc_id", F.explode("runs").alias("x")).select("doc_id", "x.*")
+    holder = cut(single.groupBy("key").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("latest")).filter("holder < latest").select("key", "holder"))
+    spans = single.join(holder, "key").filter("doc_id > holder").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+
+    def numbers(ids, spans, at):
+        return {"doc_id": ids, "removed": [covered(a, [(s["first"], s["last"]) for s in ss]) for ss, a in zip(spans, at, strict=True)]}
+
+    removed = map_batches(spans.join(known.select("doc_id", "at"), "doc_id"), numbers, "doc_id long, removed array<int>")
+    return lines, removed.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:

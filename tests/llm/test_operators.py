@@ -156,6 +156,52 @@ def test_later_passage_goes_once(spark):
     assert out == {1: rows[0][1], 2: "second", 4: "clean\nfirst", 5: None}
 
 
+def repeated_blocks(rows, least=40):
+    """Line numbers of each document in blocks of least words that an earlier document
+    has too: every block against every line of every earlier document."""
+    lines = {i: [(n, x.lower().split()) for n, x in enumerate((t or "").split("\n")) if x.split()] for i, t in rows}
+    out = {i: set() for i in lines}
+    for i, a in lines.items():
+        for j, b in lines.items():
+            for x in range(len(a)) if j < i else ():
+                for y in range(len(b)):
+                    k = 0
+                    while x + k < len(a) and y + k < len(b) and a[x + k][1] == b[y + k][1]:
+                        k += 1
+                    if sum(len(w) for _, w in a[x : x + k]) >= least:
+                        out[i] |= {n for n, _ in a[x : x + k]}
+    return out
+
+
+def removed_of(spark, rows):
+    found = {r.doc_id: set(r.removed) for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))[1].collect()}
+    return {i: found.get(i, set()) for i, _ in rows}
+
+
+def test_passage_of_scattered_lines_goes(spark):
+    line = [" ".join(f"p{i}w{j}" for j in range(15)) for i in range(4)]
+    whole = "\n".join(line)
+    halves = [(1, "\n".join(line[:2])), (2, "\n".join(line[2:])), (3, whole), (4, f"own\n{whole}")]
+    assert removed_of(spark, halves) == {1: set(), 2: set(), 3: set(), 4: {1, 2, 3, 4}}
+    single = [*enumerate(line, 1), (5, whole), (6, f"{whole}\nown")]
+    assert removed_of(spark, single) == {1: set(), 2: set(), 3: set(), 4: set(), 5: set(), 6: {0, 1, 2, 3}}
+
+
+def test_removed_lines_equal_brute_force(spark):
+    rng = random.Random(11)
+    line = [" ".join(f"l{i}w{j}" for j in range(rng.choice([1, 3, 12, 15, 25, 41]))) for i in range(25)]
+    line[3] = " \t"
+    rows = []
+    for i in range(60):
+        picked: list[str] = []
+        for _ in range(rng.randint(0, 6)):
+            x = rng.randrange(25)
+            picked += line[x : x + rng.randint(1, 7)]
+        rows.append((i, "\n".join(picked)))
+    want = repeated_blocks(rows)
+    assert removed_of(spark, rows) == want and sum(map(bool, want.values())) > 10
+
+
 def test_archive_round_trip(spark, tmp_path):
     big = "é" * 800
     rows = [(1, "http://a", big), (2, None, big), (9, "u", big), (4, "u", None), (5, "u", "same"), (6, "u", "same"), (7, "u\r\nx", "y" * 5000)]
