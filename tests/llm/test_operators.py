@@ -141,6 +141,42 @@ def test_license_is_found_twice_and_prose_is_left():
     assert not scan(license_scan.words_of(b"the license of the driver was released under these rights to us all"), 0.8)
 
 
+def test_license_repeated_without_unique_words():
+    words = license_scan.words_of(license_scan.TEMPLATES["MIT"][1].encode())
+    places = license_scan.Templates(license_scan.TEMPLATES).scan([b"x"] * 33 + words * 6, 0.8)
+    assert [p[2:] for p in places] == [(33 + i * len(words), 33 + (i + 1) * len(words)) for i in range(6)]
+
+
+def test_gaps_without_anchors_are_aligned_whole(monkeypatch):
+    rng = random.Random(4)
+    for bits in (patience.ROWS, 500):
+        monkeypatch.setattr(patience, "ROWS", bits)
+        for n, m in ((0, 9), (30, 40), (120, 90), (150, 200)):
+            a, b = ([rng.randrange(9) for _ in range(k)] for k in (n, m))
+            best = [[0] * (m + 1) for _ in range(n + 1)]
+            for x in range(n):
+                for y in range(m):
+                    best[x + 1][y + 1] = best[x][y] + 1 if a[x] == b[y] else max(best[x][y + 1], best[x + 1][y])
+            a, b = [-1, -1, *a, -2, -2], [-3, -3, *b, -4, -4]  # no equal ends, nothing unique in both
+            pairs = patience.align(a, b)
+            assert len(pairs) == best[n][m] and all(a[x] == b[y] for x, y in pairs)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs[:-1], pairs[1:], strict=True))
+
+
+def test_repeated_passages_of_long_documents_go(spark):
+    passage = [" ".join(f"p{i}w{j}" for j in range(15)) for i in range(4)]
+    own = [[f"own {d} {i}" for i in range(100)] for d in range(4)]
+    boilerplate = [" ".join(f"b{i}w{j}" for j in range(12)) for i in range(5)]
+    rows = [
+        (1, "\n".join([*own[0][:50], *passage, *own[0][50:]])),
+        (2, "\n".join([*passage, *own[1], *passage])),
+        (3, "\n".join(boilerplate * 20 + own[2])),
+        (4, "\n".join(passage[2:] + own[3][:9] + boilerplate * 25 + own[3][9:] + passage * 3)),
+    ]
+    want = repeated_blocks(rows)
+    assert removed_of(spark, rows) == want and want[2] == {*range(4), *range(104, 108)} and len(want[4]) == 125 + 12
+
+
 def test_alignment_rises_and_matches():
     rng = random.Random(2)
     for _ in range(200):
