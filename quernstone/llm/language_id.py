@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,11 @@ from .common import U64, cut, doc_bytes, map_batches, mix, read
 UNDECIDED = "und"
 SAMPLE_ROWS = 8_000
 GRAMS_PER_LANGUAGE = 60_000
+#: Three-grams of a language that texts without a known four-gram are compared with.
+SHORT_GRAMS = 20_000
+#: A text of as many four-grams, of which no language knows that share, is in none.
+FOREIGN_GRAMS = 100
+FOREIGN_SHARE = 0.05
 SLOT_BITS = 20
 HASHES = 2
 
@@ -46,21 +51,55 @@ class Filters:
     languages: list[str]
     table: np.ndarray  # slots x words of 64 languages
     false_rate: np.ndarray  # of each language: share of absent n-grams that it claims
+    short: dict[int, list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)  # n to each language's n-grams, rising, and their rates
+    prior: np.ndarray | None = None  # of each language: share of the texts learnt from
 
     @classmethod
-    def of(cls, languages: list[str], members: list[np.ndarray]) -> Filters:
+    def of(cls, languages: list[str], members: list[np.ndarray], short: list[tuple[np.ndarray, np.ndarray]] | None = None, prior: np.ndarray | None = None) -> Filters:
+        """short: of each language, its three-grams and how often each comes."""
         table = np.zeros((1 << SLOT_BITS, max(1, -(-len(languages) // 64))), U64)
         for i, codes in enumerate(members):
             for k in range(HASHES):
                 table[slots(codes, k), i // 64] |= U64(1 << (i % 64))
         share = np.array([np.count_nonzero(table[:, i // 64] >> U64(i % 64) & U64(1)) / len(table) for i in range(len(languages))])
-        return cls(languages, table, share**HASHES)
+        below: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for size in (3, 2, 1):
+            below[size] = []
+            for codes, times in short or []:
+                codes, which = np.unique(codes >> U64(8 * (3 - size)), return_inverse=True)
+                times = np.bincount(which, times, len(codes))
+                below[size].append((codes, (times / max(1.0, times.sum())).astype(np.float32)))
+        return cls(languages, table, share**HASHES, below if short else {}, prior)
+
+    def _back_off(self, text: str) -> tuple[str, float]:
+        """The language with the highest mean share in the rates of the longest n-grams
+        that any language knows, or else the commonest one; score is that share,
+        halved for each step down from four-grams."""
+        for steps, (size, known) in enumerate(self.short.items(), 1):
+            codes = grams(text, size)
+            codes = codes[codes != U64(0x20)]
+            rates = np.zeros((len(self.languages), len(codes)))
+            for i, (mine, rate) in enumerate(known):
+                if len(mine) and len(codes):
+                    at = np.minimum(np.searchsorted(mine, codes), len(mine) - 1)
+                    rates[i] = np.where(mine[at] == codes, rate[at], 0)
+            all_rates = rates.sum(axis=0)
+            if all_rates.any():
+                share = (rates[:, all_rates > 0] / all_rates[all_rates > 0]).mean(axis=1)
+                return self.languages[int(np.argmax(share))], float(share.max()) / 2**steps
+        prior = np.full(len(self.languages), 1 / len(self.languages)) if self.prior is None else self.prior
+        return self.languages[int(np.argmax(prior))], float(prior.max()) / 16
 
     def decide(self, text: str | None) -> tuple[str, float]:
         """(language, score): the language with most n-grams after those are taken off
-        that its filter would claim falsely; score is its share among all languages'."""
+        that its filter would claim falsely; score is its share among all languages'.
+        If no language has any, shorter n-grams decide, then the commonest language."""
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, score, whether the text is clearly in none of the languages)."""
         if not text or not self.languages or not any(map(str.isalpha, text)):
-            return UNDECIDED, 0.0
+            return UNDECIDED, 0.0, False
         codes = grams(text)
         mask = self.table[slots(codes, 0)]
         for k in range(1, HASHES):
@@ -68,7 +107,8 @@ class Filters:
         hits = np.array([np.count_nonzero(mask[:, i // 64] & U64(1 << (i % 64))) for i in range(len(self.languages))], float)
         true = np.maximum(0.0, hits - self.false_rate * len(codes)) / (1 - self.false_rate)
         best = int(np.argmax(true))
-        return (self.languages[best], float(true[best] / true.sum())) if true[best] else (UNDECIDED, 0.0)
+        foreign = len(codes) >= FOREIGN_GRAMS and bool(true[best] < FOREIGN_SHARE * len(codes))
+        return (self.languages[best], float(true[best] / true.sum()), foreign) if true[best] else (*self._back_off(text), foreign)
 
 
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Filters:
@@ -77,8 +117,9 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str = "text", l
 
     An n-gram belongs to each language that has it in at least two texts, or in
     1 of 5,000 of its n-grams, at half or more of the highest rate of any
-    language; each language keeps its GRAMS_PER_LANGUAGE most frequent ones. So what
-    comes to the driver is bounded by those two numbers, not by docs.
+    language; each language keeps its GRAMS_PER_LANGUAGE most frequent ones, and for short
+    texts its SHORT_GRAMS most frequent three-grams. So what comes to the driver is
+    bounded by these numbers, not by docs.
     """
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
     share = min(1.0, sample_rows / max(1, rows.count()))
@@ -97,26 +138,32 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str = "text", l
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(codes), pa.string()), "gram": codes.view(np.int64), "times": times.astype(np.int64), "texts": texts.astype(np.int64)})
 
     counts = cut(picked.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, gram long, times long, texts long").groupBy("lang", "gram").agg(F.sum("times").alias("times"), F.sum("texts").alias("texts")))
+    texts = {r.lang: r.n for r in picked.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    three = cut(counts.groupBy("lang", F.shiftright("gram", 8).alias("gram")).agg(F.sum("times").alias("times")))
     total = counts.groupBy("lang").agg(F.sum("times").alias("total"))
     rate = F.col("times") / F.col("total")
     by_gram = counts.join(F.broadcast(total), "lang").withColumn("rate", rate).filter((F.col("texts") > 1) | (F.col("rate") > 1 / 5000))
     best = by_gram.groupBy("gram").agg(F.max("rate").alias("best"), F.sort_array(F.collect_list(F.struct("lang", "rate"))).alias("langs"))
     chosen = best.select("gram", F.explode("langs").alias("x"), "best").filter(F.col("x.rate") >= 0.5 * F.col("best")).select(F.col("x.lang").alias("lang"), "gram", F.col("x.rate").alias("rate"))
     names = sorted(r.lang for r in total.collect())
-    members = []
+    members, short = [], []
     for name in names:
         top = chosen.filter(F.col("lang") == name).orderBy(F.col("rate").desc(), "gram").limit(GRAMS_PER_LANGUAGE).select("gram").toPandas()
         members.append(top["gram"].to_numpy(np.int64).view(U64))
-    return Filters.of(names, members)
+        top = three.filter(F.col("lang") == name).orderBy(F.col("times").desc(), "gram").limit(SHORT_GRAMS).select("gram", "times").toPandas()
+        short.append((top["gram"].to_numpy(np.int64).view(U64), top["times"].to_numpy(float)))
+    prior = np.array([texts[name] for name in names], float)
+    return Filters.of(names, members, short, prior / max(1.0, prior.sum()))
 
 
 def identify(docs: DataFrame, filters: Filters, *more: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, lang_pred, score and the columns named in more: one row for each row.
 
-    Whole texts decide, and nothing else of a row. A null text, one without a letter,
-    or one of whose n-grams no language has more than chance gives `und` with
-    score 0; of equal languages the first by name is taken. The filters are a broadcast
-    of fixed size; the pass is narrow.
+    Whole texts decide, and nothing else of a row. A null text or one without a letter
+    gives `und` with score 0 (and so does every text where no language was learnt); any
+    other gives a language, with a score under 0.5 where it has no n-gram that a
+    language has more than chance. Of equal languages the first by name is taken. The
+    filters are a broadcast of fixed size; the pass is narrow.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     kinds = dict(docs.dtypes)
@@ -140,8 +187,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, filters).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def language_stage(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
-    """The rows whose language is decided with at least min_score, with all columns.
+def language_stage(docs: DataFrame) -> DataFrame:
+    """The rows with a language, with all columns: neither `und` nor clearly in none of the
+    languages (FOREIGN_GRAMS n-grams or more, of which none knows FOREIGN_SHARE more than
+    chance). A low score alone, as short texts have, drops no row.
 
     doc_id need not be unique and every column is carried as it is: the decision
     goes back to the row by its own number, not by its id.
@@ -149,8 +198,9 @@ def language_stage(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
     filters = learn(docs.filter(~held_out()))
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("boolean")
     def decided(texts):
-        return texts.map(lambda t: shared.value.decide(t)[1] if isinstance(t, str) else 0.0)
+        found = texts.map(lambda t: shared.value.judge(t if isinstance(t, str) else None))
+        return found.map(lambda f: f[0] != UNDECIDED and not f[2]).astype(bool)
 
-    return docs.filter(decided("text") >= min_score)
+    return docs.filter(decided("text"))

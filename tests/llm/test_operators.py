@@ -134,6 +134,23 @@ def test_language_of_rows_not_learnt_from(spark):
     assert (out.lang == out.lang_pred).mean() > 0.98
 
 
+def test_texts_with_letters_get_a_language_and_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    short = ["A.", "é", "Ж", "Was orer.\nThis work is licensed under the GNU General Public License, version 3.", "Ie, des. Heitbe ötz.\nLicensed under the Apache License, Version 2.0."]
+    none = [None, "", "12 + 3", "... \n"]
+    foreign = "это совсем другой язык, которого здесь никто не учил " * 4
+    rows = [(10**9 + i, t, "en") for i, t in enumerate([*short, *none, foreign])]
+    frame = docs.union(spark.createDataFrame([(i, t, None) for i, t, _ in rows], "doc_id long, text string, lang string"))
+    filters = language_id.learn(frame.filter(~language_id.held_out()))
+    out = {r.doc_id: r for r in language_id.identify(frame, filters).collect()}
+    for i, t, _ in rows:
+        assert (out[i].lang_pred == "und") == (t in none) and (out[i].score == 0) == (t in none)
+    assert filters.decide("Ж")[1] < filters.decide("the")[1]
+    kept = {r.doc_id for r in language_id.language_stage(frame).select("doc_id").collect()}
+    assert {i for i, _, _ in rows} & kept == {10**9 + i for i in range(len(short))}
+    assert {r.doc_id for r in docs.collect()} <= kept
+
+
 def test_license_is_found_twice_and_prose_is_left():
     scan = license_scan.Templates(license_scan.TEMPLATES).scan
     text = "Some prose. Released under the MIT License. " + "more of it " * 50 + "released under the mit license"
