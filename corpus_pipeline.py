@@ -43,7 +43,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
 
-#: SQL cannot express the tokenizer, the classifier or the alignment; tests/llm holds the stages against brute force.
+#: SQL cannot express the tokenizer, the classifier or the alignment; README says which stages tests/llm covers.
 ORACLE_SQL = None
 
 
