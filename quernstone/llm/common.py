@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -23,6 +24,8 @@ LOWER_SPACED = bytes(32 if c in WHITE else LOWER[c] for c in range(256))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 1 << 20
+#: Rows and bytes of an Arrow batch that Python takes up at once.
+SLICE_ROWS, SLICE_BYTES = 1_000, 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,10 +34,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a folder of our own
-    only where none is set."""
+    only where none is set and driver and tasks are one process on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quernstone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quernstone-"))
     return sc.getCheckpointDir()
 
 
@@ -47,21 +53,55 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of at most so many rows, and about so many bytes, so that
+    what Python holds of a batch at once has a bound (or is a single row)."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def map_batches(df: DataFrame, rows: Callable[..., dict[str, list | np.ndarray]], schema: str) -> DataFrame:
-    """rows: from the batch's columns (as lists) to columns of the schema; an empty
+    """rows: from the columns of a slice (as lists) to columns of the schema; an empty
     result is left out."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = rows(*(c.to_pylist() for c in batch.columns))
-                if len(out[arrow.names[0]]):
-                    yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        for batch in slices(batches):
+            out = rows(*(c.to_pylist() for c in batch.columns))
+            if len(out[arrow.names[0]]):
+                yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def rewrite_texts(docs: DataFrame, decide: Callable[..., tuple[bool, bytes | None]], text: str = "text", more: int = 0) -> DataFrame:
+    """All columns of docs but the last more ones, whatever their names: decide gives of
+    each text, and of those last columns, whether the row stays and its new text. One pass."""
+    at, n = docs.columns.index(text), len(docs.columns) - more
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            kind = batch.schema.field(at)
+            raws = [None if t is None else t.encode() for t in batch.column(at).to_pylist()]
+            found = [decide(*row) for row in zip(raws, *(batch.column(i).to_pylist() for i in range(n, n + more)), strict=True)]
+            texts = pa.array([None if t is None else t.decode() for _, t in found], kind.type)
+            kept = batch.select(list(range(n))).set_column(at, kind, texts).filter(pa.array([k for k, _ in found], pa.bool_()))
+            if kept.num_rows:
+                yield kept
+
+    return docs.mapInArrow(run, StructType(docs.schema.fields[:n]))
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def doc_bytes(docs: DataFrame, *more: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, the text's UTF-8 bytes (null stays null) and further columns."""
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("raw"), *more)

@@ -1,15 +1,17 @@
-"""Line dedup: passages of lines that an earlier document has too."""
+"""Line dedup: pairs of documents with passages of lines in common, aligned by patience."""
 
 from __future__ import annotations
 
 from array import array
 from bisect import bisect_left, bisect_right
+from collections.abc import Sequence
 
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, doc_bytes, map_batches, read
+from .common import LOWER, cut, doc_bytes, fresh, map_batches, read, rewrite_texts
+from .patience import align
 
 MIN_WORDS = 40
 
@@ -52,6 +54,30 @@ def passage_runs(keys: list[int], words: list[int], least: int) -> list[tuple[in
     return [(xxhash.xxh3_64_intdigest(raw[8 * x : 8 * y + 8]) - (1 << 63), x, y) for x, y in sorted(spans)]
 
 
+def aligned_blocks(mine: Sequence[int], words: Sequence[int], theirs: Sequence[int], least: int, rounds: int = 8) -> list[tuple[int, int]]:
+    """(first, past the last) of the blocks of mine that patience aligns line by line with a block
+    of theirs, of least words or more. What blocks leave of mine between them is aligned
+    with the whole of theirs in the next round, so a passage that comes more often, or
+    elsewhere, is found too; rounds bound the work on one that comes without end."""
+    found, rest = [], [(0, len(mine))]
+    for _ in range(rounds):
+        todo, rest = rest, []
+        for a, b in todo:
+            pairs = [(a + x, y) for x, y in align(mine[a:b], theirs)] if sum(words[a:b]) >= least else []
+            blocks, k = [], 0
+            for i in range(1, len(pairs) + 1):
+                if i == len(pairs) or pairs[i] != (pairs[i - 1][0] + 1, pairs[i - 1][1] + 1):
+                    first, past = pairs[k][0], pairs[i - 1][0] + 1
+                    if sum(words[first:past]) >= least:
+                        blocks.append((first, past))
+                    k = i
+            if blocks:
+                found += blocks
+                ends = [a, *(x for block in blocks for x in block), b]
+                rest += [(x, y) for x, y in zip(ends[::2], ends[1::2], strict=True) if x < y]
+    return found
+
+
 def covered(at: list[int], spans: list[tuple[int, int]]) -> list[int]:
     """The numbers of at within any of the spans (first, last)."""
     out: list[int] = []
@@ -64,39 +90,49 @@ def covered(at: list[int], spans: list[tuple[int, int]]) -> list[int]:
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(lines of each document: doc_id, at, words, runs, as a checkpoint;
+    """(lines of each row: doc_id, at, keys, words, runs, as a written table;
     doc_id, removed: numbers of the lines that an earlier document has too).
 
     Of a document every line goes that stands in an unbroken block of at least
     min_words words which any earlier document (by doc_id) has too, wherever, in what
     order and how often either has it. The first to have a block keeps it.
 
-    Such a block is covered by its minimal runs: the one that starts at a line fits into
-    the block, or else the one that ends at the block's last line holds that line. So a line goes
-    if a run that holds it has an earlier document; runs are compared by hash,
-    at most two a line, and no documents are paired.
+    A pair is a document and the first holder of one of its passages. Passages are minimal
+    runs of lines, by hash, at most two a line: a single rare line would lead to its own
+    first holder, and lose a block whose lines came from several documents. The two are
+    aligned by patience and common blocks go from the later one, again until alignment finds
+    none; then every run that led to the pair is checked, and goes where alignment, being
+    in order, has chosen other lines. Runs are grouped partially, no group is paired within
+    itself, and a task holds one pair at a time.
     """
-    docs = doc_bytes(docs, text=text, doc_id=doc_id).withColumn("doc_id", F.col("doc_id").cast("long"))
+    kind = dict(docs.dtypes)[doc_id]
 
     def rows(ids, raws):
-        out = {"doc_id": ids, "at": [], "words": [], "runs": []}
+        out = {"doc_id": ids, "at": [], "keys": [], "words": [], "runs": []}
         for raw in raws:
             at, keys, words = line_keys(raw)
             out["at"].append(at)
+            out["keys"].append(keys)
             out["words"].append(words)
             out["runs"].append([{"key": k, "first": at[x], "last": at[y]} for k, x, y in passage_runs(keys, words, min_words)])
         return out
 
-    lines = cut(map_batches(docs, rows, "doc_id long, at array<int>, words array<int>, runs array<struct<key:long,first:int,last:int>>"))
+    lines = cut(map_batches(doc_bytes(docs, text=text, doc_id=doc_id), rows, f"doc_id {kind}, at array<int>, keys array<long>, words array<int>, runs array<struct<key:long,first:int,last:int>>"))
     known = lines.filter("doc_id is not null")
     single = known.select("doc_id", F.explode("runs").alias("x")).select("doc_id", "x.*")
-    holder = cut(single.groupBy("key").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("latest")).filter("holder < latest").select("key", "holder"))
-    spans = single.join(holder, "key").filter("doc_id > holder").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-
-    def numbers(ids, spans, at):
-        return {"doc_id": ids, "removed": [covered(a, [(s["first"], s["last"]) for s in ss]) for ss, a in zip(spans, at, strict=True)]}
-
-    removed = map_batches(spans.join(known.select("doc_id", "at"), "doc_id"), numbers, "doc_id long, removed array<int>")
+    holders = cut(single.groupBy("key").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("latest")).filter("holder < latest").select("key", "holder"))
+    pairs = cut(single.join(holders, "key").filter("doc_id > holder").groupBy("doc_id", "holder").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
+    mine = known.select("doc_id", "at", "keys", "words")
+    wide = pairs.join(mine, "doc_id").join(known.select(F.col("doc_id").alias("holder"), F.col("keys").alias("theirs")), "holder").select("doc_id", "spans", "at", "keys", "words", "theirs")
+
+    def numbers(ids, spans, at, keys, words, theirs):
+        out = []
+        for i in range(len(ids)):
+            blocks = [(at[i][x], at[i][y - 1]) for x, y in aligned_blocks(keys[i], words[i], theirs[i], min_words)]
+            out.append(covered(at[i], blocks + [(s["first"], s["last"]) for s in spans[i]]))
+        return {"doc_id": ids, "removed": out}
+
+    removed = map_batches(wide, numbers, f"doc_id {kind}, removed array<int>")
     return lines, removed.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
 
 
@@ -104,24 +140,33 @@ def line_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines and n_words (of lines with a word), n_removed_lines,
     n_removed_words: one row for each row. A null text has no lines; rows that
     share a doc_id are one document and lose the same line numbers; a null doc_id is
-    compared with nothing."""
+    compared with nothing. doc_id may be of any type that has an order."""
     lines, removed = removed_lines(docs, **options)
-    kept = F.expr("aggregate(filter(arrays_zip(at, words), x -> array_contains(removed, x.at)), 0L, (n, x) -> n + x.words)")
-    return (
-        lines.join(removed, "doc_id", "left")
-        .withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<int>)")))
-        .select("doc_id", F.size("at").cast("long").alias("n_lines"), F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + w).alias("n_words"), F.size("removed").cast("long").alias("n_removed_lines"), kept.alias("n_removed_words"))
-    )
+
+    def counts(ids, at, words, removed):
+        gone = [set(r or ()) for r in removed]
+        lost = [[w for n, w in zip(a, ws, strict=True) if n in g] for a, ws, g in zip(at, words, gone, strict=True)]
+        return {"doc_id": ids, "n_lines": [len(a) for a in at], "n_words": [sum(w) for w in words], "n_removed_lines": [len(x) for x in lost], "n_removed_words": [sum(x) for x in lost]}
+
+    rows = lines.select("doc_id", "at", "words").join(removed, "doc_id", "left").select("doc_id", "at", "words", "removed")
+    return map_batches(rows, counts, f"doc_id {dict(lines.dtypes)['doc_id']}, n_lines long, n_words long, n_removed_lines long, n_removed_words long")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of docs; text without the removed lines. Rows of which no word is
-    left, but had one, go; all others stay, as they are if nothing was removed."""
+    left, but had one, go; all others stay, as they are if nothing was removed. Rows
+    with a null doc_id or text stay as they are."""
     _, removed = removed_lines(docs, min_words)
-    left = F.expr("array_join(transform(filter(transform(split(text, '\n', -1), (l, i) -> struct(l, i)), x -> not array_contains(_removed, x.i)), x -> x.l), '\n')")
-    out = docs.join(removed.toDF("doc_id", "_removed"), "doc_id", "left").select(*docs.columns, "_removed")
-    out = out.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(left))
-    return out.filter(F.col("_removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("_removed")
+    name = fresh("removed", docs)
+
+    def left(raw, gone):
+        if raw is None or not gone:
+            return True, raw
+        gone = set(gone)
+        kept = b"\n".join(line for i, line in enumerate(raw.split(b"\n")) if i not in gone)
+        return bool(kept.split()), kept
+
+    return rewrite_texts(docs.join(removed.toDF("doc_id", name), "doc_id", "left").select(*docs.columns, name), left, more=1)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
