@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType, StructField, StructType
 
-from .common import doc_bytes, map_batches, read
+from .common import cut, doc_bytes, fresh, map_batches, read, rewrite_texts, slices
 
 WINDOW = 10
 #: Item words that one automaton, and so one broadcast, holds.
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 100_000
 
 _NOT_WORD = {*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)} - {*range(0x41, 0x5B)}
 _WORDS = bytes(32 if c in _NOT_WORD else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -141,59 +145,104 @@ class Automaton:
         return spans, {self.ids[i] for i in found}
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text", item_id: str = "item_id") -> Iterator[Automaton]:
-    """Automata of blocks of items; the driver holds one block at a time."""
-    block, held = [], 0
-    for row in benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")), F.col(text).cast("binary")).toLocalIterator():
-        words = words_of(row[1])
-        if block and held + len(words) > block_words:
-            yield Automaton(block, window)
-            block, held = [], 0
-        block.append((row[0], words))
-        held += len(words)
-    yield Automaton(block, window)
+def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text", item_id: str = "item_id") -> Iterator[Broadcast]:
+    """Broadcast automata of blocks of items, built in tasks; the driver fetches one block
+    at a time. Items are dealt by hash into blocks of half of block_words on average; a long one
+    goes in parts that share window - 1 words, so that each window lies in one part."""
+    sc, most = benchmark.sparkSession.sparkContext, max(1, block_words // 4)
+
+    def parts(ids, raws):
+        out: dict[str, list] = {"item": [], "part": [], "words": [], "n": []}
+        for item, raw in zip(ids, raws, strict=True):
+            words = words_of(raw)
+            for at in range(0, max(1, len(words) - window + 1), most) if words else ():
+                piece = words[at : at + most + window - 1]
+                for k, v in zip(out, (item, at, b" ".join(piece), len(piece)), strict=True):
+                    out[k].append(v)
+        return out
+
+    named = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item_id"), F.col(text).alias("text"))
+    items = cut(map_batches(doc_bytes(named, doc_id="item_id"), parts, "item string, part int, words binary, n int"))
+    total = items.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        yield sc.broadcast(Automaton([], window))
+        return
+
+    def build(items: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(items.column(c).to_pylist() for c in ("item", "part", "words")), strict=True))
+        return pa.table({"block": items.column("block")[:1], "automaton": [pickle.dumps(Automaton([(item, words.split()) for item, _, words in rows], window))]})
+
+    blocks = items.withColumn("block", F.pmod(F.xxhash64("item", "part"), F.lit(-(-2 * total // block_words))).cast("int"))
+    built = cut(blocks.groupBy("block").applyInArrow(build, "block int, automaton binary"))
+    for row in built.toLocalIterator():
+        yield sc.broadcast(pickle.loads(row["automaton"]))
+
+
+def joined_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same positions as disjoint spans in order."""
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, raw, n_words, spans (hit words, first and one past the last), items.
+def _found(raw: bytes | None, known: dict | None, automaton: Automaton) -> dict:
+    """n_words, spans, items of a text: what an earlier block found and this one's."""
+    words = words_of(raw)
+    spans, items = automaton.scan(words)
+    if known:
+        spans, items = joined_spans(spans + [(x["a"], x["b"]) for x in known["spans"]]), items.union(known["items"])
+    return {"n_words": len(words), "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(items)}
+
+
+_HITS = "struct<n_words:long,spans:array<struct<a:int,b:int>>,items:array<string>>"
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text", keep: Callable[[bytes | None, dict], tuple[bool, bytes | None]] | None = None) -> tuple[DataFrame, str]:
+    """docs with a last column, and its name: n_words, spans (hit words, first and one past
+    the last), items. With keep: docs alone, as it says of each text and that column.
 
     A window is a run of window item words; an item of fewer words, but not none, is
     one window. Each row of docs streams through the automaton of each block of items
-    in turn, by narrow passes; a broadcast holds one block of bounded size.
+    in turn. Between blocks the rows are written, so a task holds one block at a
+    time and an automaton of few items costs one narrow pass.
     """
-    kind = dict(docs.dtypes)[doc_id]
-    out = doc_bytes(docs, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), text=text, doc_id=doc_id)
-    for automaton in automata(benchmark, window, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-
-        def rows(ids, raws, _, spans, items, shared=shared):
-            result: dict[str, list] = {"doc_id": ids, "raw": raws, "n_words": [], "spans": [], "items": []}
-            for raw, old, known in zip(raws, spans, items, strict=True):
-                words = words_of(raw)
-                new, found = shared.value.scan(words)
-                merged: list[tuple[int, int]] = []
-                for a, b in sorted(new + [(x["a"], x["b"]) for x in old]):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-                    else:
-                        merged.append((a, b))
-                result["n_words"].append(len(words))
-                result["spans"].append([{"a": a, "b": b} for a, b in merged])
-                result["items"].append(sorted(found.union(known)))
-            return result
-
-        out = map_batches(out, rows, f"doc_id {kind}, raw binary, n_words long, spans array<struct<a:int,b:int>>, items array<string>")
-    return out
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    name, at, width = fresh("hits", docs), docs.columns.index(text), len(docs.columns)
+    kind = to_arrow_schema(StructType.fromDDL(f"hits {_HITS}")).field(0).type
+    marked = StructType([*docs.schema.fields, StructField(name, DataType.fromDDL(_HITS))])
+
+    def pass_over(out: DataFrame, shared: Broadcast) -> DataFrame:
+        def run(batches):
+            for batch in slices(batches):
+                texts, known = batch.column(at).cast(pa.binary()).to_pylist(), batch.column(width).to_pylist() if batch.num_columns > width else [None] * batch.num_rows
+                found = pa.array([_found(t, k, shared.value) for t, k in zip(texts, known, strict=True)], kind)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], found], names=marked.names)
+
+        return out.mapInArrow(run, marked)
+
+    out, blocks = docs, automata(benchmark, window, block_words)
+    block = next(blocks)
+    while (after := next(blocks, None)) is not None:
+        out = cut(pass_over(out, block))
+        block.unpersist()
+        block = after
+    if keep is None:
+        return pass_over(out, block), name
+    first = len(out.columns) == width
+    return rewrite_texts(out, lambda raw, known=None: keep(raw, _found(raw, known, block.value)), text, more=0 if first else 1), name
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row for each row.
 
     A null text has no words and is clean, as is all with an empty benchmark; null
     item texts have no window; repeated items count by their different ids.
     """
-    found = hits(docs, benchmark, **options)
-    return found.select(
+    found, name = hits(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), benchmark, **options)
+    return found.select("doc_id", f"{name}.*").select(
         "doc_id",
         "n_words",
         F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"]).alias("n_hit"),
@@ -216,31 +265,14 @@ def without_spans(raw: bytes | None, spans: list[tuple[int, int]]) -> bytes | No
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, **options) -> DataFrame:
     """All columns of docs; hit spans cut out of text, rows with more than
-    max_coverage of their words hit left out. Clean rows stay as they are."""
-    blocks = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, **options)]
-
-    @F.pandas_udf("string")
-    def cleaned(texts):
-        def clean(t):
-            if not isinstance(t, str):
-                return None
-            raw = t.encode()
-            words = words_of(raw)
-            spans = sorted(s for b in blocks for s in b.value.scan(words)[0])
-            merged: list[tuple[int, int]] = []
-            for a, b in spans:
-                if merged and a <= merged[-1][1]:
-                    merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-                else:
-                    merged.append((a, b))
-            if sum(b - a for a, b in merged) > max_coverage * len(words):
-                return None
-            return without_spans(raw, merged).decode()
-
-        return texts.map(clean)
-
-    out = docs.withColumn("_clean", cleaned("text"))
-    return out.filter(F.col("text").isNull() | F.col("_clean").isNotNull()).withColumn("text", F.col("_clean")).drop("_clean")
+    max_coverage of their words hit left out. Clean rows, null and empty texts stay as
+    they are; with an empty benchmark all rows do."""
+
+    def keep(raw, found):
+        spans = [(x["a"], x["b"]) for x in found["spans"]]
+        return sum(b - a for a, b in spans) <= max_coverage * found["n_words"], without_spans(raw, spans)
+
+    return hits(docs, benchmark, keep=keep, **options)[0]
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

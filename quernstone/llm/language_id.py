@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, cut, doc_bytes, map_batches, mix, read
+from .common import U64, cut, doc_bytes, map_batches, mix, read, rewrite_texts
 
 UNDECIDED = "und"
 SAMPLE_ROWS = 8_000
@@ -198,9 +198,8 @@ def language_stage(docs: DataFrame) -> DataFrame:
     filters = learn(docs.filter(~held_out()))
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
-    @F.pandas_udf("boolean")
-    def decided(texts):
-        found = texts.map(lambda t: shared.value.judge(t if isinstance(t, str) else None))
-        return found.map(lambda f: f[0] != UNDECIDED and not f[2]).astype(bool)
+    def decided(raw):
+        lang, _, foreign = shared.value.judge(None if raw is None else raw.decode())
+        return lang != UNDECIDED and not foreign, raw
 
-    return docs.filter(decided("text"))
+    return rewrite_texts(docs, decided)

@@ -114,7 +114,7 @@ def test_windows_equal_brute_force():
 
 def test_hits_by_blocks(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
-    whole, parts = (set(map(tuple, decontamination.contamination(docs, items, block_words=n).collect())) for n in (10**6, 300))
+    whole, parts = (set(map(tuple, decontamination.contamination(docs, items, block_words=n).collect())) for n in (10**6, 1200))
     assert whole == parts
 
 
