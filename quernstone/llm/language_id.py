@@ -7,13 +7,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, cut, doc_bytes, map_batches, mix, read, rewrite_texts
 
 UNDECIDED = "und"
-SAMPLE_ROWS = 8_000
+TEXTS_PER_LANGUAGE = 3_000
 GRAMS_PER_LANGUAGE = 60_000
 #: Three-grams of a language that texts without a known four-gram are compared with.
 SHORT_GRAMS = 20_000
@@ -111,19 +111,20 @@ class Filters:
         return (self.languages[best], float(true[best] / true.sum()), foreign) if true[best] else (*self._back_off(text), foreign)
 
 
-def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Filters:
-    """Filters from the rows of docs with a text and a lang, of which about
-    sample_rows are taken by a hash of the id (all, if there are no more).
+def learn(docs: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE, text: str = "text", lang: str = "lang") -> Filters:
+    """Filters from the rows of docs with a text and a lang: of each language about
+    texts_per_language different texts, taken by their hash (all, if there are no more),
+    so rare languages are learnt whole at every size and copies count once.
 
     An n-gram belongs to each language that has it in at least two texts, or in
     1 of 5,000 of its n-grams, at half or more of the highest rate of any
     language; each language keeps its GRAMS_PER_LANGUAGE most frequent ones, and for short
-    texts its SHORT_GRAMS most frequent three-grams. So what comes to the driver is
-    bounded by these numbers, not by docs.
+    texts its SHORT_GRAMS most frequent three-grams. What comes to the driver is
+    bounded by these numbers and the languages, not by docs.
     """
-    rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    share = min(1.0, sample_rows / max(1, rows.count()))
-    picked = rows.filter(F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1))
+    rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
+    shares = cut(rows.groupBy("lang").agg((F.lit(texts_per_language) / F.approx_count_distinct("hash", 0.02)).alias("share")))
+    picked = rows.join(shares, "lang").filter(F.pmod("hash", F.lit(1 << 20)) < F.col("share") * (1 << 20)).dropDuplicates(["lang", "hash"]).select("lang", "text")
 
     def count(batches):
         totals: dict[str, list] = {}
@@ -135,24 +136,30 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str = "text", l
             codes, which = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
             times = np.bincount(which, np.concatenate([n for _, n in found]), len(codes))
             texts = np.bincount(which, minlength=len(codes))
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(codes), pa.string()), "gram": codes.view(np.int64), "times": times.astype(np.int64), "texts": texts.astype(np.int64)})
+            # with a row for the texts themselves
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * (len(codes) + 1), pa.string()), "gram": np.append(codes.view(np.int64), -1), "times": np.append(times.astype(np.int64), 0), "texts": np.append(texts.astype(np.int64), len(found))})
 
-    counts = cut(picked.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, gram long, times long, texts long").groupBy("lang", "gram").agg(F.sum("times").alias("times"), F.sum("texts").alias("texts")))
-    texts = {r.lang: r.n for r in picked.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    three = cut(counts.groupBy("lang", F.shiftright("gram", 8).alias("gram")).agg(F.sum("times").alias("times")))
+    counted = cut(picked.mapInArrow(count, "lang string, gram long, times long, texts long").groupBy("lang", "gram").agg(F.sum("times").alias("times"), F.sum("texts").alias("texts")))
+    counts = counted.filter("gram != -1")
+    three = counts.groupBy("lang", F.shiftright("gram", 8).alias("gram")).agg(F.sum("times").alias("times"))
     total = counts.groupBy("lang").agg(F.sum("times").alias("total"))
-    rate = F.col("times") / F.col("total")
-    by_gram = counts.join(F.broadcast(total), "lang").withColumn("rate", rate).filter((F.col("texts") > 1) | (F.col("rate") > 1 / 5000))
+    by_gram = counts.join(total, "lang").withColumn("rate", F.col("times") / F.col("total")).filter((F.col("texts") > 1) | (F.col("rate") > 1 / 5000))
     best = by_gram.groupBy("gram").agg(F.max("rate").alias("best"), F.sort_array(F.collect_list(F.struct("lang", "rate"))).alias("langs"))
-    chosen = best.select("gram", F.explode("langs").alias("x"), "best").filter(F.col("x.rate") >= 0.5 * F.col("best")).select(F.col("x.lang").alias("lang"), "gram", F.col("x.rate").alias("rate"))
-    names = sorted(r.lang for r in total.collect())
-    members, short = [], []
-    for name in names:
-        top = chosen.filter(F.col("lang") == name).orderBy(F.col("rate").desc(), "gram").limit(GRAMS_PER_LANGUAGE).select("gram").toPandas()
-        members.append(top["gram"].to_numpy(np.int64).view(U64))
-        top = three.filter(F.col("lang") == name).orderBy(F.col("times").desc(), "gram").limit(SHORT_GRAMS).select("gram", "times").toPandas()
-        short.append((top["gram"].to_numpy(np.int64).view(U64), top["times"].to_numpy(float)))
-    prior = np.array([texts[name] for name in names], float)
+    chosen = best.select("gram", F.explode("langs").alias("x"), "best").filter(F.col("x.rate") >= 0.5 * F.col("best")).select(F.col("x.lang").alias("lang"), "gram", F.col("x.rate").alias("weight"))
+    # the top lists of all languages in one job; a row's size tells which list it is in
+    lists = chosen.withColumn("size", F.lit(4)).unionByName(three.select("lang", "gram", F.col("times").cast("double").alias("weight"), F.lit(3).alias("size")))
+    place = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.col("weight").desc(), "gram"))
+    top = lists.withColumn("place", place).filter(F.col("place") <= F.when(F.col("size") == 4, GRAMS_PER_LANGUAGE).otherwise(SHORT_GRAMS))
+    top = top.drop("place").unionByName(counted.filter("gram = -1").select("lang", "gram", F.col("texts").cast("double").alias("weight"), F.lit(0).alias("size"))).toPandas()
+    names, members, short, prior = [], [], [], []
+    for name, of in top.groupby("lang", sort=True):
+        part = {size: (g["gram"].to_numpy(np.int64).view(U64), g["weight"].to_numpy(float)) for size, g in of.groupby("size")}
+        none = np.zeros(0, U64), np.zeros(0)
+        names.append(name)
+        members.append(part.get(4, none)[0])
+        short.append(part.get(3, none))
+        prior.append(part[0][1][0])
+    prior = np.array(prior, float)
     return Filters.of(names, members, short, prior / max(1.0, prior.sum()))
 
 
