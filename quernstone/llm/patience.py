@@ -74,7 +74,7 @@ def _longest(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _tight(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
+def longest(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     """A longest common subsequence: of those that end first in a, one that starts last."""
     found = _longest(a, b)
     if not found:
@@ -107,5 +107,5 @@ def align(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
             ends = [(i - 1, k - 1), *anchors, (j, m)]
             todo += [(x + 1, u, y + 1, v) for (x, y), (u, v) in zip(ends[:-1], ends[1:], strict=True)]
         else:
-            out += [(i + x, k + y) for x, y in _tight(a[i:j], b[k:m])]
+            out += [(i + x, k + y) for x, y in longest(a[i:j], b[k:m])]
     return sorted(out)

@@ -151,17 +151,55 @@ def test_texts_with_letters_get_a_language_and_stay(spark):
     assert {r.doc_id for r in docs.collect()} <= kept
 
 
+def licenses_of(text):
+    return license_scan.Templates(license_scan.TEMPLATES).scan(license_scan.words_of(text.encode()))
+
+
 def test_license_is_found_twice_and_prose_is_left():
-    scan = license_scan.Templates(license_scan.TEMPLATES).scan
     text = "Some prose. Released under the MIT License. " + "more of it " * 50 + "released under the mit license"
-    assert [p[0] for p in scan(license_scan.words_of(text.encode()), 0.8)] == ["MIT", "MIT"]
-    assert not scan(license_scan.words_of(b"the license of the driver was released under these rights to us all"), 0.8)
+    assert [p[0] for p in licenses_of(text)] == ["MIT", "MIT"]
+    assert not licenses_of("the license of the driver was released under these rights to us all")
+
+
+def test_license_at_the_threshold_and_variants():
+    assert [p[:2] for p in licenses_of("it is under the MIT License now")] == [("MIT", 0.8)]
+    assert [p[0] for p in licenses_of("Licensed under CC BY-NC 4.0. " + "word " * 30 + "Licensed under CC BY-SA 3.0.")] == ["CC-BY-NC-4.0", "CC-BY-SA-3.0"]
+    assert [p[0] for p in licenses_of(license_scan.TEMPLATES["BSD-3-Clause"][0])] == ["BSD-3-Clause"]
 
 
 def test_license_repeated_without_unique_words():
-    words = license_scan.words_of(license_scan.TEMPLATES["MIT"][1].encode())
-    places = license_scan.Templates(license_scan.TEMPLATES).scan([b"x"] * 33 + words * 6, 0.8)
-    assert [p[2:] for p in places] == [(33 + i * len(words), 33 + (i + 1) * len(words)) for i in range(6)]
+    words = license_scan.TEMPLATES["MIT"][1]
+    n = len(license_scan.words_of(words.encode()))
+    assert [p[2:] for p in licenses_of("x " * 33 + f"{words} " * 6)] == [(33 + i * n, 33 + (i + 1) * n) for i in range(6)]
+
+
+def most_in_common(a, b):
+    row = [0] * (len(b) + 1)
+    for v in a:
+        before, row = row, [0]
+        for y, w in enumerate(b):
+            row.append(before[y] + 1 if v == w else max(before[y + 1], row[y]))
+    return row[-1]
+
+
+def test_license_places_equal_brute_force():
+    rng = random.Random(8)
+    templates = {n: [ts[-1]] for n, ts in license_scan.TEMPLATES.items() if n in ("MIT", "ISC", "Zlib", "MPL-2.0", "CC0-1.0")}
+    scanner = license_scan.Templates(templates)
+    for _ in range(60):
+        name = rng.choice(sorted(templates))
+        template = license_scan.words_of(templates[name][0].encode())
+        notice = [w for w in template if rng.random() > rng.choice([0.05, 0.2, 0.3])]
+        for _ in range(rng.randint(0, len(template) // 3)):
+            notice.insert(rng.randrange(len(notice)), rng.choice(template + [b"odd"] * 40))
+        prose = lambda: [rng.choice([b"the", b"of", b"software", b"and", b"use", b"house", b"any"]) for _ in range(rng.randint(0, 90))]
+        words = prose() + notice + prose()
+        found = scanner.scan(words)
+        for license_name, coverage, a, b in found:
+            t = license_scan.words_of(templates[license_name][0].encode())
+            assert b - a <= 2 * len(t) and 0.8 <= coverage <= most_in_common(words[a:b], t) / len(t)
+        can = len(notice) <= 2 * len(template) and most_in_common(notice, template) >= 0.8 * len(template)
+        assert not can or name in {f[0] for f in found}
 
 
 def test_gaps_without_anchors_are_aligned_whole(monkeypatch):
