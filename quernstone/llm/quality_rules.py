@@ -42,21 +42,36 @@ def line_hashes(raw: bytes) -> tuple[list[int], list[int]]:
     return [xxhash.xxh3_64_intdigest(line) - (1 << 63) for line in found], list(found.values())
 
 
-def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, line_docs: int = 10, line_share: float = 0.01, min_left_share: float = 0.3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def quality_rules(
+    docs: DataFrame,
+    host: str = "source",
+    min_words: int = 50,
+    max_repeat_percent: int = 50,
+    line_docs: int = 10,
+    line_share: float = 0.01,
+    line_ceiling: int = 1_000,
+    min_left_share: float = 0.3,
+    spare_first: bool = True,
+    text: str = "text",
+    doc_id: str = "doc_id",
+) -> DataFrame:
     """doc_id, the five counts, base_failed, n_frequent_words (in lines that too many
     documents of the host have), kept: one row for each row.
 
     base_failed: fewer than min_words words, or over max_repeat_percent % of them
     in 3-word windows found twice. A normalised line is too frequent if more than
-    line_docs different texts of its host and more than line_share of them have
-    it; a document whose other lines hold fewer than min_words words, or less than
-    min_left_share of its words, is depleted and not kept. Exact copies count as one
-    text, so copying alone makes no line frequent. A null text has no words and fails;
-    null hosts are one host; repeated rows are judged alike.
-
-    Counts come from one narrow pass, kept by a checkpoint. Frequency is a partial
-    aggregation by (host, line), so a hot host or line sends a row a task; only frequent
-    lines are joined back, on (host, line), where a hot line's rows can be split.
+    line_docs different documents (by doc_id; a row without one is a document) of its host
+    have it, and more than line_share of them or more than line_ceiling. A document whose other
+    lines hold fewer than min_words words, or less than min_left_share of its words, is
+    depleted and not kept. With spare_first, for the first row of each text in a host copies
+    of a text count once, so that of a group of copies one can stay; the others are judged
+    by all documents. A null text has no words and fails; null hosts are one host;
+    a host's repeated rows of one doc_id and text are one document, judged alike.
+
+    Counts come from one narrow pass, written once. A text's lines are counted once, weighted with
+    its documents, by partial aggregations over (host, text) and (host, line), so a hot
+    host, text or line sends a row a task; only frequent lines are joined back, on (host, line),
+    where a hot line's rows can be split.
     """
     kind = dict(docs.dtypes)[doc_id]
 
@@ -72,21 +87,28 @@ def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 50, ma
             f"doc_id {kind}, host string, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, hashes array<long>, line_words array<long>",
         ).withColumn("row", F.monotonically_increasing_id())
     )
-    # one row of each text a host has; its lines stand for all copies
-    first = counted.filter(F.size("hashes") > 0).groupBy("host", "text_key").agg(F.min("row").alias("row"))
-    of_host = first.groupBy("host").agg(F.count("*").alias("host_texts"))
-    lines = counted.select("row", "host", F.explode(F.arrays_zip("hashes", "line_words")).alias("x")).select("row", "host", F.col("x.hashes").alias("line"), F.col("x.line_words").alias("words"))
+    lined = counted.filter(F.size("hashes") > 0)
+    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")))
+    # of each text of a host: its first row by doc_id, which stands for its lines, and its documents
+    texts = lined.groupBy("host", "text_key", document.alias("document")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    texts = cut(texts.groupBy("host", "text_key").agg(F.min("first").alias("first"), F.count("*").alias("docs")).select("host", F.col("first.row").alias("row"), "docs"))
+    of_host = texts.groupBy("host").agg(F.sum("docs").alias("host_docs"), F.count("*").alias("host_texts"))
+    too_many = lambda n, of: (F.col(n) > line_docs) & ((F.col(n) > line_share * F.col(of)) | (F.col(n) > line_ceiling))
     frequent = (
-        counted.join(first.select("row"), "row", "left_semi")
-        .select("host", F.explode("hashes").alias("line"))
+        lined.select("row", "host", "hashes")
+        .join(texts.select("row", "docs"), "row")
+        .select("host", "docs", F.explode("hashes").alias("line"))
         .groupBy("host", "line")
-        .agg(F.count("*").alias("texts"))
-        .filter(F.col("texts") > line_docs)
+        .agg(F.sum("docs").alias("docs"), F.count("*").alias("texts"))
+        .filter(F.col("docs") > line_docs)
         .join(of_host, "host")
-        .filter(F.col("texts") > line_share * F.col("host_texts"))
-        .select("host", "line")
+        .filter(too_many("docs", "host_docs"))
+        .select("host", "line", too_many("texts", "host_texts").alias("by_texts"))
     )
-    lost = lines.join(frequent, ["host", "line"], "left_semi").groupBy("row").agg(F.sum("words").alias("lost"))
+    lines = lined.select("row", "host", F.explode(F.arrays_zip("hashes", "line_words")).alias("x")).select("row", "host", F.col("x.hashes").alias("line"), F.col("x.line_words").alias("words"))
+    lost = lines.join(frequent, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("lost"), F.sum(F.when(F.col("by_texts"), F.col("words")).otherwise(0)).alias("lost_by_texts"))
+    lost = lost.join(texts.select("row", F.lit(True).alias("is_first")), "row", "left") if spare_first else lost.withColumn("is_first", F.lit(False))
+    lost = lost.select("row", F.when(F.col("is_first"), F.col("lost_by_texts")).otherwise(F.col("lost")).alias("lost"))
     left = F.col("n_words") - F.col("n_frequent_words")
     return (
         counted.drop("hashes", "line_words", "text_key", "host")
