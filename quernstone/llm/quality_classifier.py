@@ -47,7 +47,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
     of least hash, so that their broadcast has a fixed bound): each task adds up its own
     counts (2 x SLOTS numbers), their sums are grouped by slot."""
     kind = dict(docs.dtypes)["doc_id"]
-    marked = labels.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col(label).cast("int").alias("good")).filter("good is not null and doc_id is not null").dropDuplicates(["doc_id"])
+    marked = labels.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col(label).cast("int").alias("good")).filter("good is not null and doc_id is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("raw")).filter(F.col("doc_id").isNotNull()).join(F.broadcast(marked), "doc_id").select("raw", "good")
 
@@ -67,22 +67,27 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
     return np.where(good + bad >= 2, odds, 0.0)
 
 
-def _shrunk(rows: DataFrame, keys: list[str], parent: str, name: str) -> DataFrame:
-    """keys and the group's mean of p drawn to its parent's mean, by as many pseudo
-    documents as the spread between groups says (method of moments, 2 to 1,000)."""
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("p").alias("mean"), F.first(parent, True).alias("prior"))
-    spread = groups.agg(
-        F.sum(F.col("n") * (F.col("mean") - F.col("prior")) ** 2).alias("between"),
-        F.sum(F.col("prior") * (1 - F.col("prior"))).alias("within"),
-        F.sum(F.col("n") * F.col("prior") * (1 - F.col("prior"))).alias("scale"),
-    )
-    excess = F.greatest(F.lit(0.0), F.col("between") - F.col("within")) / F.greatest(F.col("scale"), F.lit(1e-9))
-    excess = spread.select(excess).first()[0]
-    strength = 1000.0 if excess is None else min(1000.0, max(2.0, 1 / max(excess, 1e-3) - 1))
-    return groups.select(*keys, ((F.col("n") * F.col("mean") + strength * F.col("prior")) / (F.col("n") + strength)).alias(name))
+def strength(between: float | None, within: float | None, scale: float | None) -> float:
+    """Pseudo documents of the prior that the spread between groups says: method of moments, 2 to 1,000."""
+    if not scale or between is None or between <= within:
+        return 1000.0
+    return min(1000.0, max(2.0, scale / (between - within) - 1))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", label: str = "quality", keep_above: float = 0.5) -> DataFrame:
+def _shrunk(groups: DataFrame, prior: str, name: str) -> DataFrame:
+    """groups(n, total of p, prior) with the group's mean of p drawn to its prior."""
+    p = F.col(prior)
+    mean = F.col("total") / F.col("n")
+    spread = groups.agg(F.sum(F.col("n") * (mean - p) ** 2), F.sum(p * (1 - p)), F.sum(F.col("n") * p * (1 - p))).first()
+    s = strength(*spread)
+    return groups.withColumn(name, (F.col("total") + s * p) / (F.col("n") + s))
+
+
+#: Sites up to which their posteriors are sent to every task, about 100 bytes each.
+BROADCAST_SITES = 50_000
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", label: str = "quality", keep_above: float = 0.5, sample_rows: int = SAMPLE_ROWS, salts: int = 64) -> DataFrame:
     """doc_id, p_document, p_host, p_path, quality, kept: one row for each row.
 
     p_document is the naive Bayes posterior under the global prior; p_host and p_path
@@ -90,10 +95,14 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     the level above; quality replaces the global prior by p_path. A text without
     words has no evidence and takes its path's posterior; null hosts and paths are groups of
     their own; without labels of both kinds all have p_document 0.5 or the labels' mean,
-    clipped. Groups are aggregated partially, so a hot site sends a row a task; their
-    means come back by joins that Spark may broadcast by measured size, or split.
+    clipped. Documents whose labels contradict each other are learnt from by their least label.
+
+    Rows are added up once, partially, by host and path; both levels are computed
+    on those sums. Posteriors come back to the rows by a broadcast of at most
+    BROADCAST_SITES sites, beyond that by a join in which each site is dealt into
+    salts parts, so that the rows of a hot one spread.
     """
-    weights = learn(docs, labels, label)
+    weights = learn(docs, labels, label, sample_rows)
     mean = labels.agg(F.avg((F.col(label) > 0).cast("double"))).first()[0]
     prior = min(0.99, max(0.01, 0.5 if mean is None else mean))
     base = float(np.log(prior / (1 - prior)))
@@ -111,11 +120,18 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     scored = cut(map_batches(doc_bytes(docs, *sites), rows, f"doc_id {kind}, host string, path string, evidence double"))
     logistic = lambda x: 1 / (1 + F.exp(-x))
     logit = lambda p: F.log(p / (1 - p))
-    p = scored.withColumn("p", logistic(F.lit(base) + F.col("evidence"))).withColumn("p_global", F.lit(prior))
-    with_host = p.join(_shrunk(p, ["host"], "p_global", "p_host"), "host")
-    with_path = with_host.join(_shrunk(with_host, ["host", "path"], "p_host", "p_path"), ["host", "path"])
+    p = logistic(F.lit(base) + F.col("evidence"))
+    by_path = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("total")))
+    by_host = by_path.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).withColumn("p_global", F.lit(prior))
+    with_host = by_path.join(_shrunk(by_host, "p_global", "p_host").select("host", "p_host"), "host")
+    posteriors = cut(_shrunk(with_host, "p_host", "p_path").select("host", "path", "p_host", "p_path"))
+    if posteriors.count() <= BROADCAST_SITES:
+        joined = scored.join(F.broadcast(posteriors), ["host", "path"])
+    else:
+        dealt = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "evidence"), F.lit(salts)))
+        joined = dealt.join(posteriors.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["host", "path", "salt"])
     clipped = F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col("p_path")))
-    return with_path.select("doc_id", F.col("p").alias("p_document"), "p_host", "p_path", logistic(F.col("evidence") + logit(clipped)).alias("quality")).withColumn("kept", F.col("quality") > keep_above)
+    return joined.select("doc_id", p.alias("p_document"), "p_host", "p_path", logistic(F.col("evidence") + logit(clipped)).alias("quality")).withColumn("kept", F.col("quality") > keep_above)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,6 +127,71 @@ def test_base_counts_equal_brute_force():
         assert quality_rules.text_counts(text.encode()) == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered))
 
 
+def test_kept_equals_brute_force(spark):
+    rng = random.Random(9)
+    lines = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) + str(rng.randrange(50)) for _ in range(8)) for _ in range(30)]
+    lines = [re.sub(r"\d", "x", x) + f" own{chr(97 + i)}" for i, x in enumerate(lines)]
+    rows = []
+    for i in range(90):
+        text = "\n".join(rng.sample(lines[: rng.choice([4, 30])], 2) + [" ".join(f"d{i}q{j}z{chr(97 + k)}" for k in range(9)) for j in range(rng.choice([0, 1, 2, 6]))])
+        rows.append((i, text, rng.choice(["h", "h", "g", None])))
+    rows += [(200 + i, rows[3][1], "h") for i in range(12)] + [rows[5], (None, rows[7][1], "h"), (None, rows[7][1], "h"), (300, None, "h"), (301, "", "h")]
+    options = {"min_words": 10, "line_docs": 4, "line_share": 0.1, "line_ceiling": 9}
+    norm = lambda t: [w for w in (" ".join(re.sub("[0-9]+", "0", x.lower()).split()) for x in (t or "").split("\n")) if w]
+    want = []
+    for i, text, host in rows:
+        same = [(i if i is not None else f"row{k}", t) for k, (i, t, h) in enumerate(rows) if h == host and norm(t)]
+        docs, texts = {d for d, _ in set(same)}, {t for _, t in same}
+        copies = sorted((r[0] is None, r[0] if r[0] is not None else 0, k) for k, r in enumerate(rows) if r[2] == host and r[1] == text)
+        first = bool(norm(text)) and (i is None, i if i is not None else 0) == copies[0][:2] and i is not None
+        many = lambda n, of: n > 4 and (n > 0.1 * of or n > 9)
+        lost = 0
+        for line in set(norm(text)):
+            by_docs = many(len({d for d, t in same if line in norm(t)}), len(docs))
+            by_texts = by_docs and many(len({t for t in texts if line in norm(t)}), len(texts))
+            if by_texts if first else by_docs:
+                lost += norm(text).count(line) * len(line.split())
+        n = len((text or "").split())
+        repeats = quality_rules.text_counts((text or "").encode())[4]
+        want.append((i, lost, not (n < 10 or 100 * repeats > 50 * n) and n - lost >= 10 and n - lost >= 0.3 * n))
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), **options).collect()
+    assert sorted(map(repr, ((r.doc_id, r.n_frequent_words, r.kept) for r in out))) == sorted(map(repr, want))
+    assert 5 < sum(w[2] for w in want) < len(want) - 20 and any(w[1] for w in want)
+
+
+def test_posteriors_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["good", "fine", "bad", "spam", "word", "text"]) for _ in range(rng.randint(0, 9))), rng.choice(["a", "a", "a", "b", None]), rng.choice(["x", "y"])) for i in range(300)]
+    labels = [(i, int("good" in t)) for i, t, _, _ in rows[:120]] + [(5, 0), (5, 1), (None, 1)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    out = {r.doc_id: r for r in quality_classifier.classify(docs, marks).collect()}
+    monkeypatch.setattr(quality_classifier, "BROADCAST_SITES", 0)
+    salted = {r.doc_id: r for r in quality_classifier.classify(docs, marks).collect()}
+    prior = sum(q for _, q in labels) / len(labels)
+
+    def shrunk(groups):
+        means = {k: (len(ps), sum(ps) / len(ps), parent) for k, (ps, parent) in groups.items()}
+        between, within, scale = (sum(f(*m) for m in means.values()) for f in (lambda n, m, p: n * (m - p) ** 2, lambda n, m, p: p * (1 - p), lambda n, m, p: n * p * (1 - p)))
+        s = 1000.0 if between <= within else min(1000.0, max(2.0, scale / (between - within) - 1))
+        return {k: (n * m + s * p) / (n + s) for k, (n, m, p) in means.items()}
+
+    hosts = shrunk({h: ([out[i].p_document for i, _, g, _ in rows if g == h], prior) for h in {r[2] for r in rows}})
+    paths = shrunk({(h, p): ([out[i].p_document for i, _, g, q in rows if (g, q) == (h, p)], hosts[h]) for h, p in {r[2:] for r in rows}})
+    for i, text, h, p in rows:
+        odds = lambda x: x / (1 - x)
+        quality = odds(out[i].p_document) / odds(prior) * odds(paths[h, p])
+        assert out[i].p_host == pytest.approx(hosts[h]) and out[i].p_path == pytest.approx(paths[h, p]) and out[i].quality == pytest.approx(quality / (1 + quality))
+        assert out[i].quality == pytest.approx(salted[i].quality) and out[i].p_path == pytest.approx(salted[i].p_path)
+        assert text or out[i].p_document == pytest.approx(prior)
+
+
+def test_quality_of_labels_not_learnt_from(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.filter("doc_id % 3 = 1").selectExpr("doc_id", "quality = 1 as good")
+    out = quality_classifier.classify(docs, labels.filter("doc_id % 3 != 1")).join(held, "doc_id").toPandas()
+    assert len(out) > 100 and (out.kept == out.good).mean() > 0.93 > max(out.good.mean(), 1 - out.good.mean())
+
+
 def test_language_of_rows_not_learnt_from(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     filters = language_id.learn(docs.filter(~language_id.held_out()))
