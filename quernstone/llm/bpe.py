@@ -1,7 +1,7 @@
 """Byte-level byte-pair encoding over the public vocabulary files, inside tasks.
 
 Equal pretokens have equal encodings, so each task process keeps a bounded
-memo by pretoken; where a text has letters outside the range in which the
+memo by pretoken, bounded in bytes; where a text has letters outside the range in which the
 installed expression library and the tokenizer file's own splitter agree
 on character classes, the splitter itself cuts the text.
 """
@@ -19,10 +19,12 @@ import regex
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Pretokens that a task process remembers before it starts anew.
-MEMO = 300_000
+#: Bytes that a task process's memo of pretokens may take before it starts anew, what an
+#: entry takes beside its text, and the longest pretoken that is remembered.
+MEMO_BYTES, ENTRY_BYTES, LONGEST = 48 << 20, 160, 64
 
 _PIECES = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# The pattern and the byte letters below are fixed values: they must be the vocabulary's.
 #: Below this code point all character classes agree (tests/llm holds them against each other).
 _FAR = regex.compile("[^\x00-ԯ]")
 
@@ -56,7 +58,23 @@ class Splitter:
                 yield None, self.pretokens(part)
 
 
-class MergeCounts(dict):
+class Memo(dict):
+    """Pretoken -> what compute says of it, remembered within MEMO_BYTES."""
+
+    held = 0
+
+    def __missing__(self, pretoken: str):
+        found = self.compute(pretoken)
+        if len(pretoken) <= LONGEST:
+            self.held += ENTRY_BYTES + 2 * len(pretoken)
+            if self.held > MEMO_BYTES:
+                self.clear()
+                self.held = 0
+            self[pretoken] = found
+        return found
+
+
+class MergeCounts(Memo):
     """Pretoken -> number of tokens, by merges taken off a heap in rank order over
     a doubly linked list of symbols: the count is the initial symbols minus the merges."""
 
@@ -68,13 +86,8 @@ class MergeCounts(dict):
         self.rank: dict[tuple[int, int], tuple[int, int]] = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
         self.byte_ids = [vocab[c] for c in byte_letters()]
 
-    def __missing__(self, pretoken: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        n = self[pretoken] = self.count(pretoken.encode())
-        return n
-
-    def count(self, word: bytes) -> int:
+    def compute(self, pretoken: str) -> int:
+        word = pretoken.encode()
         n, rank = len(word), self.rank.get
         ids: list[int | None] = [self.byte_ids[c] for c in word]
         heap = [(found[0], i, ids[i], ids[i + 1], found[1]) for i in range(n - 1) if (found := rank((ids[i], ids[i + 1])))]
@@ -105,7 +118,7 @@ def byte_letters() -> list[str]:
     return [chr(c if c in visible else next(rest)) for c in range(256)]
 
 
-class PretokenIds(dict):
+class PretokenIds(Memo):
     """Pretoken -> its ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, ranks_path: str = RANKS):
@@ -116,11 +129,8 @@ class PretokenIds(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._encode = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def __missing__(self, pretoken: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = self[pretoken] = np.array(self._encode(pretoken), "<u4").tobytes()
-        return ids
+    def compute(self, pretoken: str) -> bytes:
+        return np.array(self._encode(pretoken), "<u4").tobytes()
 
 
 _PER_PROCESS: dict = {}

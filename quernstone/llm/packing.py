@@ -13,8 +13,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .bpe import RANKS, VOCABULARY, encoder
-from .common import doc_bytes, read
+from .common import doc_bytes, read, slices
 
+#: Ids that a task packs before it pours its open windows together.
+SEGMENT = 1 << 22
 #: A piece of a document: doc_id, start, ids, doc_tokens.
 Piece = tuple[object, int, np.ndarray, int]
 
@@ -26,8 +28,8 @@ class Windows:
     the growth of the squared count if one more comes to stand there; 0 for a full one.
     """
 
-    def __init__(self, size: int, most_open: int):
-        self.size, self.most_open, self.n_open = size, most_open, 0
+    def __init__(self, size: int):
+        self.size = size
         self.open: list[list[list[Piece]]] = [[] for _ in range(size + 1)]
         self.double = np.ones(size + 1, np.int64)
         self.double[size] = 0
@@ -52,24 +54,20 @@ class Windows:
             yield window
             return
         self._put(best + n, window)
-        if self.n_open > self.most_open:
-            yield from self.pour(False)
 
     def _take(self, level: int) -> list[Piece]:
         self.double[level] -= 2
-        self.n_open -= 1
         return self.open[level].pop()
 
     def _put(self, level: int, window: list[Piece]) -> None:
         self.open[level].append(window)
         self.double[level] += 2
-        self.n_open += 1
 
-    def pour(self, last: bool = True) -> Iterator[list[Piece]]:
+    def pour(self, last: bool) -> Iterator[list[Piece]]:
         """Fills the fullest open windows from the emptiest, cutting pieces, until one
         partial window is left; last: yields that too, else it stays open."""
         levels = [(h, w) for h in range(self.size - 1, 0, -1) for w in self.open[h]]
-        self.__init__(self.size, self.most_open)
+        self.__init__(self.size)
         i, j = 0, len(levels) - 1
         while i < j:
             (fill, window), (left, donor) = levels[i], levels[j]
@@ -91,24 +89,24 @@ class Windows:
                 self._put(*levels[i])
 
 
-def pack(docs: DataFrame, size: int = 1024, end_id: int = 0, most_open: int = 4096, with_ids: bool = False, vocabulary: str = VOCABULARY, ranks: str = RANKS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, size: int = 1024, end_id: int = 0, segment: int = SEGMENT, with_ids: bool = False, vocabulary: str = VOCABULARY, ranks: str = RANKS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and ids with with_ids.
 
     Every row is a document: its ids, then end_id; null and empty texts are end_id
     alone, repeated rows are packed as often as they come, null doc_ids stay null.
-    A document of more than size ids first fills whole sequences. Each task packs
-    its own documents online and keeps only its partial windows (at most most_open,
-    beyond which the emptiest are poured into the fullest, as at the task's end), so
-    a task leaves one padded sequence and its memory has a bound. sequence_id holds the
-    partition above 33 bits of the task's own count; a lost task packs the same
-    partition again. Nothing is shuffled.
+    A document of more than size ids first fills whole sequences. Each task packs its own
+    documents online, in segments of about segment ids: at a segment's end the
+    emptiest of the open windows are poured into the fullest, and the one partial window that
+    is left opens the next segment. So a task holds one segment at most and leaves one
+    padded sequence. sequence_id holds the partition above 33 bits of the task's own
+    count; a lost task packs the same partition again. Nothing is shuffled.
     """
     schema = f"doc_id {dict(docs.dtypes)[doc_id]}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, windows = encoder(vocabulary, ranks), Windows(size, most_open)
+        encode, windows, held = encoder(vocabulary, ranks), Windows(size), 0
         sequence = (TaskContext.get().partitionId() << 33) - 1
         out: list[tuple] = []
 
@@ -125,17 +123,20 @@ def pack(docs: DataFrame, size: int = 1024, end_id: int = 0, most_open: int = 40
             out.clear()
             return pa.RecordBatch.from_pydict(dict(zip(arrow.names, rows, strict=True)), schema=arrow)
 
-        for b in batches:
+        for b in slices(batches):
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.append(encode((raw or b"").decode()), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encode((raw or b"").decode(errors="replace")), np.uint32(end_id)).astype("<u4")
                 whole = len(ids) - len(ids) % size
                 for start in range(0, whole, size):
                     close([[(doc, start, ids[start : start + size], len(ids))]])
                 if whole < len(ids):
                     close(windows.add((doc, whole, ids[whole:].copy(), len(ids))))
+                if (held := held + len(ids) - whole) >= segment:
+                    close(windows.pour(last=False))
+                    held = 0
                 if len(out) >= 10_000:
                     yield batch()
-        close(windows.pour())
+        close(windows.pour(last=True))
         if out:
             yield batch()
 

@@ -17,7 +17,8 @@ SLOTS = 1 << 16
 SAMPLE_ROWS = 20_000
 #: A document's evidence is its mean log odds a feature, times this many features at most.
 FEATURES = 20.0
-MEMO = 300_000
+#: Words that a task process remembers, and the bytes of the longest of them.
+MEMO, LONGEST = 200_000, 64
 
 _SHAPES = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"))
 _memo: dict[bytes, tuple[int, int]] = {}
@@ -32,9 +33,10 @@ def features(word: bytes) -> tuple[int, int]:
         for pattern, letter in _SHAPES:
             shape = pattern.sub(letter, shape)
         found = xxhash.xxh3_64_intdigest(b"w" + word.translate(LOWER)) % SLOTS, xxhash.xxh3_64_intdigest(b"s" + shape) % SLOTS
-        if len(_memo) >= MEMO:
-            _memo.clear()
-        _memo[word] = found
+        if len(word) <= LONGEST:
+            if len(_memo) >= MEMO:
+                _memo.clear()
+            _memo[word] = found
     return found
 
 

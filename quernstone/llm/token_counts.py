@@ -19,7 +19,7 @@ def count_tokens(docs: DataFrame, limit: int = 512, vocabulary: str = VOCABULARY
     def rows(ids, raws):
         count = token_counter(vocabulary)
         raws = [r or b"" for r in raws]
-        tokens = [count(r.decode()) for r in raws]
+        tokens = [count(r.decode(errors="replace")) for r in raws]
         return {"doc_id": ids, "n_bytes": [len(r) for r in raws], "n_tokens": tokens, "over_limit": [n > limit for n in tokens]}
 
     kind = dict(docs.dtypes)[doc_id]

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 pytest.importorskip("quernstone.llm")
@@ -36,6 +37,38 @@ def test_tokens_as_the_library_counts_them(library):
         assert count(t) == len(e.ids) and encode(t).tolist() == e.ids
 
 
+def test_tokens_of_all_texts(spark, library):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    count, encode = bpe.token_counter(), bpe.encoder()
+    for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert count(t) == len(e.ids) and encode(t).tolist() == e.ids
+
+
+def test_placement_equals_brute_force():
+    rng, size = random.Random(12), 16
+    windows, fills = packing.Windows(size), []
+    for i in range(600):
+        n = rng.randint(1, size)
+        if n == size:
+            continue
+        squares = lambda fs: sum(sum(f == h for f in fs) ** 2 for h in range(1, size))
+        ways = [(squares([*fills[:k], fills[k] + n, *fills[k + 1 :]]), -fills[k], k) for k in range(len(fills)) if fills[k] + n <= size] + [(squares([*fills, n]), 0, None)]
+        _, _, k = min(ways, key=lambda w: w[:2])
+        filled = list(windows.add((i, 0, np.zeros(n, np.uint32), n)))
+        fills = [*fills, n] if k is None else [*fills[:k], fills[k] + n, *fills[k + 1 :]]
+        assert bool(filled) == (size in fills)
+        fills = [f for f in fills if f < size]
+        assert sorted(fills) == sorted(h for h in range(size + 1) for _ in windows.open[h])
+
+
+def test_packing_in_segments(spark):
+    docs = spark.createDataFrame([(i, "word and text " * (5 + i % 23)) for i in range(300)], "doc_id long, text string").coalesce(1)
+    for segment in (200, 10**9):
+        out = packing.pack(docs, size=64, segment=segment).toPandas()
+        fills = out.groupby("sequence_id").length.sum()
+        assert (fills == 64).sum() >= len(fills) - 1 and (out.groupby("doc_id").length.sum() == out.groupby("doc_id").doc_tokens.first()).all()
+
+
 def test_packing_round_trip(spark, odd, library):
     out = packing.pack(odd, size=64, with_ids=True).toPandas()
     for doc, group in out[out.doc_id.notna() & (out.doc_id != 4)].groupby("doc_id"):
