@@ -29,6 +29,15 @@ _INDEX = "bundle string, frame int, at int, length int"
 _RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def open_store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path of a folder (a path or URI), by pyarrow: Hadoop's names of
+    object stores are taken as theirs."""
+    for name, own in (("s3a://", "s3://"), ("s3n://", "s3://"), ("abfss://", "abfs://"), ("wasbs://", "abfs://")):
+        if folder.startswith(name):
+            folder = own + folder.removeprefix(name)
+    return fs.FileSystem.from_uri(folder)
+
+
 class BundleWriter:
     """Frames that can be read alone, and at the end their sizes as a seek table."""
 
@@ -130,8 +139,9 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_R
     Null html is an empty payload, null urls are empty; rows with a null page_id are
     responses, and records of repeated rows repeat. Equal payloads are found by digest
     with a partial aggregation; only groups of two or more are joined back. A task that
-    runs again writes files of a new name, and the index names those of the run
-    that counted.
+    runs again writes files of a new name; the index names those of the run that
+    counted and is the folder's manifest: bundles that it doesn't name are left from lost
+    attempts and may be deleted.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
@@ -139,7 +149,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_R
     decided = rows.join(groups, "digest", "left").select("page_id", "url", "payload", "digest", F.when((F.octet_length("payload") >= min_revisit_bytes) & (F.col("page_id") != F.col("original")), F.col("original")).alias("refers_to"))
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = open_store(folder)
         bundle, name, n = None, "", 0
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("page_id", "bundle", "frame", "at", "length")}
@@ -157,7 +167,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_R
         if bundle:
             bundle.close()
 
-    store, base = fs.FileSystem.from_uri(folder)
+    store, base = open_store(folder)
     store.create_dir(base, recursive=True)
     return cut(decided.mapInArrow(write, f"page_id long, {_INDEX}"))
 
@@ -167,7 +177,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
     records, each taken from its frame; a frame is unpacked once."""
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = open_store(folder)
         name, reader = None, None
         for t in runs(batches, 2):
             if t.column(0)[0].as_py() != name:
@@ -177,8 +187,9 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
             found = [parse(frame[a : a + n]) for a, n in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
-    places = index.select("bundle", "frame", "at", "length").repartition("bundle").sortWithinPartitions("bundle", "frame", "at")
-    return places.mapInArrow(fetch, _RECORD)
+    places = index.select("bundle", "frame", "at", "length")
+    tasks = places.select("bundle").distinct().count()  # index bytes don't show the payloads: a fixed number of tasks stays
+    return places.repartition(max(1, tasks), "bundle").sortWithinPartitions("bundle", "frame", "at").mapInArrow(fetch, _RECORD)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
