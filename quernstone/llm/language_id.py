@@ -20,6 +20,8 @@ SHORT_GRAMS = 20_000
 #: A text of as many four-grams, of which no language knows that share, is in none.
 FOREIGN_GRAMS = 100
 FOREIGN_SHARE = 0.05
+#: Fewer n-grams than these, of all languages, are too little to call a text foreign.
+LEARNT_GRAMS = 2_000
 SLOT_BITS = 20
 HASHES = 2
 
@@ -53,6 +55,7 @@ class Filters:
     false_rate: np.ndarray  # of each language: share of absent n-grams that it claims
     short: dict[int, list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)  # n to each language's n-grams, rising, and their rates
     prior: np.ndarray | None = None  # of each language: share of the texts learnt from
+    learnt: int = 0  # n-grams of all languages
 
     @classmethod
     def of(cls, languages: list[str], members: list[np.ndarray], short: list[tuple[np.ndarray, np.ndarray]] | None = None, prior: np.ndarray | None = None) -> Filters:
@@ -69,7 +72,7 @@ class Filters:
                 codes, which = np.unique(codes >> U64(8 * (3 - size)), return_inverse=True)
                 times = np.bincount(which, times, len(codes))
                 below[size].append((codes, (times / max(1.0, times.sum())).astype(np.float32)))
-        return cls(languages, table, share**HASHES, below if short else {}, prior)
+        return cls(languages, table, share**HASHES, below if short else {}, prior, sum(map(len, members)))
 
     def _back_off(self, text: str) -> tuple[str, float]:
         """The language with the highest mean share in the rates of the longest n-grams
@@ -107,7 +110,7 @@ class Filters:
         hits = np.array([np.count_nonzero(mask[:, i // 64] & U64(1 << (i % 64))) for i in range(len(self.languages))], float)
         true = np.maximum(0.0, hits - self.false_rate * len(codes)) / (1 - self.false_rate)
         best = int(np.argmax(true))
-        foreign = len(codes) >= FOREIGN_GRAMS and bool(true[best] < FOREIGN_SHARE * len(codes))
+        foreign = len(codes) >= FOREIGN_GRAMS and self.learnt >= LEARNT_GRAMS and bool(true[best] < FOREIGN_SHARE * len(codes))
         return (self.languages[best], float(true[best] / true.sum()), foreign) if true[best] else (*self._back_off(text), foreign)
 
 

@@ -25,6 +25,7 @@ class Rule:
     hot_rows: int = 256  # rows of a key from which it is put last in the order of keys
     hot_keys: int = 65_536  # at most so many keys, the most frequent ones, are put last
     tile_rows: int = 1_024
+    pair_rows: int = 10_000  # pairs of a document from which they are dealt into parts
 
     def shingles(self, raw: bytes | None) -> np.ndarray:
         """The sorted set of shingle hashes; of fewer words the whole sequence is one."""
@@ -127,9 +128,31 @@ def _keyed(sets: DataFrame, rule: Rule) -> DataFrame:
     return sides.filter((F.col("first") & (F.col("after") * rule.percent <= F.col("n") * 100)) | (F.col("before") * 100 >= F.col("n") * rule.percent)).select("key", "n", "doc_id", "first")
 
 
+def _popular(pairs: DataFrame, rows: int) -> DataFrame | None:
+    """doc_id, salts: documents that stand in more than rows pairs, and the parts to deal them into."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    found = cut(ids.groupBy("doc_id").agg(F.ceil(F.count("*") / rows).cast("int").alias("salts")).filter("salts > 1"))
+    return found if found.take(1) else None
+
+
+def _with_sides(pairs: DataFrame, side: DataFrame, columns: list[str], rule: Rule) -> DataFrame:
+    """a, b and the columns of side (by doc_id) as <column>_a and <column>_b. A document of
+    very many pairs is sent once to each of several parts of them."""
+    popular = _popular(pairs, rule.pair_rows)
+    for me, other in (("a", "b"), ("b", "a")):
+        mine = side.select(F.col("doc_id").alias(me), *(F.col(c).alias(f"{c}_{me}") for c in columns))
+        if popular is None:
+            pairs = pairs.join(mine, me)
+        else:
+            salts = popular.select(F.col("doc_id").alias(me), "salts")
+            pairs = pairs.join(salts, me, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+            mine = mine.join(salts, me, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+            pairs = pairs.join(mine, [me, "salt"]).drop("salt")
+    return pairs.select("a", "b", *(f"{c}_{s}" for s in "ab" for c in columns))
+
+
 def _pairs_bounded(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that their bitmaps leave possible."""
-    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
 
     def rows(a, b, n, bits, m, others):
         keep = []
@@ -139,8 +162,7 @@ def _pairs_bounded(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             keep.append(100 * most >= rule.percent * (n[i] + m[i] - most))
         return {"a": [x for x, k in zip(a, keep, strict=True) if k], "b": [x for x, k in zip(b, keep, strict=True) if k]}
 
-    wide = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    return map_batches(wide, rows, "a long, b long")
+    return map_batches(_with_sides(pairs, sets, ["n", "bits"], rule), rows, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -148,13 +170,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     pairs = cut(pairs)
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = cut(_texts_of(docs, ids))
-    wide = pairs.join(texts.toDF("a", "raw_a"), "a").join(texts.toDF("b", "raw_b"), "b").select("a", "b", "raw_a", "raw_b")
 
     def rows(a, b, x, y):
         keep = [i for i in range(len(a)) if rule.linked(rule.shingles(x[i]), rule.shingles(y[i]))]
         return {"a": [a[i] for i in keep], "b": [b[i] for i in keep]}
 
-    return cut(map_batches(wide, rows, "a long, b long"))
+    return cut(map_batches(_with_sides(pairs, texts, ["raw"], rule), rows, "a long, b long"))
 
 
 def _hot_keys(sets: DataFrame, rule: Rule) -> np.ndarray | None:
@@ -183,32 +204,55 @@ def _neighbours(keyed: DataFrame, rule: Rule) -> DataFrame:
     return pairs.filter(fits & (F.col("doc_id") != F.col("other"))).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
 
 
-def _tiles(keyed: DataFrame, sets: DataFrame, labels: DataFrame, rule: Rule, best: int | None, once: bool) -> DataFrame:
-    """key, a, b: pairs under a key that no link joins yet and bitmaps leave possible.
+def _tile_rows(keyed: DataFrame, sets: DataFrame, labels: DataFrame, rule: Rule, once: bool) -> DataFrame:
+    """The rows of the tiles, named by key, tile, i, j: those under a key that no link joins yet.
 
-    A key of at most rule.tile_rows rows is a tile; the rows of one with more are dealt
-    into tiles of one size band and the next above, and a band of many rows into blocks,
-    each pair of which is a tile. With best, a set names only so many larger ones, those
-    with the highest bound; rows (key, doc_id, null) then say which had more. With once,
-    a pair counts under the least key that both share only (a round before has either
-    checked it there or named both rows).
+    A key of at most rule.tile_rows rows is a tile; the rows of one with more are dealt into
+    blocks of one size band, and pairs of blocks of one band, or of neighbouring bands, are
+    tiles. A component of many rows under the key has blocks of its own, and no
+    tile joins those with each other: a great component and a few strangers make
+    as many tiles as it has blocks, not their square.
     """
     keys_too = F.col("keys") if once else F.lit(None).cast("array<long>").alias("keys")
     labelled = keyed.join(labels, keyed["doc_id"] == labels["node"], "left").select("key", "n", "doc_id", "first", F.coalesce("component", "doc_id").alias("component"))
     keys = labelled.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).filter(f"low < high and rows > {1 if once else 2}").select("key", "rows")  # two alone have been compared as neighbours
-    left = labelled.join(keys, "key").join(_split(sets.select("doc_id", F.coalesce("coarse", "bits").alias("bits"), keys_too), keyed.select("doc_id"))[0], "doc_id").withColumn("band", rule.band(F.col("n")))
-    small = left.filter(F.col("rows") <= rule.tile_rows).withColumns({"tile": F.lit(-1), "i": F.lit(0), "j": F.lit(0), "upper": F.lit(0), "block": F.lit(0)})
+    left = labelled.join(keys, "key").withColumn("band", rule.band(F.col("n")))
+    contents = _split(sets.select("doc_id", F.coalesce("coarse", "bits").alias("bits"), keys_too), keyed.select("doc_id"))[0]
+    names = ["key", "tile", "i", "j", "n", "doc_id", "first", "component", "upper", "block"]
+    small = left.filter(F.col("rows") <= rule.tile_rows).withColumns({"tile": F.lit(-1), "i": F.lit(0), "j": F.lit(0), "upper": F.lit(0), "block": F.lit(0)}).select(*names)
     large = left.filter(F.col("rows") > rule.tile_rows)
-    blocks = large.groupBy("key", "band").agg(F.ceil(F.count("*") / rule.tile_rows).cast("int").alias("blocks"))
-    dealt = large.join(blocks, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    own = dealt.select("*", F.col("band").alias("tile"), F.lit(0).alias("upper"), F.explode(F.expr("transform(sequence(0, blocks - 1), i -> struct(least(i, block) as i, greatest(i, block) as j))")).alias("ij"))
+    groups = cut(large.groupBy("key", "band", "component").agg(F.count("*").alias("c")))
+    own_blocks = F.ceil(F.col("c") / rule.tile_rows).cast("int")
+    pure = groups.filter(F.col("c") >= rule.tile_rows).withColumn("own", own_blocks)
+    spans = pure.withColumn("from", (F.sum("own").over(Window.partitionBy("key", "band").orderBy("component")) - F.col("own")).cast("int")).select("key", "band", "component", "from", "own")
+    of_mixed = F.ceil(F.coalesce(F.sum(F.when(F.col("c") < rule.tile_rows, F.col("c"))), F.lit(0)) / rule.tile_rows).cast("int")
+    of_pure = F.coalesce(F.sum(F.when(F.col("c") >= rule.tile_rows, own_blocks)), F.lit(0)).cast("int")
+    sizes = groups.groupBy("key", "band").agg(of_pure.alias("pure"), (of_pure + of_mixed).alias("blocks"))
+    part = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    dealt = large.join(sizes, ["key", "band"]).join(spans, ["key", "band", "component"], "left")
+    dealt = dealt.withColumn("block", F.when(F.col("from").isNotNull(), F.col("from") + part(F.col("own"))).otherwise(F.col("pure") + part(F.col("blocks") - F.col("pure"))))
+    dealt = dealt.select("key", "band", "n", "doc_id", "first", "component", "block")
+
+    def met(step: int, i, j, tile, upper: int) -> DataFrame:
+        """Rows, once for each block of the band step above their own that holds other components."""
+        there = dealt.join(sizes.select("key", (F.col("band") - step).alias("band"), "blocks"), ["key", "band"]).join(spans.withColumn("band", F.col("band") - step), ["key", "band", "component"], "left")
+        blocks = F.expr("filter(sequence(0, blocks - 1), i -> from is null or i < from or i >= from + own)")
+        return there.withColumn("other", F.explode(blocks)).withColumns({"i": i, "j": j, "tile": tile, "upper": F.lit(upper)}).select(*names)
+
+    block, other = F.col("block"), F.col("other")
+    rows = met(0, F.least(block, other), F.greatest(block, other), F.col("band"), 0)
     # a band's rows meet those of the band below in the tiles (block there, own block + 1000000)
-    below = dealt.join(blocks.select("key", (F.col("band") + 1).alias("band"), F.col("blocks").alias("others")), ["key", "band"])
-    below = below.select(*dealt.columns, (F.col("band") - 1).alias("tile"), F.lit(1).alias("upper"), F.explode(F.expr("transform(sequence(0, others - 1), i -> struct(i, block + 1000000 as j))")).alias("ij"))
-    above = dealt.join(blocks.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("others")), ["key", "band"])
-    above = above.select(*dealt.columns, F.col("band").alias("tile"), F.lit(0).alias("upper"), F.explode(F.expr("transform(sequence(0, others - 1), i -> struct(block as i, i + 1000000 as j))")).alias("ij"))
-    names = ["key", "tile", "i", "j", "n", "doc_id", "first", "component", "upper", "block", "bits", "keys"]
-    rows = own.unionByName(below).unionByName(above).withColumns({"i": F.col("ij.i"), "j": F.col("ij.j")}).select(*names).unionByName(small.select(*names))
+    rows = rows.unionByName(met(1, block, other + 1_000_000, F.col("band"), 0)).unionByName(met(-1, other, block + 1_000_000, F.col("band") - 1, 1))
+    return small.unionByName(rows).join(contents, "doc_id").select(*names, "bits", "keys")
+
+
+def _tiles(keyed: DataFrame, sets: DataFrame, labels: DataFrame, rule: Rule, best: int | None, once: bool) -> DataFrame:
+    """key, a, b: pairs under a key that no link joins yet and bitmaps leave possible.
+
+    With best, a set names only so many larger ones, those with the highest bound; rows
+    (key, doc_id, null) then say which had more. With once, a pair counts under the least key
+    that both share only (a round before has either checked it there or named both rows).
+    """
 
     def pairs(batches):
         for t in runs(batches, 4):
@@ -216,6 +260,7 @@ def _tiles(keyed: DataFrame, sets: DataFrame, labels: DataFrame, rule: Rule, bes
             if found and found["a"]:
                 yield pa.RecordBatch.from_pydict(found | {"key": [t.column("key")[0].as_py()] * len(found["a"])}, schema=pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]))
 
+    rows = _tile_rows(keyed, sets, labels, rule, once)
     return cut(rows.repartition("key", "tile", "i", "j").sortWithinPartitions("key", "tile", "i", "j").mapInArrow(pairs, "key long, a long, b long"))
 
 
@@ -280,6 +325,8 @@ def join_ngrams(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id
     bound the overlap before the exact intersection: the best few of each set, which
     joins most of a group of near copies, then all that are still apart.
     """
+    if dict(docs.dtypes)[doc_id] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{doc_id} must be a whole number")
     docs = doc_bytes(docs, text=text, doc_id=doc_id).withColumn("doc_id", F.col("doc_id").cast("long"))
     known = docs.filter(F.col("doc_id").isNotNull())
     all_sets = cut(_sketch(docs, rule))
@@ -295,15 +342,20 @@ def join_ngrams(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id
         touched = cut(map_batches(of_class.select("doc_id", "keys"), lambda ids, ks: {"doc_id": [i for i, k in zip(ids, ks, strict=True) if not late.isdisjoint(k)]}, "doc_id long").distinct())
         maybe, others = _split(of_class, touched)
         of_class = others.unionByName(maybe.join(touched, "doc_id", "left_anti").select(*sets.columns)).unionByName(_sketch(_texts_of(known, touched), rule, hot))
-    repeated = cut(sets.groupBy("doc_id", "digest").count().filter("count > 1").select("doc_id").distinct())
-    if repeated.take(1):  # rows of equal doc_id and text
+    repeated = cut(sets.groupBy("doc_id").agg(F.count("*").alias("rows"), (F.min("digest") != F.max("digest")).alias("several")).filter("rows > 1").select("doc_id", "several"))
+    links = None
+    if repeated.take(1):  # rows of equal doc_id: equal ones once, and links between different ones
         maybe, once = _split(of_class, repeated)
         of_class = once.unionByName(maybe.dropDuplicates(["doc_id", "digest"]))
+        several = repeated.filter("several").select("doc_id")
+        links = cut(_split(sets.select("doc_id", "digest"), several)[0].join(several, "doc_id").join(classes, "digest").filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     of_class = cut(of_class)
     keyed = cut(_keyed(of_class, rule))
     bits = of_class.select("doc_id", "n", "bits", "coarse", "keys")
 
     found = _verified(_pairs_bounded(cut(_neighbours(keyed, rule)), bits, rule), known, rule)
+    if links is not None:
+        found = found.unionByName(links)
     labels = cut(components(found))
     for best, once in ((2, False), (None, True)):
         tiles = _tiles(keyed, bits, labels, rule, best, once)

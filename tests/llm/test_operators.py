@@ -1,6 +1,7 @@
 """Operators against brute force and the tokenizer library; odd inputs."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -120,6 +121,40 @@ def test_join_equals_brute_force(spark):
         assert {(r.doc_id, r.n_shingles, r.component_id) for r in out} == {(i, len(sets[i]), top(i)) for i in ids}
 
 
+def test_join_links_the_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, b), (7, b), (7, a), (9, a), (4, c), (11, c), (11, a), (11, None), (12, "other words")]
+    out = ngram_join.join_ngrams(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in out if r.n_shingles} == {(5, 4), (7, 4), (9, 4), (4, 4), (11, 4), (12, 12)} and len(out) == len(rows)
+    with pytest.raises(ValueError):
+        ngram_join.join_ngrams(spark.createDataFrame([("x", a)], "doc_id string, text string"))
+
+
+def test_tiles_of_a_great_component(spark):
+    rule = ngram_join.Rule(tile_rows=100)
+    ids = range(3_001)
+    keyed = spark.createDataFrame([(1, 50 + i % 40, i, True) for i in ids], "key long, n int, doc_id long, first boolean")
+    sets = spark.createDataFrame([(i, b"12345678", None, [1]) for i in ids], "doc_id long, bits binary, coarse binary, keys array<long>")
+    labels = spark.createDataFrame([(i, 0) for i in ids[:-1]], "node long, component long")
+    rows = ngram_join._tile_rows(keyed, sets, labels, rule, True).toPandas()
+    assert rows.doc_id.nunique() > 1_000 and len(rows) < 3 * len(ids) + 100
+    shared = rows.groupby(["key", "tile", "i", "j"]).component.nunique()
+    near = {i for i in ids[:-1] if abs(int(ngram_band(rule, 50 + i % 40)) - int(ngram_band(rule, 50 + 3000 % 40))) <= 1}
+    with_stranger = rows.merge(rows[rows.doc_id == 3000][["tile", "i", "j"]], on=["tile", "i", "j"])
+    assert near <= set(with_stranger.doc_id) and shared.max() == 2
+
+
+def ngram_band(rule, n):
+    return math.floor(math.log(n) / math.log(100 / rule.percent) + 1e-9)
+
+
+def test_join_deals_popular_documents(spark):
+    base = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(base))] + [(i, " ".join([*base[:60], f"x{i}", *base[60:]])) for i in range(1, 40)]
+    out = ngram_join.join_ngrams(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.Rule(pair_rows=3, hot_rows=8, tile_rows=4)).collect()
+    assert {r.component_id for r in out} == {0} and len(out) == 40
+
+
 def test_components_by_stars(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)]
