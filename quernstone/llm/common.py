@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +50,24 @@ def cut(df: DataFrame) -> DataFrame:
     lost executors read it again, later steps read only the columns they use, and
     its size tells Spark which joins can broadcast."""
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = SLICE_ROWS) -> Iterator[None]:
+    """What is run meanwhile hands Python batches of at most so many rows: rows here are
+    texts, and both sides hold whole batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of the batches of at most so many rows, and about so many bytes, so that
     what Python holds of a batch at once has a bound (or is a single row)."""
@@ -60,6 +75,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
         step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()
 
 
 def map_batches(df: DataFrame, rows: Callable[..., dict[str, list | np.ndarray]], schema: str) -> DataFrame:
