@@ -31,13 +31,6 @@ def claim_grounding(documents):
     return documents.filter("text is not null").select("doc_id", content.grounding(claim, F.col("text")).alias("grounding"))
 
 
-@query("""with a as (select l_suppkey, l_returnflag, case when l_quantity >= 5 then l_quantity > 25 end as ok from lineitem)
-select l_suppkey, l_returnflag, count(ok) as attempted, count(*) filter (ok) as correct, count(*) filter (not ok) as wrong, count(*) - count(ok) as unattempted, 3 * count(*) filter (ok) - count(*) filter (not ok) as raw, 3 * count(*) as best, round(count(*) filter (ok) / count(ok)::double, 6) as accuracy from a group by 1, 2""")
-def section_scores(lineitem):
-    answers = lineitem.withColumn("ok", F.when(F.col("l_quantity") >= 5, F.col("l_quantity") > 25))
-    return content.section_scores(answers, ["l_suppkey", "l_returnflag"], "ok")
-
-
 @query("""select o_custkey, case when avg((o_orderstatus = 'O')::int) >= 0.5 then 'hidden' when avg((o_orderstatus = 'F')::int) >= 0.5 then 'percentile_only' else 'full' end as mode from orders group by 1""")
 def rank_visibility(orders):
     states = orders.withColumn("state", F.when(F.col("o_orderstatus") == "O", "fractured").when(F.col("o_orderstatus") == "F", "fragile").otherwise("fluid"))
@@ -50,9 +43,9 @@ def display_form(part):
 
 
 @query("""with p as (select *, p_size <= 10 as easy, sha256('mock:' || p_partkey) as place from part), q as (select *, row_number() over (partition by p_brand, easy order by place) > case when easy then 3 else 7 end as extra from p)
-select p_brand, p_partkey from (select *, row_number() over (partition by p_brand order by extra, place) as pick from q) where pick <= 10""")
+select p_brand, p_partkey, row_number() over (partition by p_brand order by p_size, place) as position from (select *, row_number() over (partition by p_brand order by extra, place) as pick from q) where pick <= 10""")
 def difficulty_ramp(part):
-    return content.ramp(part, "p_brand", "p_partkey", F.col("p_size") <= 10, 10, 3, "mock").select("p_brand", "p_partkey")
+    return content.ramp(part, "p_brand", "p_partkey", F.col("p_size") <= 10, "p_size", 10, 3, "mock").select("p_brand", "p_partkey", "position")
 
 
 @query("""with m as (select l_orderkey, arg_min(l_suppkey, (l_returnflag = 'R', l_suppkey)) as s from lineitem group by 1)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.functions import rank_percentile
+from quernstone.functions import clamp, rank_percentile
 
 
 def kpis(events: DataFrame, as_of: str, start_type: str, minutes: str) -> DataFrame:
@@ -22,17 +23,31 @@ def kpis(events: DataFrame, as_of: str, start_type: str, minutes: str) -> DataFr
     )
 
 
+def running_before(counts: DataFrame, order: str, n: str, within: list[str] | None = None, parts: int = 64) -> DataFrame:
+    """counts with before: the sum of n over the rows of lesser order, in each group of within.
+
+    Ranges of order (by quantiles of a bounded sample that Spark keeps) hold about equal shares; sums by range are
+    few and carry over, so no task orders more than a range of a group.
+    """
+    within = within or []
+    spread = counts.repartitionByRange(parts, *within, order).withColumn("_range", F.spark_partition_id())
+    spread = spread.checkpoint() if counts.sparkSession.sparkContext.getCheckpointDir() else spread.persist(StorageLevel.MEMORY_AND_DISK)
+    ranges = spread.groupBy(*within, "_range").agg(F.sum(n).alias("_n"))
+    carried = F.coalesce(F.sum("_n").over(Window.partitionBy(*(within or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.coalesce(F.sum(n).over(Window.partitionBy(*within, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return spread.join(ranges.withColumn("_carried", carried).drop("_n"), [*within, "_range"]).withColumn("before", F.col("_carried") + inner).drop("_range", "_carried")
+
+
 def leaderboard(scores: DataFrame, key: str, score: str) -> DataFrame:
-    """rank (gaps after ties), n and percentile of every row.
+    """rank (gaps after ties), n and percentile of every row, high scores first.
 
-    Scores are counted first and ranks summed over the different scores; a score's
-    rank comes back by a join, so no task sorts all rows.
+    Different scores are counted and ranks are sums over ranges of them; a score's rank comes
+    back by a join, so no task sorts all rows.
     """
-    counts = scores.groupBy(score).agg(F.count("*").alias("same"))
-    below = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("rank", 1 + F.coalesce(F.sum("same").over(below), F.lit(0)))
-    n = scores.agg(F.count("*").alias("n"))
-    return scores.select(key, score).join(ranked.select(score, "rank"), score).join(F.broadcast(n), F.lit(True)).withColumn("percentile", rank_percentile(F.col("rank"), F.col("n"))).select(key, score, "rank", "n", "percentile")
+    counts = scores.groupBy(score).agg(F.count("*").alias("same")).withColumn("_down", -F.col(score))
+    ranked = running_before(counts, "_down", "same").select(score, (F.col("before") + 1).alias("rank"))
+    n = scores.count()
+    return scores.select(key, score).join(ranked, score).withColumn("n", F.lit(n)).withColumn("percentile", rank_percentile(F.col("rank"), F.col("n"))).select(key, score, "rank", "n", "percentile")
 
 
 def streaks(days: DataFrame, user: str, day: str) -> DataFrame:
@@ -50,20 +65,21 @@ def leading_run(rows: DataFrame, key: str, order: list, hit, last: int = 30) ->
     return ranked.groupBy(key).agg(F.count_if(F.col("_miss") == 0).alias("streak"))
 
 
-def radar(attempts: DataFrame, user: str) -> DataFrame:
-    """Accuracy over graded attempts, volume, median and floor-index quartile of times,
-    focus (share of times within 1.5 medians): one grouping, arrays within a user."""
+def radar(attempts: DataFrame, user: str, days: DataFrame, streaks: DataFrame) -> DataFrame:
+    """user, volume and six figures from 0 to 1: speed and reflex from the median and the quartile (by index)
+    of times, logic from graded attempts, focus the share of times within 1.5 medians, stamina from
+    the mean of days(n), memory from the longest streak. One grouping, arrays within a learner: for people."""
     times = F.array_sort(F.collect_list(F.when(F.col("time_ms") > 0, F.col("time_ms"))))
-    g = attempts.groupBy(user).agg(F.avg(F.col("correct").cast("double")).alias("accuracy"), F.count("*").alias("volume"), F.percentile(F.when(F.col("time_ms") > 0, F.col("time_ms")), 0.5).alias("median_ms"), times.alias("times"))
+    g = attempts.groupBy(user).agg(F.avg(F.col("correct").cast("double")).alias("accuracy"), F.count("*").alias("volume"), F.percentile(F.when(F.col("time_ms") > 0, F.col("time_ms")), 0.5).alias("median"), times.alias("times"))
+    g = g.join(days.groupBy(user).agg(F.avg("n").alias("per_day")), user, "left").join(streaks.select(user, "longest"), user, "left")
     n = F.size("times")
+    quartile = F.when(n > 0, F.element_at("times", (F.floor(n / 4) + 1).cast("int")))
+    share = F.size(F.filter("times", lambda t: t <= 1.5 * F.col("median"))) / F.when(n > 0, n)
+    figure = lambda c: F.round(clamp(F.coalesce(c, F.lit(0.0)), 0.0, 1.0), 6)
     return g.select(
-        user,
-        F.round("accuracy", 6).alias("accuracy"),
-        "volume",
-        "median_ms",
-        F.when(n > 0, F.element_at("times", (F.floor(n / 4) + 1).cast("int"))).alias("p25_ms"),
-        F.when(n > 0, F.round(F.size(F.filter("times", lambda t: t <= 1.5 * F.col("median_ms"))) / n, 6)).alias("focus"),
-    )
+        user, "volume", figure(1 - F.col("median") / 60_000).alias("speed"), figure(F.col("accuracy")).alias("logic"), figure(F.col("per_day") / 25).alias("stamina"),
+        figure(share).alias("focus"), figure(F.col("longest") / 7).alias("memory"), figure(1 - quartile / 20_000).alias("reflex"),
+    )
 
 
 def cohort_retention(users: DataFrame, activity: DataFrame, user: str, joined: str, day: str) -> DataFrame:
@@ -74,18 +90,31 @@ def cohort_retention(users: DataFrame, activity: DataFrame, user: str, joined: s
 
 
 def midrank_percentile(scores: DataFrame, group: str, score: str) -> DataFrame:
-    """Share of peers below, ties by half, among the other rows of the group."""
-    by = Window.partitionBy(group)
-    below = F.rank().over(by.orderBy(score)) - 1
-    same = F.count("*").over(Window.partitionBy(group, score)) - 1
-    others = F.count("*").over(by) - 1
-    return scores.withColumn("percentile", F.when(others > 0, F.bround(100.0 * (below + 0.5 * same) / others, 0).cast("int")).otherwise(F.lit(50)))
-
-
-def decay_attribution(touches: DataFrame, conversions: DataFrame, user: str, rate: float = 0.000099) -> DataFrame:
-    """Of each conversion the touch of most weight exp(-rate * seconds between)."""
-    pairs = conversions.join(touches, user).withColumn("weight", F.exp(-rate * (F.unix_timestamp("converted_at") - F.unix_timestamp("touched_at"))))
-    return pairs.groupBy(user, "conversion_id").agg(F.max_by("touch_id", F.struct("weight", "touch_id")).alias("touch_id"))
+    """scores with percentile: the share of the group's other rows below, ties by half. Scores are counted by
+    group first and summed over ranges, so a great group is not one task."""
+    counts = scores.groupBy(group, score).agg(F.count("*").alias("same"))
+    ranked = running_before(counts, score, "same", [group])
+    sizes = counts.groupBy(group).agg(F.sum("same").alias("_all"))
+    others = F.col("_all") - 1
+    share = F.when(others > 0, F.bround(100.0 * (F.col("before") + 0.5 * (F.col("same") - 1)) / others, 0).cast("int")).otherwise(F.lit(50))
+    return scores.join(ranked, [group, score]).join(sizes, group).withColumn("percentile", share).drop("same", "before", "_all")
+
+
+def decay_attribution(touches: DataFrame, conversions: DataFrame, user: str, before_only: bool = False) -> DataFrame:
+    """Of each conversion the touch of most weight exp(-rate * seconds between), whatever the rate.
+
+    The weight rises with the touch's time, also past the conversion, so a user's last touch has it for
+    all the user's conversions: one maximum a user, and an equi join. With before_only it is the
+    last touch up to the conversion, by one ordered window over both.
+    """
+    latest = F.struct(F.unix_timestamp("touched_at").alias("at"), F.col("touch_id").alias("id"))
+    if not before_only:
+        last = touches.groupBy(user).agg(F.max(latest)["id"].alias("touch_id"))
+        return conversions.join(last, user).select(user, "conversion_id", "touch_id")
+    both = touches.select(user, F.unix_timestamp("touched_at").alias("at"), latest.alias("_touch"), F.lit(None).cast(dict(conversions.dtypes)["conversion_id"]).alias("conversion_id"))
+    both = both.unionByName(conversions.select(user, F.unix_timestamp("converted_at").alias("at"), F.lit(None).cast(dict(both.dtypes)["_touch"]).alias("_touch"), "conversion_id"))
+    seen = F.max("_touch").over(Window.partitionBy(user).orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_last", seen).filter("conversion_id is not null and _last is not null").select(user, "conversion_id", F.col("_last.id").alias("touch_id"))
 
 
 def weak_areas(answers: DataFrame, skill: str, threshold: float = 0.7) -> DataFrame:

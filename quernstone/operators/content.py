@@ -31,13 +31,6 @@ def grounding(claim: Column, page: Column) -> Column:
     return F.when(F.contains(page, claim), "exact").when(F.contains(fold(page), fold(claim)), "fuzzy").otherwise("discard")
 
 
-def section_scores(answers: DataFrame, by: list[str], correct: str, right: int = 3, wrong: int = 1) -> DataFrame:
-    """Counts and marks by section; a null answer is unattempted and costs nothing."""
-    c, w = F.count_if(F.col(correct)), F.count_if(~F.col(correct))
-    tried = F.count(correct)
-    return answers.groupBy(*by).agg(tried.alias("attempted"), c.alias("correct"), w.alias("wrong"), (F.count("*") - tried).alias("unattempted"), (c * right - w * wrong).alias("raw"), (F.count("*") * right).alias("best"), F.when(tried > 0, F.round(c / tried, 6)).alias("accuracy"))
-
-
 def cognitive_mode(states: DataFrame, user: str, state: str) -> DataFrame:
     """What a learner is shown of ranks: hidden if half of the skills or more are
     fractured, percentile_only if half or more are fragile, else full."""
@@ -45,14 +38,15 @@ def cognitive_mode(states: DataFrame, user: str, state: str) -> DataFrame:
     return states.groupBy(user).agg(F.when(share("fractured") >= 0.5, "hidden").when(share("fragile") >= 0.5, "percentile_only").otherwise("full").alias("mode"))
 
 
-def ramp(items: DataFrame, group: str, key: str, easy: Column, n: int, easy_n: int, seed: str) -> DataFrame:
+def ramp(items: DataFrame, group: str, key: str, easy: Column, difficulty: str, n: int, easy_n: int, seed: str) -> DataFrame:
     """n items of each group in hash order: easy_n easy ones, the rest hard, and what one
-    kind lacks taken from the other. Ranks count within a group's kind."""
+    kind lacks taken from the other, with position in rising difficulty."""
     rows = items.withColumn("_easy", easy).withColumn("_place", hash_order(seed, key))
     own = F.row_number().over(Window.partitionBy(group, "_easy").orderBy("_place"))
     rows = rows.withColumn("_extra", own > F.when(F.col("_easy"), easy_n).otherwise(n - easy_n))
-    rows = rows.withColumn("_pick", F.row_number().over(Window.partitionBy(group).orderBy("_extra", "_place")))
-    return rows.filter(F.col("_pick") <= n).drop("_easy", "_place", "_extra", "_pick")
+    rows = rows.withColumn("_pick", F.row_number().over(Window.partitionBy(group).orderBy("_extra", "_place"))).filter(F.col("_pick") <= n)
+    rising = Window.partitionBy(group).orderBy(difficulty, "_place")
+    return rows.withColumn("position", F.row_number().over(rising)).drop("_easy", "_place", "_extra", "_pick")
 
 
 def subscription_states(events: DataFrame, user: str, order: list[str], kind: str, opens: dict[str, str], pays: dict[str, str], closes: str) -> DataFrame:

@@ -1,23 +1,129 @@
-"""Graph operators over edge tables: closure, merge, unambiguous matching, reconciliation."""
+"""Graph operators over edge tables: closure, cycles, merging, derivation, matching, plans."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A round's rows, cut from their lineage where a checkpoint folder is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+
+
 def closure(edges: DataFrame, depth: int = 5) -> DataFrame:
     """start, reached, min_depth of all walks of up to depth edges from src to dst,
-    without the start itself; each level keeps a pair once, so walks don't multiply."""
+    without the start itself. Each level goes on from the pairs first found by the one before
+    and leaves out what is known, so nothing is expanded twice and walks don't multiply."""
     step = edges.select("src", "dst").distinct()
-    level = step.select(F.col("src").alias("start"), F.col("dst").alias("reached"))
-    found = [level.withColumn("min_depth", F.lit(1))]
+    level = _kept(step.filter("src != dst").select(F.col("src").alias("start"), F.col("dst").alias("reached"), F.lit(1).alias("min_depth")))
+    found = level
     for d in range(2, depth + 1):
-        level = level.join(step, level["reached"] == step["src"]).select("start", F.col("dst").alias("reached")).distinct()
-        found.append(level.withColumn("min_depth", F.lit(d)))
-    return reduce(DataFrame.unionByName, found).filter("start != reached").groupBy("start", "reached").agg(F.min("min_depth").alias("min_depth"))
+        ahead = level.join(step, level["reached"] == step["src"]).select("start", F.col("dst").alias("reached")).filter("start != reached").distinct()
+        level = _kept(ahead.join(found, ["start", "reached"], "left_anti").withColumn("min_depth", F.lit(d)))
+        found = found.unionByName(level)
+        if d < depth and not level.take(1):
+            break
+    return found
+
+
+def depth_report(pairs: DataFrame) -> DataFrame:
+    """min_depth, pairs and starts: the histogram of a closure."""
+    return pairs.groupBy("min_depth").agg(F.count("*").alias("pairs"), F.count_distinct("start").alias("starts"))
+
+
+def paths(edges: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
+    """start, path: every walk of 1 to depth edges from the starts that meets no node twice, as
+    the array of its nodes. Their number grows with the branching; starts should be few."""
+    step = edges.select("src", "dst").distinct()
+    level = starts.select(F.col("start"), F.array("start").alias("path"))
+    found = []
+    for _ in range(depth):
+        level = _kept(level.join(step, F.element_at("path", -1) == step["src"]).filter(~F.array_contains("path", F.col("dst"))).select("start", F.concat("path", F.array("dst")).alias("path")))
+        found.append(level)
+    return reduce(DataFrame.unionByName, found)
+
+
+def cyclic_edges(edges: DataFrame, rounds: int = 1_000) -> DataFrame:
+    """The edges that are left when nodes without a way in or out are taken away again and again:
+    all cycles, and what leads from one to another."""
+    left = _kept(edges)
+    n = left.count()
+    for _ in range(rounds):
+        left = _kept(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select(*edges.columns))
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, component (its least node) for nodes on a cycle with others.
+
+    Rounds: each node takes the least node that reaches it as colour; what leads back to that node
+    within the colour is its component, which goes, and the rest is trimmed and coloured anew.
+    """
+    left = cyclic_edges(edges.select("src", "dst").filter("src != dst").distinct())
+    none = left.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    found = none
+    while left.take(1):
+        colour = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", F.col("node"))
+        colour = _spread(colour, left.toDF("from", "to"))
+        inner = left.join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst", "a")
+        inner = _kept(inner)
+        reach = inner.select(F.col("a").alias("node"), "a").distinct()
+        seen = _kept(reach)
+        while True:
+            back = seen.join(inner.select(F.col("dst").alias("node"), "a", "src"), ["node", "a"]).select(F.col("src").alias("node"), "a").distinct()
+            new = _kept(back.join(seen, ["node", "a"], "left_anti"))
+            if not new.take(1):
+                break
+            seen = _kept(seen.unionByName(new))
+        members = seen.toDF("node", "component")
+        found = _kept(found.unionByName(members))
+        rest = left.join(members.select(F.col("node").alias("src")), "src", "left_anti").join(members.select(F.col("node").alias("dst")), "dst", "left_anti")
+        left = cyclic_edges(rest)
+    sizes = found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
+    return found.join(sizes, "component").select("node", "component")
+
+
+def _spread(colour: DataFrame, edges: DataFrame) -> DataFrame:
+    """Least colours carried along the edges until nothing changes."""
+    colour = _kept(colour)
+    while True:
+        arriving = edges.join(colour.toDF("from", "c"), "from").groupBy(F.col("to").alias("node")).agg(F.min("c").alias("c"))
+        new = _kept(colour.join(arriving, "node", "left").select("node", F.least("colour", "c").alias("next"), "colour"))
+        colour = new.select("node", F.col("next").alias("colour"))
+        if not new.filter("next < colour").take(1):
+            return colour
+
+
+def break_cycles(edges: DataFrame, derived: Column) -> tuple[DataFrame, DataFrame]:
+    """(edges without cycles through derived ones, removed: src, dst, support).
+
+    In each strong component the derived edge of least support (then by its ends) goes, until
+    no component has one; a cycle of other edges alone stays, for people to settle.
+    edges: src, dst, support and what derived reads.
+    """
+    left, removed = edges, edges.select("src", "dst", "support").limit(0)
+    while True:
+        parts = strong_components(left)
+        inside = left.filter(derived).join(parts.toDF("src", "a"), "src").join(parts.toDF("dst", "b"), "dst").filter("a = b")
+        worst = _kept(inside.groupBy("a").agg(F.min(F.struct("support", "src", "dst")).alias("x")).select("x.src", "x.dst", "x.support"))
+        if not worst.take(1):
+            return left, removed
+        removed = removed.unionByName(worst)
+        left = _kept(left.join(worst, ["src", "dst"], "left_anti"))
+
+
+def derive_edges(curated: DataFrame, counted: DataFrame, roots: DataFrame, least: int = 2) -> DataFrame:
+    """src, dst, source, support: curated edges, then counted ones of least support or more that are not
+    curated and do not leave a root, which requires nothing."""
+    known = curated.select("src", "dst").distinct()
+    derived = counted.filter(F.col("support") >= least).join(known, ["src", "dst"], "left_anti").join(roots.select(F.col("node").alias("src")), "src", "left_anti")
+    return known.select("src", "dst", F.lit("curated").alias("source"), F.lit(1).cast("long").alias("support")).unionByName(derived.select("src", "dst", F.lit("chain_derived").alias("source"), F.col("support").cast("long").alias("support")))
 
 
 def merge_nodes(edges: DataFrame, survivors: DataFrame) -> DataFrame:
@@ -27,17 +133,130 @@ def merge_nodes(edges: DataFrame, survivors: DataFrame) -> DataFrame:
     return moved.select(F.coalesce("to_src", "src").alias("src"), F.coalesce("to_dst", "dst").alias("dst")).filter("src != dst").distinct()
 
 
-def match_tiers(names: DataFrame, vocabulary: DataFrame, name: str, label: str, tiers: dict) -> DataFrame:
-    """name, matched label, tier: tiers (tier -> key expression of a column) in order, each
-    of which counts only where its key belongs to exactly one label."""
+def merge_properties(rows: DataFrame, survivors: DataFrame, key: str, properties: list[str]) -> DataFrame:
+    """key and properties after a merge: a survivor keeps its own, and takes of its losers, in the order
+    of their keys, what it lacks."""
+    owner = rows.join(survivors.select(F.col("loser").alias(key), "survivor"), key, "left").withColumn("_to", F.coalesce("survivor", key))
+    first = [F.min_by(p, F.when(F.col(p).isNotNull(), F.struct(F.col("survivor").isNotNull(), F.col(key)))).alias(p) for p in properties]
+    return owner.groupBy(F.col("_to").alias(key)).agg(*first)
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """node, neighbours (sorted, both directions) and degree."""
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    return both.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list("dst")).alias("neighbours"), F.count("*").alias("degree"))
+
+
+def merge_plan(names: DataFrame, used: DataFrame, structural: Column, fixed: DataFrame) -> DataFrame:
+    """loser, survivor, rule: what a vocabulary's names are merged into.
+
+    Names that differ in case go to the most used, then the first; `root:bare` goes to `bare` where that
+    is a name; fixed(loser, survivor) pairs come before both; structural names go away (null
+    survivor). used: name, n.
+    """
+    counted = names.select("name").distinct().join(used.select("name", "n"), "name", "left").fillna(0, ["n"])
+    kept = counted.filter(~structural)
+    case = kept.groupBy(F.lower("name").alias("_k")).agg(F.min_by("name", F.struct(-F.col("n"), F.col("name"))).alias("_case"))
+    out = kept.withColumn("_k", F.lower("name")).join(case, "_k").drop("_k")
+    bare = F.trim(F.element_at(F.split("name", ":", 2), 2))
+    out = out.withColumn("_bare", F.when(F.contains("name", F.lit(":")), bare)).join(names.select(F.col("name").alias("_bare")).distinct().withColumn("_known", F.lit(True)), "_bare", "left")
+    out = out.join(fixed.select(F.col("loser").alias("name"), F.col("survivor").alias("_fixed")), "name", "left")
+    rule = F.when(F.col("_fixed").isNotNull(), "fixed").when(F.col("_known"), "namespaced").when(F.col("_case") != F.col("name"), "case")
+    target = F.coalesce("_fixed", F.when(F.col("_known"), F.col("_bare")), "_case")
+    moved = out.select(F.col("name").alias("loser"), target.alias("survivor"), rule.alias("rule")).filter("rule is not null and loser != survivor")
+    gone = counted.filter(structural).select(F.col("name").alias("loser"), F.lit(None).cast("string").alias("survivor"), F.lit("structural").alias("rule"))
+    return moved.unionByName(gone)
+
+
+def key_delta(before: DataFrame, after: DataFrame, key: str, value: str, renamed: DataFrame, deleted: DataFrame) -> DataFrame:
+    """key, cause of each key whose value differs: it can't be resolved any more, its value was renamed or
+    deleted, or another took its place silently. renamed: old, new; deleted: old."""
+    both = before.select(key, F.col(value).alias("_old")).join(after.select(key, F.col(value).alias("_new")), key, "full_outer").filter(~F.col("_old").eqNullSafe(F.col("_new")))
+    out = both.join(renamed.select(F.col("old").alias("_old"), F.col("new").alias("_to")), "_old", "left").join(deleted.select(F.col("old").alias("_old"), F.lit(True).alias("_gone")), "_old", "left")
+    cause = F.when(F.col("_new").isNull(), "unservable").when(F.col("_to") == F.col("_new"), "renamed").when(F.col("_gone"), "deleted_reattributed").otherwise("silent_reorder")
+    return out.select(key, cause.alias("cause"))
+
+
+def migrated_keys(rows: DataFrame, renamed: DataFrame, unique: list[str], key: str) -> DataFrame:
+    """rows with key renamed; where a renamed row would repeat another's unique columns, the one that had
+    the name stays, then the first by its old name."""
+    out = rows.join(renamed.select(F.col("old").alias(key), F.col("new").alias("_new")), key, "left")
+    place = F.row_number().over(Window.partitionBy(*[F.coalesce("_new", key) if c == key else F.col(c) for c in unique]).orderBy(F.col("_new").isNotNull(), key))
+    return out.withColumn("_n", place).filter("_n = 1").withColumn(key, F.coalesce("_new", key)).select(*rows.columns)
+
+
+def census_diff(before: DataFrame, after: DataFrame, label: str, protected: Column | None = None) -> DataFrame:
+    """label, what (appeared, vanished, count, content) of each label whose count or print has changed; with
+    protected only of labels that may not change."""
+    a, b = before.select(label, F.col("n").alias("_n"), F.col("print").alias("_p")), after.select(label, F.col("n").alias("_m"), F.col("print").alias("_q"))
+    what = F.when(F.col("_n").isNull(), "appeared").when(F.col("_m").isNull(), "vanished").when(F.col("_n") != F.col("_m"), "count").when(F.col("_p") != F.col("_q"), "content")
+    out = a.join(b, label, "full_outer").withColumn("what", what).filter("what is not null")
+    return (out if protected is None else out.filter(protected)).select(label, "what")
+
+
+def plan_counts(nodes: dict[str, DataFrame], edges: dict[str, DataFrame], orphans: dict[str, DataFrame]) -> DataFrame:
+    """kind, label, n of a graph plan: nodes by key, edges by their ends, and what hangs on nothing."""
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit(label).alias("label"), "n") for kind, tables in (("node", nodes), ("edge", edges), ("orphan", orphans)) for label, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def trade_plan(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, part: DataFrame, supplier: DataFrame, nation: DataFrame, region: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame], dict[str, DataFrame]]:
+    """(nodes, edges, orphans) of the trade tables as one graph: a pure function of its inputs, so a plan can be
+    counted, compared and reviewed before anything is written. Edges exist only between nodes that do."""
+    keyed = lambda df, key: df.select(F.col(key).alias("key")).dropDuplicates(["key"])
+    nodes = {"Region": keyed(region, "r_regionkey"), "Nation": keyed(nation, "n_nationkey"), "Customer": keyed(customer, "c_custkey"), "Supplier": keyed(supplier, "s_suppkey"), "Part": keyed(part, "p_partkey"), "Order": keyed(orders, "o_orderkey"), "Brand": keyed(part, "p_brand")}
+
+    def edge(df: DataFrame, src: str, a: str, dst: str, b: str) -> DataFrame:
+        pairs = df.select(F.col(src).alias("src"), F.col(dst).alias("dst")).dropna().dropDuplicates(["src", "dst"])
+        return pairs.join(nodes[a].withColumnRenamed("key", "src"), "src", "left_semi").join(nodes[b].withColumnRenamed("key", "dst"), "dst", "left_semi")
+
+    edges = {
+        "IN_REGION": edge(nation, "n_nationkey", "Nation", "n_regionkey", "Region"),
+        "LIVES_IN": edge(customer, "c_custkey", "Customer", "c_nationkey", "Nation"),
+        "BASED_IN": edge(supplier, "s_suppkey", "Supplier", "s_nationkey", "Nation"),
+        "PLACED": edge(orders, "o_custkey", "Customer", "o_orderkey", "Order"),
+        "CONTAINS": edge(lineitem, "l_orderkey", "Order", "l_partkey", "Part"),
+        "SUPPLIED": edge(lineitem, "l_suppkey", "Supplier", "l_partkey", "Part"),
+        "OF_BRAND": edge(part, "p_partkey", "Part", "p_brand", "Brand"),
+    }
+    lacking = lambda node, label, end: nodes[node].join(edges[label].select(F.col(end).alias("key")).distinct(), "key", "left_anti")
+    orphans = {
+        "customers_without_orders": lacking("Customer", "PLACED", "src"),
+        "orders_without_parts": lacking("Order", "CONTAINS", "src"),
+        "orders_without_customer": lacking("Order", "PLACED", "dst"),
+        "parts_never_ordered": lacking("Part", "CONTAINS", "dst"),
+        "parts_without_supplier": lacking("Part", "SUPPLIED", "dst"),
+        "suppliers_without_parts": lacking("Supplier", "SUPPLIED", "src"),
+        "nations_without_customers": lacking("Nation", "LIVES_IN", "dst"),
+        "nations_without_suppliers": lacking("Nation", "BASED_IN", "dst"),
+    }
+    return nodes, edges, orphans
+
+
+#: How far a match of each tier can be trusted.
+CONFIDENCE = {"reviewed_alias": 1.0, "exact": 1.0, "normalized": 0.9, "tokenset": 0.75}
+
+
+def match_tiers(names: DataFrame, vocabulary: DataFrame, name: str, label: str, tiers: dict, aliases: DataFrame | None = None) -> DataFrame:
+    """name, label, tier, confidence: tiers (tier -> key expression of a column) in order, each of which
+    counts only where its key belongs to exactly one label. Reviewed aliases(name, label)
+    come before all tiers, where the vocabulary has their label."""
+    labels = vocabulary.select(label).distinct()
     out = names.select(name).distinct()
-    hits, tier_names = [], []
+    hits, found = [], []
+    if aliases is not None:
+        reviewed = aliases.join(labels, label, "left_semi").groupBy(name).agg(F.min(label).alias("_reviewed_alias"))
+        out = out.join(reviewed, name, "left")
+        tiers = {"reviewed_alias": None} | tiers
     for tier, key in tiers.items():
-        dim = vocabulary.select(key(label).alias("_key"), F.col(label).alias(f"_{tier}")).groupBy("_key").agg(F.min(f"_{tier}").alias(f"_{tier}"), F.count_distinct(f"_{tier}").alias("_n")).filter("_n = 1").drop("_n")
-        out = out.withColumn("_key", key(name)).join(dim, "_key", "left").drop("_key")
+        if key is not None:
+            dim = labels.select(key(label).alias("_key"), F.col(label).alias(f"_{tier}")).groupBy("_key").agg(F.min(f"_{tier}").alias(f"_{tier}"), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
+            out = out.withColumn("_key", key(name)).join(dim, "_key", "left").drop("_key")
         hits.append(F.col(f"_{tier}"))
-        tier_names.append(F.when(F.col(f"_{tier}").isNotNull(), F.lit(tier)))
-    return out.select(name, F.coalesce(*hits).alias("label"), F.coalesce(*tier_names).alias("tier"))
+        found.append(F.when(F.col(f"_{tier}").isNotNull(), F.lit(tier)))
+    tier = F.coalesce(*found)
+    confidence = F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair])[tier]
+    return out.select(name, F.coalesce(*hits).alias("label"), tier.alias("tier"), confidence.alias("confidence"))
 
 
 def support(baskets: DataFrame, basket: str, item: str, least: int = 2) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quernstone import functions as Q
 from quernstone.operators import analytics, graph, learner
-from quernstone.sources import accumulate, guarded_upsert, insert_new, promotion_diff, reconcile, table, upsert_last
+from quernstone.variants import variant, variant_sql
+from quernstone.sources import guarded_upsert, promotion_diff, reconcile, table, upsert_last
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,10 +62,14 @@ def _attempts(events):
     return events.withColumn("correct", F.when(F.col("event_type") != "signup", F.col("event_type") == "purchase")).withColumn("time_ms", F.floor(F.col("value") * 1000))
 
 
-@query(f"""with a as ({_ATTEMPTS}), m as (select user_id, avg(correct::int) as accuracy, count(*) as volume, quantile_cont(time_ms, 0.5) filter (time_ms > 0) as median_ms, list_sort(list(time_ms) filter (time_ms > 0)) as t from a group by 1)
-select user_id, round(accuracy, 6) as accuracy, volume, median_ms, t[len(t) // 4 + 1] as p25_ms, round(len(list_filter(t, lambda x: x <= 1.5 * median_ms)) / len(t), 6) as focus from m""")
+@query(f"""with a as ({_ATTEMPTS}), m as (select user_id, avg(correct::int) as accuracy, count(*) as volume, quantile_cont(time_ms, 0.5) filter (time_ms > 0) as median_ms, list_sort(list(time_ms) filter (time_ms > 0)) as t from a group by 1),
+d as (select distinct user_id, ts::date as day from events), i as (select user_id, day - (row_number() over (partition by user_id order by day))::int as island from d), s as (select user_id, max(n) as longest from (select user_id, island, count(*) as n from i group by 1, 2) group by 1),
+p as (select user_id, avg(n) as per_day from (select user_id, ts::date, count(*) as n from events group by 1, 2) group by 1),
+x as (select *, t[len(t) // 4 + 1] as p25, len(list_filter(t, lambda v: v <= 1.5 * median_ms)) / len(t) as f from m join s using (user_id) join p using (user_id))
+select user_id, volume, round(least(1, greatest(0, 1 - median_ms / 60000)), 6) as speed, round(least(1, greatest(0, accuracy)), 6) as logic, round(least(1, greatest(0, per_day / 25)), 6) as stamina, round(least(1, greatest(0, f)), 6) as focus, round(least(1, greatest(0, longest / 7)), 6) as memory, round(least(1, greatest(0, 1 - p25 / 20000.0::double)), 6) as reflex from x""")
 def radar(events):
-    return analytics.radar(_attempts(events), "user_id")
+    days = events.withColumn("day", F.to_date("ts"))
+    return analytics.radar(_attempts(events), "user_id", days.groupBy("user_id", "day").agg(F.count("*").alias("n")), analytics.streaks(days, "user_id", "day"))
 
 
 @query(f"""with a as ({_ATTEMPTS}) select event_type, avg(coalesce(correct, false)::int) as accuracy, count(*) as n from a group by 1 having avg(coalesce(correct, false)::int) < 0.7""")
@@ -105,11 +110,6 @@ def decay_attribution(events):
     return analytics.decay_attribution(pick("click", "touch_id", "touched_at"), pick("purchase", "conversion_id", "converted_at"), "user_id")
 
 
-@query("""select user_id, ts::date as day, count(*) as problems from events group by 1, 2 having count(*) > 3""")
-def heavy_days(events):
-    return events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("problems")).filter("problems > 3")
-
-
 @query("""select user_id, event_type, ts::date as day, count(*) as attempts, sum(value) as total from events group by 1, 2, 3""")
 def daily_progression(events):
     return events.groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("attempts"), F.sum("value").alias("total"))
@@ -140,10 +140,13 @@ def occurrence_refs(lineitem):
     return lineitem.select("l_orderkey", "l_linenumber", F.concat(F.col("l_partkey").cast("string"), F.when(F.count("*").over(by) > 1, F.concat(F.lit("#"), n.cast("string"))).otherwise("")).alias("ref"))
 
 
-@query("""with s as (select conv_id, turn, role, case when role = 'user' then 1 else 0 end as opens from conversations)
-select conv_id, turn, role, sum(opens) over (partition by conv_id order by turn) as segment from s""")
-def segments_by_restart(conversations):
-    return conversations.select("conv_id", "turn", "role", F.sum((F.col("role") == "user").cast("int")).over(Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, 0)).alias("segment"))
+@query("""with s as (select o_orderkey, o_custkey, o_orderkey % 7 as step, o_orderkey % 7 <= lag(o_orderkey % 7) over (partition by o_custkey order by o_orderkey) as falls from orders) select o_orderkey, step, sum(coalesce(falls, false)::int) over (partition by o_custkey order by o_orderkey rows unbounded preceding) as segment from s""")
+def segments_by_restart(orders):
+    """A step number that does not rise opens a new example."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = orders.select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 7).alias("step"))
+    falls = rows.withColumn("falls", F.coalesce(F.col("step") <= F.lag("step").over(order), F.lit(False)).cast("int"))
+    return falls.select("o_orderkey", "step", F.sum("falls").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("segment"))
 
 
 @query("""select p_partkey, sha256('2024-01-28:' || p_partkey) as place from part order by place limit 10""")
@@ -166,9 +169,11 @@ def union_branches(part):
     return part.select(F.col("p_brand").alias("v"), F.lit("brand").alias("kind")).union(part.select("p_type", F.lit("type"))).distinct()
 
 
-@query("""select c_nationkey, c_name from customer anti join (select o_custkey from orders) o on c_custkey = o_custkey""")
+@query("""select c_nationkey, c_name from customer anti join (select o_custkey from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F') o on c_custkey = o_custkey""")
 def customers_without_orders(customer, orders):
-    return customer.join(orders, customer["c_custkey"] == orders["o_custkey"], "left_anti").select("c_nationkey", "c_name")
+    """Customers without a finished urgent order."""
+    done = orders.filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
+    return customer.join(done, customer["c_custkey"] == done["o_custkey"], "left_anti").select("c_nationkey", "c_name")
 
 
 @query("""select n_name, count(c_custkey) as customers, case when count(c_custkey) = 0 then 'absent' when count(c_custkey) < 3 then 'thin' when count(c_custkey) < 10 then 'adequate' else 'ample' end as supply from nation left join customer on n_nationkey = c_nationkey and c_acctbal > 0 group by 1""")
@@ -183,38 +188,24 @@ def pair_support(lineitem):
     return graph.support(lineitem, "l_orderkey", "l_suppkey")
 
 
-_EDGES = "(select distinct s_nationkey as src, c_nationkey as dst from supplier join nation n on s_nationkey = n_nationkey join customer on c_custkey % 25 = s_suppkey % 25 where s_nationkey < c_nationkey)"
-
-
-def _edges(supplier, customer):
-    return supplier.join(customer, F.col("c_custkey") % 25 == F.col("s_suppkey") % 25).filter("s_nationkey < c_nationkey").select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).distinct()
-
-
-@query(f"""with recursive e as {_EDGES}, w as (select src as start, dst as reached, 1 as d from e union select w.start, e.dst, d + 1 from w join e on w.reached = e.src where d < 5)
-select start, reached, min(d) as min_depth from w where start <> reached group by 1, 2""")
-def prerequisite_closure(supplier, customer):
-    return graph.closure(_edges(supplier, customer))
-
-
-@query(f"""with e as {_EDGES} select distinct case when src % 5 = 4 then src - 1 else src end as src, case when dst % 5 = 4 then dst - 1 else dst end as dst from e where (case when src % 5 = 4 then src - 1 else src end) <> (case when dst % 5 = 4 then dst - 1 else dst end)""")
-def merged_edges(supplier, customer, nation):
-    survivors = nation.filter("n_nationkey % 5 = 4").select(F.col("n_nationkey").alias("loser"), (F.col("n_nationkey") - 1).alias("survivor"))
-    return graph.merge_nodes(_edges(supplier, customer), survivors)
-
-
 @query("""with t as (select doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as n from documents) select doc_id, n as norm, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) as hash from t join documents using (doc_id)""")
 def text_keys(documents):
     return documents.select("doc_id", Q.norm("text").alias("norm"), F.sha2(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), 256).alias("hash"))
 
 
-@query("""with s as (select p_type as a, list_distinct(list_transform(list_filter(string_split(lower(p_type), ' '), lambda w: length(w) >= 3), lambda w: left(w, 5))) as t from (select distinct p_type from part))
-select x.a as left_type, y.a as right_type, len(list_intersect(x.t, y.t))::double / len(list_distinct(x.t || y.t)) as similarity from s x join s y on x.a < y.a where len(list_intersect(x.t, y.t))::double / len(list_distinct(x.t || y.t)) >= 0.6""")
+CONCEPTS = ["Verbal Reasoning #", "Non-Verbal Reasoning #", "Logical Reasoning", "Logic Reasoning Tests", "Number Series #", "Numbers in Series", "Ratio of Parts", "In-equality Ratios"]
+
+
+@query(f"""with l as (select distinct {variant_sql(CONCEPTS, "p_size")} as a from part), s as (select a, list_distinct(list_transform(list_filter(regexp_extract_all(lower(a), '[a-z]+'), lambda w: w not in ('and', 'of', 'the', 'in', 'to', 'for', 'a')), lambda w: left(w, 5))) as t from l)
+select x.a as left_label, y.a as right_label, len(list_intersect(x.t, y.t))::double / len(list_distinct(x.t || y.t)) as similarity, regexp_matches(x.a, '(?i)^(non|un|in)[\\s-]?') <> regexp_matches(y.a, '(?i)^(non|un|in)[\\s-]?') as opposed from s x join s y on x.a < y.a where len(list_intersect(x.t, y.t))::double / len(list_distinct(x.t || y.t)) >= 0.6""")
 def stem_similarity(part):
-    types = part.select("p_type").distinct().withColumn("stems", Q.stem_set("p_type"))
-    words = types.select("p_type", "stems", F.explode("stems").alias("stem"))
-    a, b = words.toDF("left_type", "x", "stem"), words.toDF("right_type", "y", "stem")
-    pairs = a.join(b, "stem").filter("left_type < right_type").dropDuplicates(["left_type", "right_type"])
-    return pairs.select("left_type", "right_type", Q.jaccard("x", "y").alias("similarity")).filter("similarity >= 0.6")
+    """Labels that share most stems, with a warning where one of the two is negated."""
+    labels = part.select(variant(CONCEPTS, "p_size").alias("label")).distinct()
+    words = labels.withColumn("stems", Q.stem_set("label", stopwords=["and", "of", "the", "in", "to", "for", "a"])).select("label", "stems", F.explode("stems").alias("stem"))
+    a, b = words.toDF("left_label", "x", "stem"), words.toDF("right_label", "y", "stem")
+    pairs = a.join(b, "stem").filter("left_label < right_label").dropDuplicates(["left_label", "right_label"])
+    negated = lambda c: F.col(c).rlike(r"(?i)^(non|un|in)[\s-]?")
+    return pairs.select("left_label", "right_label", Q.jaccard("x", "y").alias("similarity"), (negated("left_label") != negated("right_label")).alias("opposed")).filter("similarity >= 0.6")
 
 
 @query("""select sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) as hash, count(*) as members, min(doc_id) as first, count(distinct source) as sources from documents group by 1 having count(distinct source) > 1""")
@@ -268,18 +259,6 @@ def upsert_last_wins(events):
     return upsert_last(events.filter("event_id % 3 != 0").select(*cols), events.filter("event_id % 2 = 0").withColumn("value", F.col("value") + 1).select(*cols), ["event_id"], "ts").drop("ts")
 
 
-@query("""select event_id, user_id, value from events where event_id % 3 <> 0 union all select event_id, user_id, value + 1 from events where event_id % 2 = 0 and event_id % 3 = 0""")
-def insert_first_wins(events):
-    cols = ["event_id", "user_id", "value"]
-    return insert_new(events.filter("event_id % 3 != 0").select(*cols), events.filter("event_id % 2 = 0").withColumn("value", F.col("value") + 1).select(*cols), ["event_id"], "event_id")
-
-
-@query("""select user_id, greatest(0, sum(case when event_type = 'error' then -40 else 10 end))::double as xp from events group by 1""")
-def accumulated_xp(events):
-    delta = events.select("user_id", F.when(F.col("event_type") == "error", -40.0).otherwise(10.0).alias("xp"))
-    return accumulate(delta.limit(0), delta, ["user_id"], "xp", 0.0)
-
-
 @query("""select doc_id, case when quality = 0 then 'QUARANTINED_SOFT' else 'TRUSTED' end as verdict from labels where not (quality = 0) union all select doc_id, case when toxic = 1 then 'QUARANTINED_HARD' else 'SANDBOX' end from labels where quality = 0""")
 def guarded_verdicts(labels):
     old = labels.select("doc_id", F.when(F.col("quality") == 0, "QUARANTINED_SOFT").otherwise("TRUSTED").alias("verdict"))

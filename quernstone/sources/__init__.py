@@ -45,11 +45,16 @@ def read_flat_aliases(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("canonical", opened).filter((alias != "") & F.col("canonical").isNotNull()).select(alias.alias("alias"), "canonical")
 
 
-def vector(column: str) -> Column:
+def vector(column: Column | str) -> Column:
     """`[1,2,3]` as an array of floats."""
     return F.transform(F.split(F.regexp_replace(column, r"[\[\]\s]", ""), ","), lambda x: x.cast("float"))
 
 
+def vector_text(column: str) -> Column:
+    """An array of numbers as `[1.0,2.0]`."""
+    return F.concat(F.lit("["), F.array_join(F.transform(column, lambda x: x.cast("string")), ","), F.lit("]"))
+
+
 # Keyed sinks: each takes the target's rows and new rows and returns the target's next rows.
 
 

@@ -7,8 +7,7 @@ import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.001"
-registry = pytest.importorskip("quernstone.registry")
-pytest.importorskip("quernstone.content_queries")
+registry = pytest.importorskip("quernstone.catalog")
 
 
 def rows(df):
