@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +71,34 @@ def windows_of(rows: DataFrame, key: str, n: str, width: int = 4, overlap: int =
     return rows.filter(F.col(n) > 0).select(key, n, F.explode(starts).alias("first")).select(key, F.col("first").cast("long").alias("first"), F.least(F.col("first") + width, F.col(n)).cast("long").alias("end"))
 
 
+def share_windows(rows: DataFrame, key: str, order: list[str], width: int) -> DataFrame:
+    """rows with first and after: the window of width places of their group that lies as far along as the row does."""
+    by = Window.partitionBy(key)
+    n, item = F.count("*").over(by), F.row_number().over(by.orderBy(*order)) - 1
+    out = rows.withColumns({"_n": n, "_i": item})
+    first = F.least(F.greatest(F.lit(0), F.col("_n") - width), F.floor(F.col("_i") * F.greatest(F.lit(1), F.col("_n") - width + 1) / F.col("_n"))).cast("long")
+    return out.withColumn("first", first).withColumn("after", F.least(F.col("_n"), F.col("first") + width).cast("long")).drop("_n", "_i")
+
+
+def supply_grade(n: Column, section: int) -> Column:
+    """absent, thin, adequate from three times a section's questions on, ample from ten times."""
+    return F.when(n == 0, "absent").when(n < 3 * section, "thin").when(n < 10 * section, "adequate").otherwise("ample")
+
+
+def seed_states(tables: dict, expected: dict) -> DataFrame:
+    """name, state (ok, rows, content, absent) of each expected table: (rows, allowed values of its figure)."""
+    parts = []
+    for name, (rows, figures) in expected.items():
+        if name in tables:
+            df, figure = tables[name]
+            state = F.when(F.count("*") != rows, "rows").when(~figure.isin(*figures), "content").otherwise("ok")
+            parts.append(df.agg(state.alias("state")).select(F.lit(name).alias("name"), "state"))
+        else:
+            some = next(iter(tables.values()))[0]
+            parts.append(some.agg(F.lit("absent").alias("state")).select(F.lit(name).alias("name"), "state"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def exhaustion_tier(count: Column, miss: Column, mastery: Column) -> Column:
     """What to do as a bank of items runs out; the first rule that holds counts."""
     return F.when(count == 0, "explainer").when(miss > 0.95, "llm").when((mastery >= 0.85) & (count <= 3), "bridge").when(count <= 5, "escalate").when(count <= 10, "resample").otherwise("serve")
