@@ -45,16 +45,26 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     """The rows of df from a table written in the shared folder: lineage ends there,
     lost executors read it again, later steps read only the columns they use, and
-    its size tells Spark which joins can broadcast."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    its size tells Spark which joins can broadcast. With a path (of cut_path) its owner may forget it."""
+    path = path or cut_path(df.sparkSession)
     with small_batches(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a cut that no table still to be written reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = SLICE_ROWS) -> Iterator[None]:
     """What is run meanwhile hands Python batches of at most so many rows: rows here are

@@ -11,11 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_SPACED, U64, cut, doc_bytes, map_batches, read, signed, window_hashes, word_hashes
+from .common import LOWER_SPACED, U64, cut, cut_path, doc_bytes, forget, map_batches, read, signed, window_hashes, word_hashes
 from .components import components
 from .runs import runs
 
 
+#: Keys that a row takes into tiles, to tell whether a pair meets under a lesser one too.
+LOW = 6
+
+
 @dataclass(frozen=True)
 class Rule:
     """Link when 100 * intersection >= percent * union of the sets of size-word shingles."""
@@ -79,11 +83,12 @@ def most_shared(n: int, bits: np.ndarray, m: np.ndarray, others: np.ndarray) ->
 
 def _sketch(docs: DataFrame, rule: Rule, hot: np.ndarray | None = None) -> DataFrame:
     """doc_id, n, digest of the set, bits, coarse bits, keys: the probe prefix in the
-    order of (hot, hash). hot: a sorted array of at most rule.hot_keys hashes."""
+    order of (hot, hash), low: the least of those within index(n) and the least of all, LOW each.
+    hot: a sorted array of at most rule.hot_keys hashes."""
     shared = docs.sparkSession.sparkContext.broadcast(hot) if hot is not None else None
 
     def rows(ids, raws, *_):
-        out: dict[str, list] = {"doc_id": ids, "n": [], "digest": [], "bits": [], "coarse": [], "keys": []}
+        out: dict[str, list] = {"doc_id": ids, "n": [], "digest": [], "bits": [], "coarse": [], "keys": [], "low": []}
         for raw in raws:
             s = rule.shingles(raw)
             keys = s
@@ -95,10 +100,12 @@ def _sketch(docs: DataFrame, rule: Rule, hot: np.ndarray | None = None) -> DataF
             out["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             out["bits"].append(bitmap(s) if len(s) else b"")
             out["coarse"].append(coarse(out["bits"][-1]))
-            out["keys"].append(signed(keys[: rule.probe(len(s))]) if len(s) else [])
+            keys = signed(keys[: rule.probe(len(s))]) if len(s) else np.zeros(0, np.int64)
+            out["keys"].append(keys)
+            out["low"].append(np.concatenate([np.sort(keys[: rule.index(len(s))])[:LOW], np.sort(keys)[:LOW]]) if len(s) else keys)
         return out
 
-    return map_batches(docs, rows, "doc_id long, n int, digest binary, bits binary, coarse binary, keys array<long>")
+    return map_batches(docs, rows, "doc_id long, n int, digest binary, bits binary, coarse binary, keys array<long>, low array<long>")
 
 
 def _split(df: DataFrame, ids: DataFrame, log_bits: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -213,11 +220,11 @@ def _tile_rows(keyed: DataFrame, sets: DataFrame, labels: DataFrame, rule: Rule,
     tile joins those with each other: a great component and a few strangers make
     as many tiles as it has blocks, not their square.
     """
-    keys_too = F.col("keys") if once else F.lit(None).cast("array<long>").alias("keys")
+    low = F.col("low") if once else F.lit(None).cast("array<long>").alias("low")
     labelled = keyed.join(labels, keyed["doc_id"] == labels["node"], "left").select("key", "n", "doc_id", "first", F.coalesce("component", "doc_id").alias("component"))
     keys = labelled.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).filter(f"low < high and rows > {1 if once else 2}").select("key", "rows")  # two alone have been compared as neighbours
     left = labelled.join(keys, "key").withColumn("band", rule.band(F.col("n")))
-    contents = _split(sets.select("doc_id", F.coalesce("coarse", "bits").alias("bits"), keys_too), keyed.select("doc_id"))[0]
+    contents = _split(sets.select("doc_id", F.coalesce("coarse", "bits").alias("bits"), low), keyed.select("doc_id"))[0]
     names = ["key", "tile", "i", "j", "n", "doc_id", "first", "component", "upper", "block"]
     small = left.filter(F.col("rows") <= rule.tile_rows).withColumns({"tile": F.lit(-1), "i": F.lit(0), "j": F.lit(0), "upper": F.lit(0), "block": F.lit(0)}).select(*names)
     large = left.filter(F.col("rows") > rule.tile_rows)
@@ -243,15 +250,16 @@ def _tile_rows(keyed: DataFrame, sets: DataFrame, labels: DataFrame, rule: Rule,
     rows = met(0, F.least(block, other), F.greatest(block, other), F.col("band"), 0)
     # a band's rows meet those of the band below in the tiles (block there, own block + 1000000)
     rows = rows.unionByName(met(1, block, other + 1_000_000, F.col("band"), 0)).unionByName(met(-1, other, block + 1_000_000, F.col("band") - 1, 1))
-    return small.unionByName(rows).join(contents, "doc_id").select(*names, "bits", "keys")
+    return small.unionByName(rows).join(contents, "doc_id").select(*names, "bits", "low")
 
 
 def _tiles(keyed: DataFrame, sets: DataFrame, labels: DataFrame, rule: Rule, best: int | None, once: bool) -> DataFrame:
     """key, a, b: pairs under a key that no link joins yet and bitmaps leave possible.
 
     With best, a set names only so many larger ones, those with the highest bound; rows
-    (key, doc_id, null) then say which had more. With once, a pair counts under the least key
-    that both share only (a round before has either checked it there or named both rows).
+    (key, doc_id, null) then say which had more. With once, a pair is left out under a key where
+    low keys show that it meets under a lesser one, too (a round before has either checked it
+    there or named both rows), so it comes at least once and seldom often.
     """
 
     def pairs(batches):
@@ -276,7 +284,7 @@ def _possible_pairs(t: pa.Table, rule: Rule, best: int | None) -> dict[str, list
     for w in np.unique(widths).tolist():
         low, high = np.searchsorted(widths, [w, 2 * w + 1])
         by_width[w] = low, np.stack([folded(r, w) for r in raws[low:high]])
-    keys = [None if k is None else np.array(k, np.int64) for k in t.column("keys").to_pylist()]
+    lesser = [None if k is None else (set(k[: len(k) - min(LOW, rule.probe(m))]), set(k[len(k) - min(LOW, rule.probe(m)) :])) for k, m in zip(t.column("low").to_pylist(), n.tolist(), strict=True)]
     key = t.column("key")[0].as_py()
     wide = n.astype(np.int64)
     a, b, more = [], [], set()
@@ -294,9 +302,9 @@ def _possible_pairs(t: pa.Table, rule: Rule, best: int | None) -> dict[str, list
         union = n[x] + wide[y] - most
         can = 100 * most >= rule.percent * union
         y, share = y[can], (most / union)[can]
-        if keys[x] is not None and len(y):
-            own = keys[x][: rule.index(int(n[x]))]
-            here = np.array([np.intersect1d(own, keys[k]).min() == key for k in y])
+        if lesser[x] is not None and len(y):
+            own = {k for k in lesser[x][0] if k < key}
+            here = np.array([own.isdisjoint(lesser[k][1]) for k in y])
             y, share = y[here], share[here]
         if best is not None and len(y) > best:
             more.update([int(ids[x]), *ids[y].tolist()])
@@ -329,7 +337,8 @@ def join_ngrams(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id
         raise ValueError(f"{doc_id} must be a whole number")
     docs = doc_bytes(docs, text=text, doc_id=doc_id).withColumn("doc_id", F.col("doc_id").cast("long"))
     known = docs.filter(F.col("doc_id").isNotNull())
-    all_sets = cut(_sketch(docs, rule))
+    spark, path = docs.sparkSession, cut_path(docs.sparkSession)
+    all_sets = cut(_sketch(docs, rule), path)
     sets = all_sets.filter("n > 0 and doc_id is not null")
     classes = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = cut(sets.select("doc_id", "digest").join(classes.filter("copies > 1"), "digest").filter("doc_id != rep").select("doc_id", "digest"))
@@ -350,8 +359,12 @@ def join_ngrams(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id
         several = repeated.filter("several").select("doc_id")
         links = cut(_split(sets.select("doc_id", "digest"), several)[0].join(several, "doc_id").join(classes, "digest").filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     of_class = cut(of_class)
+    all_sets = cut(all_sets.select("doc_id", "n", "digest"))
+    forget(spark, path)  # the wide rows are in of_class now
+    sets = all_sets.filter("n > 0 and doc_id is not null")
+    classes = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     keyed = cut(_keyed(of_class, rule))
-    bits = of_class.select("doc_id", "n", "bits", "coarse", "keys")
+    bits = of_class.select("doc_id", "n", "bits", "coarse", "low")
 
     found = _verified(_pairs_bounded(cut(_neighbours(keyed, rule)), bits, rule), known, rule)
     if links is not None:

@@ -134,7 +134,7 @@ def test_tiles_of_a_great_component(spark):
     rule = ngram_join.Rule(tile_rows=100)
     ids = range(3_001)
     keyed = spark.createDataFrame([(1, 50 + i % 40, i, True) for i in ids], "key long, n int, doc_id long, first boolean")
-    sets = spark.createDataFrame([(i, b"12345678", None, [1]) for i in ids], "doc_id long, bits binary, coarse binary, keys array<long>")
+    sets = spark.createDataFrame([(i, b"12345678", None, [1]) for i in ids], "doc_id long, bits binary, coarse binary, low array<long>")
     labels = spark.createDataFrame([(i, 0) for i in ids[:-1]], "node long, component long")
     rows = ngram_join._tile_rows(keyed, sets, labels, rule, True).toPandas()
     assert rows.doc_id.nunique() > 1_000 and len(rows) < 3 * len(ids) + 100
