@@ -31,14 +31,14 @@ def read_page_store(spark: SparkSession, folder: str, meta_schema: StructType |
     """Page texts `<stem>_ocr.md` joined with their `<stem>_meta.json`, by stem."""
     stem = lambda suffix: F.regexp_extract(F.input_file_name(), rf"([^/]+){suffix}$", 1)
     meta = spark.read.schema(meta_schema).option("multiLine", True).option("pathGlobFilter", "*_meta.json").json(folder).withColumn("stem", stem(r"_meta\.json"))
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", "*_ocr.md").text(folder).withColumn("stem", stem(r"_ocr\.md"))
+    text = spark.read.option("pathGlobFilter", "*_ocr.md").text(folder, wholetext=True).withColumn("stem", stem(r"_ocr\.md"))
     return meta.join(text.withColumnRenamed("value", "text"), "stem")
 
 
 def read_flat_aliases(spark: SparkSession, path: str) -> DataFrame:
     """alias, canonical from a flat two-level list: `canonical: name` opens an entry,
     `- alias` lines follow it. Each file is one ordered text."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("at", "line"), F.input_file_name().alias("file"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"), F.input_file_name().alias("file"))
     name = F.regexp_extract("line", r"^\s*-?\s*canonical:\s*[\"']?([^\"'#]+?)[\"']?\s*$", 1)
     alias = F.regexp_extract("line", r"^\s*-\s+[\"']?([^\"':#]+?)[\"']?\s*$", 1)
     opened = F.last(F.when(name != "", name), ignorenulls=True).over(Window.partitionBy("file").orderBy("at"))

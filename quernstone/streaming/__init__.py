@@ -1,11 +1,14 @@
-"""Stream forms of ledger operators."""
+"""Stream forms of ledger operators: exact ingest, fan-out, windows, learner state."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.sources import insert_new
+from quernstone.functions import BKT, LEARN_BY_DIFFICULTY
 
 
 def ingest(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -13,22 +16,86 @@ def ingest(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def _stored(batch: DataFrame, path: str, months: list[str]) -> DataFrame:
+    """event_id of what the ledger holds of some months; none before its first batch."""
+    try:
+        return batch.sparkSession.read.parquet(path).filter(F.col("event_month").isin(months)).select("event_id")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return batch.select("event_id").limit(0)
+
+
+def append_new(batch: DataFrame, path: str) -> DataFrame:
+    """Appends to the ledger the events of a batch that it lacks, each once, the earliest; returns them.
+
+    A resent event has its first time, so only the months that the batch touches are read, once.
+    """
+    rows = batch.withColumn("event_month", F.date_format("ts", "yyyy-MM"))
+    months = [r.event_month for r in rows.select("event_month").distinct().collect()]
+    once = rows.groupBy("event_id").agg(F.min_by(F.struct(*rows.columns), F.struct("ts", F.to_json(F.struct(*rows.columns)))).alias("x")).select("x.*")
+    new = once.join(_stored(batch, path, months), "event_id", "left_anti").select(*rows.columns).persist()
+    new.write.mode("append").partitionBy("event_month").parquet(path)
+    return new
+
+
 def ingest_exact(stream: DataFrame, path: str, checkpoint: str):
     """Each event_id once over all time: every micro-batch appends what the ledger lacks."""
+    return fan_out(stream, path, {}, checkpoint)
+
+
+def fan_out(stream: DataFrame, path: str, parts: dict[str, tuple[Callable[[DataFrame], DataFrame], list[str]]], checkpoint: str):
+    """The ledger and, derived from the events that are new in it, further tables: name -> (rows of new events, keys).
+
+    A batch that runs again finds its events in the ledger; so the tables are written first, each appended by
+    what its keys lack, and the ledger last.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            ledger = spark.read.parquet(path)
-        except Exception as e:  # the ledger doesn't exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            ledger = spark.createDataFrame([], batch.schema)
-        insert_new(ledger, batch, ["event_id"], "ts").join(ledger.select("event_id"), "event_id", "left_anti").write.mode("append").parquet(path)
+        rows = batch.withColumn("event_month", F.date_format("ts", "yyyy-MM"))
+        months = [r.event_month for r in rows.select("event_month").distinct().collect()]
+        new = batch.dropDuplicates(["event_id"]).join(_stored(batch, path, months), "event_id", "left_anti").persist()
+        for name, (derive, keys) in parts.items():
+            derived, target = derive(new), f"{path}_{name}"
+            try:
+                derived = derived.join(batch.sparkSession.read.parquet(target).select(*keys), keys, "left_anti")
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+            derived.dropDuplicates(keys).write.mode("append").parquet(target)
+        append_new(batch, path).unpersist()
+        new.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed(stream: DataFrame, length: str = "1 hour", slide: str | None = None, watermark: str = "1 hour") -> DataFrame:
-    """Counts and sums by event type over tumbling or sliding windows."""
-    return stream.withWatermark("ts", watermark).groupBy(F.window("ts", length, slide or length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def windowed(stream: DataFrame, length: str = "1 hour", slide: str | None = None, watermark: str | None = "1 hour") -> DataFrame:
+    """Counts and sums by event type over tumbling or sliding windows; watermark None where the stream has one."""
+    late = stream if watermark is None else stream.withWatermark("ts", watermark)
+    return late.groupBy(F.window("ts", length, slide or length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def learner_states(stream: DataFrame, key: str, order: str) -> DataFrame:
+    """key, p_learned, attempts after every batch: knowledge tracing over a stream of (key, order, correct, difficulty).
+
+    A learner's state is two numbers; a batch's attempts are taken in order, later batches after
+    earlier ones. What arrives late is counted when it comes; the whole ledger, folded in order by the
+    batch form, settles a conflict between devices.
+    """
+    kind = dict(stream.dtypes)[key]
+
+    def fold(group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        p, n = state.get if state.exists else (BKT["prior"], 0)
+        rows = pd.concat(list(frames)).sort_values(order)
+        for correct, level in zip(rows["correct"], rows["difficulty"], strict=True):
+            n += 1
+            if pd.isna(correct):
+                continue
+            hit, miss = (1 - BKT["slip"], BKT["guess"]) if correct else (BKT["slip"], 1 - BKT["guess"])
+            after = p * hit / (p * hit + (1 - p) * miss)
+            p = after + (1 - after) * LEARN_BY_DIFFICULTY.get(level, BKT["learn"])
+        state.update((float(p), int(n)))
+        yield pd.DataFrame({key: [group[0]], "p_learned": [p], "attempts": [n]})
+
+    schema = f"{key} {kind}, p_learned double, attempts long"
+    return stream.select(key, order, "correct", "difficulty").groupBy(key).applyInPandasWithState(fold, schema, "p double, n long", "update", "NoTimeout")
