@@ -104,7 +104,9 @@ def break_cycles(edges: DataFrame, derived: Column) -> tuple[DataFrame, DataFram
     """(edges without cycles through derived ones, removed: src, dst, support).
 
     In each strong component the derived edge of least support (then by its ends) goes, until
-    no component has one; a cycle of other edges alone stays, for people to settle.
+    no component has one; a cycle of other edges alone stays, for people to settle. Components are
+    broken side by side, but the rounds grow with the edges that one of them loses: a knot of
+    hundreds of edges takes as many.
     edges: src, dst, support and what derived reads.
     """
     left, removed = edges, edges.select("src", "dst", "support").limit(0)
