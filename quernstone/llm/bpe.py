@@ -19,8 +19,8 @@ import regex
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Bytes that a task process's memo of pretokens may take before it starts anew, what an
-#: entry takes beside its text, and the longest pretoken that is remembered.
+#: Bytes that a task process's memo of pretokens may take, what an entry takes beside its
+#: text, and the longest pretoken that is remembered.
 MEMO_BYTES, ENTRY_BYTES, LONGEST = 48 << 20, 160, 64
 
 _PIECES = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -59,15 +59,20 @@ class Splitter:
 
 
 class Memo(dict):
-    """Pretoken -> what compute says of it, remembered within MEMO_BYTES."""
+    """Pretoken -> what compute says of it, remembered within MEMO_BYTES. Once half of that is
+    full it becomes the old half, and what is asked for again moves to the new one."""
 
     held = 0
+    old: dict = {}
 
     def __missing__(self, pretoken: str):
-        found = self.compute(pretoken)
+        found = self.old.get(pretoken)
+        if found is None:
+            found = self.compute(pretoken)
         if len(pretoken) <= LONGEST:
             self.held += ENTRY_BYTES + 2 * len(pretoken)
-            if self.held > MEMO_BYTES:
+            if self.held > MEMO_BYTES // 2:
+                self.old = dict(self)
                 self.clear()
                 self.held = 0
             self[pretoken] = found
