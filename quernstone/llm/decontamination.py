@@ -5,7 +5,10 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType, StructField, StructType
 
-from .common import cut, doc_bytes, fresh, map_batches, read, rewrite_texts, slices
+from .common import U64, cut, doc_bytes, fresh, map_batches, read, rewrite_texts, slices, window_hashes, word_hashes
 
 WINDOW = 10
 #: Item words that one automaton, and so one broadcast, holds.
 BLOCK_WORDS = 100_000
+#: Bits of the filter of all windows for each item word, and at most; a part of it is built by one task.
+FILTER_BITS, MOST_BITS, PART_BITS = 16, 30, 20
 
 _NOT_WORD = {*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)} - {*range(0x41, 0x5B)}
 _WORDS = bytes(32 if c in _NOT_WORD else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -189,57 +194,135 @@ def joined_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return merged
 
 
-def _found(raw: bytes | None, known: dict | None, automaton: Automaton) -> dict:
-    """n_words, spans, items of a text: what an earlier block found and this one's."""
-    words = words_of(raw)
-    spans, items = automaton.scan(words)
-    if known:
-        spans, items = joined_spans(spans + [(x["a"], x["b"]) for x in known["spans"]]), items.union(known["items"])
-    return {"n_words": len(words), "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(items)}
+class WindowFilter:
+    """Bits at the hashes of all windows of all items, and the sizes that windows have. A text with a window of an
+    item always has its bit; others seldom do."""
 
+    def __init__(self, bits: np.ndarray, sizes: list[int]):
+        self.bits, self.sizes = bits, sizes
+        self.shift = U64(64 - (len(bits) * 8).bit_length() + 1)
 
+    def may_hold(self, raw: bytes | None) -> bool:
+        words = word_hashes((raw or b"").translate(_WORDS))
+        for size in self.sizes:
+            at = (window_hashes(words, size) >> self.shift).astype(np.int64)
+            if (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).any():
+                return True
+        return False
+
+
+def window_filter(benchmark: DataFrame, window: int = WINDOW, text: str = "text", most_bits: int = MOST_BITS) -> WindowFilter:
+    """The filter of all items, whatever their number: FILTER_BITS bits a word, at most 2 ** most_bits in all
+    (beyond that it lets more texts through). Its parts are built in tasks; the driver joins them."""
+
+    def windows(_, raws):
+        out: dict[str, list] = {"size": [], "hash": []}
+        for raw in raws:
+            words = word_hashes((raw or b"").translate(_WORDS))
+            found = window_hashes(words, size := min(window, len(words))) if len(words) else []
+            out["size"] += [size] * len(found) if len(found) else []
+            out["hash"] += [int(h) - (1 << 63) for h in found]
+        return out
+
+    hashes = cut(map_batches(doc_bytes(benchmark.select(F.lit(0).alias("doc_id"), F.col(text).alias("text"))), windows, "size int, hash long").distinct())
+    sizes = [r["size"] for r in hashes.select("size").distinct().orderBy("size").collect()]
+    bits = min(most_bits, max(10, (FILTER_BITS * hashes.count()).bit_length()))
+    part = min(bits, PART_BITS)
+
+    def build(rows: pa.Table) -> pa.Table:
+        at = (rows.column("hash").to_numpy().view(U64) ^ U64(1 << 63)) >> U64(64 - bits)
+        mine = np.zeros(1 << part, np.uint8)
+        mine[(at & U64((1 << part) - 1)).astype(np.int64)] = 1
+        return pa.table({"part": rows.column("part")[:1], "bits": pa.array([np.packbits(mine, bitorder="little").tobytes()], pa.binary())})
+
+    number = F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits + part) if bits > part else F.lit(0).cast("long")
+    whole = np.zeros(1 << (bits - 3), np.uint8)
+    for r in hashes.select("hash", number.alias("part")).groupBy("part").applyInArrow(build, "part long, bits binary").toLocalIterator():
+        whole[r["part"] << (part - 3) :][: 1 << (part - 3)] = np.frombuffer(r["bits"], np.uint8)
+    return WindowFilter(whole, sizes)
+
+
+_KNOWN = "struct<spans:array<struct<a:int,b:int>>,items:array<string>>"
 _HITS = "struct<n_words:long,spans:array<struct<a:int,b:int>>,items:array<string>>"
 
 
+def _where(docs: DataFrame, at: int, shared: Broadcast, held: bool) -> DataFrame:
+    """The rows of docs whose text the filter lets through (held), or the others."""
+
+    def run(batches):
+        for batch in slices(batches):
+            kept = batch.filter(pa.array([shared.value.may_hold(t) is held for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+            if kept.num_rows:
+                yield kept
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _by_blocks(docs: DataFrame, text: str, name: str, blocks: Iterable[Broadcast], shared: Broadcast) -> DataFrame:
+    """docs with a last column: what the blocks find in each text (null: nothing). Of docs only rows that the filter lets
+    through are written, once; each block's pass reads their texts and writes what it finds."""
+    row, at = fresh("row", docs), docs.columns.index(text)
+    few = cut(_where(docs, at, shared, True).withColumn(row, F.monotonically_increasing_id()))
+    texts = few.select(F.col(row).alias("doc_id"), F.col(text).cast("binary").alias("raw"))
+    found = []
+    for block in blocks:
+
+        def rows(ids, raws, block=block):
+            out: dict[str, list] = {"row": [], "spans": [], "items": []}
+            for i, raw in zip(ids, raws, strict=True):
+                spans, items = block.value.scan(words_of(raw))
+                if spans:
+                    for k, v in zip(out, (i, [{"a": a, "b": b} for a, b in spans], sorted(items)), strict=True):
+                        out[k].append(v)
+            return out
+
+        found.append(cut(map_batches(texts, rows, "row long, spans array<struct<a:int,b:int>>, items array<string>")))
+        block.unpersist()
+    merged = reduce(DataFrame.union, found).groupBy(F.col("row").alias(row)).agg(F.struct(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).alias(name))
+    return few.join(merged, row, "left").select(*docs.columns, name).union(_where(docs, at, shared, False).withColumn(name, F.lit(None).cast(_KNOWN)))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text", keep: Callable[[bytes | None, dict], tuple[bool, bytes | None]] | None = None) -> tuple[DataFrame, str]:
     """docs with a last column, and its name: n_words, spans (hit words, first and one past
     the last), items. With keep: docs alone, as it says of each text and that column.
 
     A window is a run of window item words; an item of fewer words, but not none, is
-    one window. Each row of docs streams through the automaton of each block of items
-    in turn. Between blocks the rows are written, so a task holds one block at a
-    time and an automaton of few items costs one narrow pass.
+    one window. Where one block holds all items, docs stream through its automaton in one narrow pass. Of
+    more blocks a filter of all windows first tells the rows that may have one; only those meet
+    the automata, one block at a time, so documents are not written again for each block.
     """
     name, at, width = fresh("hits", docs), docs.columns.index(text), len(docs.columns)
     kind = to_arrow_schema(StructType.fromDDL(f"hits {_HITS}")).field(0).type
     marked = StructType([*docs.schema.fields, StructField(name, DataType.fromDDL(_HITS))])
+    blocks = automata(benchmark, window, block_words)
+    block = next(blocks)
+    if (after := next(blocks, None)) is None:
+        out, find = docs, lambda raw, known=None: block.value.scan(words_of(raw))
+    else:
+        out = _by_blocks(docs, text, name, chain((block, after), blocks), docs.sparkSession.sparkContext.broadcast(window_filter(benchmark, window)))
+        find = lambda raw, known: (joined_spans((x["a"], x["b"]) for x in known["spans"]), known["items"]) if known else ([], [])
 
-    def pass_over(out: DataFrame, shared: Broadcast) -> DataFrame:
-        def run(batches):
-            for batch in slices(batches):
-                texts, known = batch.column(at).cast(pa.binary()).to_pylist(), batch.column(width).to_pylist() if batch.num_columns > width else [None] * batch.num_rows
-                found = pa.array([_found(t, k, shared.value) for t, k in zip(texts, known, strict=True)], kind)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], found], names=marked.names)
+    def judge(raw: bytes | None, *known) -> dict:
+        spans, items = find(raw, *known)
+        return {"n_words": len(words_of(raw)), "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(items)}
 
-        return out.mapInArrow(run, marked)
+    if keep is not None:
+        return rewrite_texts(out, lambda raw, *known: keep(raw, judge(raw, *known)), text, more=len(out.columns) - width), name
 
-    out, blocks = docs, automata(benchmark, window, block_words)
-    block = next(blocks)
-    while (after := next(blocks, None)) is not None:
-        out = cut(pass_over(out, block))
-        block.unpersist()
-        block = after
-    if keep is None:
-        return pass_over(out, block), name
-    first = len(out.columns) == width
-    return rewrite_texts(out, lambda raw, known=None: keep(raw, _found(raw, known, block.value)), text, more=0 if first else 1), name
+    def run(batches):
+        for batch in slices(batches):
+            columns = [batch.column(at).cast(pa.binary()).to_pylist(), *(c.to_pylist() for c in batch.columns[width:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array([judge(*row) for row in zip(*columns, strict=True)], kind)], names=marked.names)
+
+    return out.mapInArrow(run, marked), name
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row for each row.
 
     A null text has no words and is clean, as is all with an empty benchmark; null
-    item texts have no window; repeated items count by their different ids.
+    item texts have no window; repeated items count by their different ids, and all items
+    without an id are one, called `null`.
     """
     found, name = hits(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), benchmark, **options)
     return found.select("doc_id", f"{name}.*").select(

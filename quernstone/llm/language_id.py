@@ -22,6 +22,8 @@ FOREIGN_GRAMS = 100
 FOREIGN_SHARE = 0.05
 #: Fewer n-grams than these, of all languages, are too little to call a text foreign.
 LEARNT_GRAMS = 2_000
+#: Languages that filters are learnt for at most: what comes to the driver and the broadcast grow with them.
+LANGUAGES = 256
 SLOT_BITS = 20
 HASHES = 2
 
@@ -123,10 +125,12 @@ def learn(docs: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE, text: s
     1 of 5,000 of its n-grams, at half or more of the highest rate of any
     language; each language keeps its GRAMS_PER_LANGUAGE most frequent ones, and for short
     texts its SHORT_GRAMS most frequent three-grams. What comes to the driver is
-    bounded by these numbers and the languages, not by docs.
+    bounded by these numbers and LANGUAGES, not by docs; more languages are an error.
     """
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
     shares = cut(rows.groupBy("lang").agg((F.lit(texts_per_language) / F.approx_count_distinct("hash", 0.02)).alias("share")))
+    if (n := shares.count()) > LANGUAGES:
+        raise ValueError(f"lang has {n} values; filters are learnt for at most {LANGUAGES} languages")
     picked = rows.join(shares, "lang").filter(F.pmod("hash", F.lit(1 << 20)) < F.col("share") * (1 << 20)).dropDuplicates(["lang", "hash"]).select("lang", "text")
 
     def count(batches):
@@ -202,8 +206,8 @@ def language_stage(docs: DataFrame) -> DataFrame:
     languages (FOREIGN_GRAMS n-grams or more, of which none knows FOREIGN_SHARE more than
     chance). A low score alone, as short texts have, drops no row.
 
-    doc_id need not be unique and every column is carried as it is: the decision
-    goes back to the row by its own number, not by its id.
+    doc_id need not be unique and every column is carried as it is: rows are judged where they
+    stand, in one pass.
     """
     filters = learn(docs.filter(~held_out()))
     shared = docs.sparkSession.sparkContext.broadcast(filters)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from array import array
-from bisect import bisect_left, bisect_right
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,10 @@ from .common import LOWER, cut, doc_bytes, fresh, map_batches, read, rewrite_tex
 from .patience import align
 
 MIN_WORDS = 40
+#: A line is rare if it stands at most so many times in all documents. Pairs by one line are at most RARE * (RARE - 1) / 2.
+RARE = 5
+#: Pairs of one earlier stretch that one task aligns.
+HELD_PAIRS = 1_000
 
 
 def line_keys(raw: bytes | None) -> tuple[list[int], list[int], list[int]]:
@@ -54,92 +58,156 @@ def passage_runs(keys: list[int], words: list[int], least: int) -> list[tuple[in
     return [(xxhash.xxh3_64_intdigest(raw[8 * x : 8 * y + 8]) - (1 << 63), x, y) for x, y in sorted(spans)]
 
 
-def aligned_blocks(mine: Sequence[int], words: Sequence[int], theirs: Sequence[int], least: int, rounds: int = 8) -> list[tuple[int, int]]:
-    """(first, past the last) of the blocks of mine that patience aligns line by line with a block
-    of theirs, of least words or more. What blocks leave of mine between them is aligned
-    with the whole of theirs in the next round, so a passage that comes more often, or
-    elsewhere, is found too; rounds bound the work on one that comes without end."""
-    found, rest = [], [(0, len(mine))]
-    for _ in range(rounds):
-        todo, rest = rest, []
-        for a, b in todo:
-            pairs = [(a + x, y) for x, y in align(mine[a:b], theirs)] if sum(words[a:b]) >= least else []
-            blocks, k = [], 0
-            for i in range(1, len(pairs) + 1):
-                if i == len(pairs) or pairs[i] != (pairs[i - 1][0] + 1, pairs[i - 1][1] + 1):
-                    first, past = pairs[k][0], pairs[i - 1][0] + 1
-                    if sum(words[first:past]) >= least:
-                        blocks.append((first, past))
-                    k = i
-            if blocks:
-                found += blocks
-                ends = [a, *(x for block in blocks for x in block), b]
-                rest += [(x, y) for x, y in zip(ends[::2], ends[1::2], strict=True) if x < y]
-    return found
+def grown(mine: Sequence[int], theirs: Sequence[int], x: int, y: int) -> tuple[int, int]:
+    """(first, past the last) of the block of mine around x that stands in theirs around y."""
+    past, j = x, y
+    while past < len(mine) and j < len(theirs) and mine[past] == theirs[j]:
+        past, j = past + 1, j + 1
+    while x and y and mine[x - 1] == theirs[y - 1]:
+        x, y = x - 1, y - 1
+    return x, past
+
+
+def outside(runs: list[tuple[int, int, int]], blocks: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """The runs (hash, first, last; rising) that no block holds whole."""
+    out, rest, reach = [], sorted(blocks, reverse=True), 0
+    for run in runs:
+        while rest and rest[-1][0] <= run[1]:
+            reach = max(reach, rest.pop()[1])
+        if run[2] >= reach:
+            out.append(run)
+    return out
 
 
-def covered(at: list[int], spans: list[tuple[int, int]]) -> list[int]:
-    """The numbers of at within any of the spans (first, last)."""
-    out: list[int] = []
-    done = 0
-    for first, last in sorted(spans):
-        x, y = max(done, bisect_left(at, first)), bisect_right(at, last)
-        out += at[x:y]
-        done = max(done, y)
-    return out
+def aligned_blocks(mine: Sequence[int], words: Sequence[int], theirs: Sequence[int], their_words: Sequence[int], least: int) -> list[tuple[int, int]]:
+    """(first, past the last) of the blocks of mine that patience aligns line by line with a block of theirs, of
+    least words or more, until none is left: together they hold every line of mine in such a block.
+
+    Lines are aligned first; what blocks leave of mine between them is aligned anew, with those
+    lines of theirs that it has too, so a passage that comes more often, or elsewhere, is found. An alignment
+    is in order and may prefer scattered lines; so the runs of mine that no block holds are then aligned whole,
+    again until nothing aligns. Each match grows to the block it stands in."""
+    found: list[tuple[int, int]] = []
+    places: dict[int, list[int]] = {}
+    for y, key in enumerate(theirs):
+        places.setdefault(key, []).append(y)
+    todo = [(0, len(mine))]
+    while todo:
+        a, b = todo.pop()
+        if sum(words[a:b]) < least:
+            continue
+        ours = sorted(y for key in set(mine[a:b]) for y in places.get(key, ()))
+        pairs = [(a + x, ours[y]) for x, y in align(mine[a:b], [theirs[y] for y in ours])]
+        cuts, k = [a], 0
+        for i in range(1, len(pairs) + 1):
+            if i == len(pairs) or pairs[i] != (pairs[i - 1][0] + 1, pairs[i - 1][1] + 1):
+                first, past = pairs[k][0], pairs[i - 1][0] + 1
+                if sum(words[first:past]) >= least:
+                    found.append(grown(mine, theirs, *pairs[k]))
+                    cuts += [first, past]
+                k = i
+        if len(cuts) > 1:
+            todo += [(x, y) for x, y in zip(cuts[::2], [*cuts[1::2], b], strict=True) if x < y]
+    known = passage_runs(theirs, their_words, least)
+    held = {h for h, _, _ in known}
+    left = [run for run in passage_runs(mine, words, least) if run[0] in held]
+    while (left := outside(left, found)) and (pairs := align([h for h, _, _ in left], [h for h, _, _ in known])):
+        found += [grown(mine, theirs, left[x][1], known[y][1]) for x, y in pairs]
+    return found
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(lines of each row: doc_id, at, keys, words, runs, as a written table;
-    doc_id, removed: numbers of the lines that an earlier document has too).
+def shared_segments(marks: list[dict], least: int) -> Iterator[tuple[list[int], list[int], list[int], list[int], list[int]]]:
+    """Line numbers, keys, words, rare lines and runs of each unbroken stretch of least words or more of lines that
+    another document may have. Runs are those of lines that are all frequent, so that every block
+    has a rare line or a run."""
+    marks = sorted({m["pos"]: m for m in marks}.values(), key=lambda m: m["pos"])
+    for _, of in groupby(enumerate(marks), lambda x: x[1]["pos"] - x[0]):
+        part = [m for _, m in of]
+        if sum(m["words"] for m in part) < least:
+            continue
+        runs: set[int] = set()
+        for often, of_kind in groupby(part, lambda m: m["often"]):
+            if often:
+                stretch = list(of_kind)
+                runs |= {h for h, _, _ in passage_runs([m["key"] for m in stretch], [m["words"] for m in stretch], least)}
+        yield [m["at"] for m in part], [m["key"] for m in part], [m["words"] for m in part], sorted({m["key"] for m in part if not m["often"]}), sorted(runs)
+
+
+def _pairs(segments: DataFrame) -> DataFrame:
+    """doc_id, part, of, from, salt, salts: each two segments of different documents, the later one first, that share a
+    rare line, or of which the earlier one is the first to have a run of the later one."""
+    rare = segments.select("doc_id", "part", F.explode("rare").alias("key"))
+    groups = rare.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("doc_id", "part"))).alias("all")).filter(F.size("all") > 1)
+    each = groups.select("all", F.posexplode("all").alias("at", "x")).select("x.*", F.explode(F.slice("all", 1, F.col("at"))).alias("y"))
+    by_line = each.select("doc_id", "part", F.col("y.doc_id").alias("of"), F.col("y.part").alias("from"), F.lit(0).alias("salt"), F.lit(1).alias("salts"))
+    single = segments.select("doc_id", "part", F.explode("runs").alias("key"))
+    first = single.groupBy("key").agg(F.min(F.struct("doc_id", "part")).alias("h"), F.max("doc_id").alias("latest"), F.count("*").alias("n"))
+    first = first.filter("h.doc_id < latest").select("key", F.col("h.doc_id").alias("of"), F.col("h.part").alias("from"), F.ceil(F.col("n") / HELD_PAIRS).cast("int").alias("salts"))
+    by_run = single.join(cut(first), "key").select("doc_id", "part", "of", "from", F.pmod(F.xxhash64("doc_id", "part"), "salts").cast("int").alias("salt"), "salts")
+    both = by_line.unionByName(by_run).filter("doc_id > of")
+    return both.groupBy("doc_id", "part", "of", "from").agg(F.max(F.struct("salts", "salt")).alias("x")).select("doc_id", "part", "of", "from", "x.salt", "x.salts")
+
+
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(lines of each row: doc_id, text_key, at, keys, words, as a written table;
+    doc_id, text_key, removed: numbers of the lines that an earlier document has too).
 
     Of a document every line goes that stands in an unbroken block of at least
     min_words words which any earlier document (by doc_id) has too, wherever, in what
-    order and how often either has it. The first to have a block keeps it.
-
-    A pair is a document and the first holder of one of its passages. Passages are minimal
-    runs of lines, by hash, at most two a line: a single rare line would lead to its own
-    first holder, and lose a block whose lines came from several documents. The two are
-    aligned by patience and common blocks go from the later one, again until alignment finds
-    none; then every run that led to the pair is checked, and goes where alignment, being
-    in order, has chosen other lines. Runs are grouped partially, no group is paired within
-    itself, and a task holds one pair at a time.
+    order and how often either has it. The first to have a block keeps it. Texts of one doc_id
+    are of one age; of equal ones each loses the same lines.
+
+    Lines that stand once in all documents end a block, so only the stretches between them go on. Two
+    stretches are a pair if they share a rare line (one that stands at most `rare` times in all), or, where
+    all of a block's lines are frequent, by the hash of a run of them, which leads to its first holder: so no
+    block is missed, and a line's or run's holders are never paired with one another in numbers. A pair is aligned by
+    patience, and what aligns in blocks goes from the later document. Nothing else does.
+
+    Counts of lines and runs are partial aggregations. A pair's later stretch is sent once a pair, the earlier
+    one once for HELD_PAIRS pairs, so a passage that a third of all documents has is spread over tasks.
     """
     kind = dict(docs.dtypes)[doc_id]
 
-    def rows(ids, raws):
-        out = {"doc_id": ids, "at": [], "keys": [], "words": [], "runs": []}
-        for raw in raws:
-            at, keys, words = line_keys(raw)
-            out["at"].append(at)
-            out["keys"].append(keys)
-            out["words"].append(words)
-            out["runs"].append([{"key": k, "first": at[x], "last": at[y]} for k, x, y in passage_runs(keys, words, min_words)])
+    def rows(ids, raws, keys):
+        found = [line_keys(raw) for raw in raws]
+        return {"doc_id": ids, "text_key": keys} | {name: [f[i] for f in found] for i, name in enumerate(("at", "keys", "words"))}
+
+    lines = cut(map_batches(doc_bytes(docs, F.xxhash64(F.col(text)).alias("text_key"), text=text, doc_id=doc_id), rows, f"doc_id {kind}, text_key long, at array<int>, keys array<long>, words array<int>"))
+    placed = lines.filter("doc_id is not null").select("doc_id", "text_key", F.posexplode(F.arrays_zip("at", "keys", "words")).alias("pos", "x")).select("doc_id", "text_key", "pos", "x.at", F.col("x.keys").alias("key"), "x.words")
+    known = cut(placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", (F.col("n") > rare).alias("often")))
+    marked = placed.join(known, "key").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "at", "key", "words", "often")).alias("marks"))
+
+    def parts(ids, texts, marks):
+        out: dict[str, list] = {"doc_id": [], "part": [], "text_key": [], "at": [], "keys": [], "words": [], "rare": [], "runs": []}
+        for i, t, m in zip(ids, texts, marks, strict=True):
+            for at, keys, words, single, runs in shared_segments(m, min_words):
+                part = xxhash.xxh3_64_intdigest(array("q", [t, at[0]]).tobytes()) - (1 << 63)
+                for name, v in zip(out, (i, part, t, at, keys, words, single, runs), strict=True):
+                    out[name].append(v)
         return out
 
-    lines = cut(map_batches(doc_bytes(docs, text=text, doc_id=doc_id), rows, f"doc_id {kind}, at array<int>, keys array<long>, words array<int>, runs array<struct<key:long,first:int,last:int>>"))
-    known = lines.filter("doc_id is not null")
-    single = known.select("doc_id", F.explode("runs").alias("x")).select("doc_id", "x.*")
-    holders = cut(single.groupBy("key").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("latest")).filter("holder < latest").select("key", "holder"))
-    pairs = cut(single.join(holders, "key").filter("doc_id > holder").groupBy("doc_id", "holder").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
-    mine = known.select("doc_id", "at", "keys", "words")
-    wide = pairs.join(mine, "doc_id").join(known.select(F.col("doc_id").alias("holder"), F.col("keys").alias("theirs")), "holder").select("doc_id", "spans", "at", "keys", "words", "theirs")
+    segments = cut(map_batches(marked, parts, f"doc_id {kind}, part long, text_key long, at array<int>, keys array<long>, words array<int>, rare array<long>, runs array<long>"))
+    pairs = cut(_pairs(segments))
+    held = pairs.groupBy("of", "from").agg(F.max("salts").alias("salts")).select("of", "from", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    theirs = held.join(segments.select(F.col("doc_id").alias("of"), F.col("part").alias("from"), F.col("keys").alias("theirs"), F.col("words").alias("their_words")), ["of", "from"])
+    wide = pairs.drop("salts").join(segments.select("doc_id", "part", "text_key", "at", "keys", "words"), ["doc_id", "part"]).join(theirs, ["of", "from", "salt"])
 
-    def numbers(ids, spans, at, keys, words, theirs):
+    def numbers(ids, texts, at, keys, words, theirs, their_words):
         out = []
         for i in range(len(ids)):
-            blocks = [(at[i][x], at[i][y - 1]) for x, y in aligned_blocks(keys[i], words[i], theirs[i], min_words)]
-            out.append(covered(at[i], blocks + [(s["first"], s["last"]) for s in spans[i]]))
-        return {"doc_id": ids, "removed": out}
+            blocks = aligned_blocks(keys[i], words[i], theirs[i], their_words[i], min_words)
+            out.append(sorted({n for x, y in blocks for n in at[i][x:y]}))
+        return {"doc_id": ids, "text_key": texts, "removed": out}
 
-    removed = map_batches(wide, numbers, f"doc_id {kind}, removed array<int>")
-    return lines, removed.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
+    removed = map_batches(wide.select("doc_id", "text_key", "at", "keys", "words", "theirs", "their_words"), numbers, f"doc_id {kind}, text_key long, removed array<int>")
+    one = removed.select("doc_id", "text_key", F.explode("removed").alias("n")).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("n")).alias("removed"))
+    return lines, one
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines and n_words (of lines with a word), n_removed_lines,
     n_removed_words: one row for each row. A null text has no lines; rows that
-    share a doc_id are one document and lose the same line numbers; a null doc_id is
+    share a doc_id are of one age and lose nothing to each other; a null doc_id is
     compared with nothing. doc_id may be of any type that has an order."""
     lines, removed = removed_lines(docs, **options)
 
@@ -148,7 +216,7 @@ def line_report(docs: DataFrame, **options) -> DataFrame:
         lost = [[w for n, w in zip(a, ws, strict=True) if n in g] for a, ws, g in zip(at, words, gone, strict=True)]
         return {"doc_id": ids, "n_lines": [len(a) for a in at], "n_words": [sum(w) for w in words], "n_removed_lines": [len(x) for x in lost], "n_removed_words": [sum(x) for x in lost]}
 
-    rows = lines.select("doc_id", "at", "words").join(removed, "doc_id", "left").select("doc_id", "at", "words", "removed")
+    rows = lines.select("doc_id", "text_key", "at", "words").join(removed, ["doc_id", "text_key"], "left").select("doc_id", "at", "words", "removed")
     return map_batches(rows, counts, f"doc_id {dict(lines.dtypes)['doc_id']}, n_lines long, n_words long, n_removed_lines long, n_removed_words long")
 
 
@@ -157,7 +225,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     left, but had one, go; all others stay, as they are if nothing was removed. Rows
     with a null doc_id or text stay as they are."""
     _, removed = removed_lines(docs, min_words)
-    name = fresh("removed", docs)
+    name, doc, key = fresh("removed", docs), fresh("doc", docs), fresh("text_key", docs)
 
     def left(raw, gone):
         if raw is None or not gone:
@@ -166,7 +234,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         kept = b"\n".join(line for i, line in enumerate(raw.split(b"\n")) if i not in gone)
         return bool(kept.split()), kept
 
-    return rewrite_texts(docs.join(removed.toDF("doc_id", name), "doc_id", "left").select(*docs.columns, name), left, more=1)
+    removed = removed.toDF(doc, key, name)
+    return rewrite_texts(docs.join(removed, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left").select(*docs.columns, name), left, more=1)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

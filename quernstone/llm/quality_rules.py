@@ -51,7 +51,7 @@ def quality_rules(
     line_share: float = 0.01,
     line_ceiling: int = 1_000,
     min_left_share: float = 0.3,
-    spare_first: bool = True,
+    spare_first: bool = False,
     text: str = "text",
     doc_id: str = "doc_id",
 ) -> DataFrame:

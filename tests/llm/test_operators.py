@@ -180,10 +180,36 @@ def test_windows_equal_brute_force():
         assert {x for a, b in spans for x in range(a, b)} == hit and got == found
 
 
-def test_hits_by_blocks(spark):
+def test_hits_by_blocks(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
-    whole, parts = (set(map(tuple, decontamination.contamination(docs, items, block_words=n).collect())) for n in (10**6, 1200))
-    assert whole == parts
+    items = items.union(spark.createDataFrame([(900, "le la"), (None, "no such words anywhere at all")], "item_id long, text string"))
+    whole = sorted(map(tuple, decontamination.contamination(docs, items, block_words=10**6).collect()))
+    cleaned = sorted(map(repr, decontamination.decontaminate(docs, items, block_words=10**6).collect()))
+    written = []
+
+    def counted(df, cut=decontamination.cut):
+        out = cut(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(decontamination, "cut", counted)
+    assert sorted(map(tuple, decontamination.contamination(docs, items, block_words=1200).collect())) == whole
+    texts = [n for columns, n in written if "text" in columns]
+    hit = sum(r[-1] for r in whole)
+    assert len(written) > 4 and len(texts) == 1 and hit <= texts[0] < docs.count()  # rows that may be hit, once, whatever the blocks
+    whole_filter = decontamination.window_filter
+    for bits in (14, 30):  # one that is too small lets more through, and changes nothing
+        monkeypatch.setattr(decontamination, "window_filter", lambda b, w, bits=bits: whole_filter(b, w, most_bits=bits))
+        assert sorted(map(repr, decontamination.decontaminate(docs, items, block_words=1200).collect())) == cleaned
+
+
+def test_filter_holds_every_window(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PART_BITS", 10)
+    items = [(i, " ".join(f"w{(i * 7 + k) % 900}" for k in range(1 + i % 30))) for i in range(300)]
+    known = decontamination.window_filter(spark.createDataFrame(items, "item_id long, text string"))
+    assert known.sizes == list(range(1, 11)) and len(known.bits) > 128
+    assert all(known.may_hold(f"x {t} y".encode()) for _, t in items) and not known.may_hold(None)
+    assert sum(known.may_hold(f"z{i}".encode()) for i in range(500)) < 100
 
 
 def test_base_counts_equal_brute_force():
@@ -195,7 +221,8 @@ def test_base_counts_equal_brute_force():
         assert quality_rules.text_counts(text.encode()) == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered))
 
 
-def test_kept_equals_brute_force(spark):
+@pytest.mark.parametrize("spare", [False, True])
+def test_kept_equals_brute_force(spark, spare):
     rng = random.Random(9)
     lines = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) + str(rng.randrange(50)) for _ in range(8)) for _ in range(30)]
     lines = [re.sub(r"\d", "x", x) + f" own{chr(97 + i)}" for i, x in enumerate(lines)]
@@ -217,12 +244,12 @@ def test_kept_equals_brute_force(spark):
         for line in set(norm(text)):
             by_docs = many(len({d for d, t in same if line in norm(t)}), len(docs))
             by_texts = by_docs and many(len({t for t in texts if line in norm(t)}), len(texts))
-            if by_texts if first else by_docs:
+            if by_texts if first and spare else by_docs:
                 lost += norm(text).count(line) * len(line.split())
         n = len((text or "").split())
         repeats = quality_rules.text_counts((text or "").encode())[4]
         want.append((i, lost, not (n < 10 or 100 * repeats > 50 * n) and n - lost >= 10 and n - lost >= 0.3 * n))
-    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), **options).collect()
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), spare_first=spare, **options).collect()
     assert sorted(map(repr, ((r.doc_id, r.n_frequent_words, r.kept) for r in out))) == sorted(map(repr, want))
     assert 5 < sum(w[2] for w in want) < len(want) - 20 and any(w[1] for w in want)
 
@@ -267,6 +294,34 @@ def test_language_of_rows_not_learnt_from(spark):
     assert (out.lang == out.lang_pred).mean() > 0.98
 
 
+def test_filters_against_exact_sets():
+    rng = random.Random(12)
+    languages = [f"l{i:02}" for i in range(70)]  # two words of 64 languages
+    members = [np.unique(np.array([rng.getrandbits(32) for _ in range(3_000)], np.uint64)) for _ in languages]
+    filters = language_id.Filters.of(languages, members)
+    exact = [set(m.tolist()) for m in members]
+    strange = np.array([rng.getrandbits(32) for _ in range(20_000)], np.uint64)
+    for codes in (*members[::9], strange):
+        mask = np.bitwise_and.reduce([filters.table[language_id.slots(codes, k)] for k in range(language_id.HASHES)])
+        for i in range(0, 70, 7):
+            claimed = (mask[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(bool)
+            known = np.array([c in exact[i] for c in codes.tolist()])
+            assert claimed[known].all()  # no member is missed
+            if codes is strange:
+                assert abs((claimed & ~known).mean() - filters.false_rate[i]) < 0.002
+    # with the false ones taken off, the counts come near the exact ones
+    texts = [bytes(rng.choices(b"abcdefgh ", k=400)).decode() for _ in range(8)]
+    filters = language_id.Filters.of(["a", "b"], [np.unique(np.concatenate([language_id.grams(t) for t in texts[:4]])), np.unique(np.concatenate([language_id.grams(t) for t in texts[4:]]))])
+    for i, t in enumerate(texts):
+        assert filters.decide(t)[0] == "ab"[i // 4]
+
+
+def test_too_many_languages_are_an_error(spark):
+    docs = spark.createDataFrame([(f"some words {i}", f"l{i}") for i in range(300)], "text string, lang string")
+    with pytest.raises(ValueError, match="at most"):
+        language_id.learn(docs)
+
+
 def test_texts_with_letters_get_a_language_and_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     short = ["A.", "é", "Ж", "Was orer.\nThis work is licensed under the GNU General Public License, version 3.", "Ie, des. Heitbe ötz.\nLicensed under the Apache License, Version 2.0."]
@@ -411,6 +466,49 @@ def test_passage_of_scattered_lines_goes(spark):
     assert removed_of(spark, single) == {1: set(), 2: set(), 3: set(), 4: set(), 5: set(), 6: {0, 1, 2, 3}}
 
 
+def test_blocks_are_those_that_align(spark, monkeypatch):
+    rng = random.Random(3)
+    for _ in range(1_500):
+        k = rng.choice([3, 5, 9])
+        size = [rng.choice([1, 2, 5, 9]) for _ in range(k)]
+        a, b = ([rng.randrange(k) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        least, want = rng.choice([4, 8, 12]), set()
+        for x in range(len(a)):
+            for y in range(len(b)):
+                n = 0
+                while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                    n += 1
+                if sum(size[i] for i in a[x : x + n]) >= least:
+                    want |= set(range(x, x + n))
+        blocks = line_dedup.aligned_blocks(a, [size[i] for i in a], b, [size[i] for i in b], least)
+        assert {i for x, y in blocks for i in range(x, y)} == want
+    passage = "\n".join(" ".join(f"p{i}w{j}" for j in range(15)) for i in range(4))
+    rows = [(1, passage), (2, f"own\n{passage}")]
+    assert removed_of(spark, rows) == {1: set(), 2: {1, 2, 3, 4}}
+    monkeypatch.setattr(line_dedup, "align", lambda a, b: [])
+    assert line_dedup.aligned_blocks([1, 2], [30, 30], [1, 2], [30, 30], 40) == []
+
+
+@pytest.mark.parametrize("rare", [1, 2, 5, 10**6])
+def test_rare_lines_and_runs_find_the_same(spark, rare):
+    rng = random.Random(5)
+    line = [" ".join(f"l{i}w{j}" for j in range(rng.choice([3, 12, 25]))) for i in range(20)]
+    rows = []
+    for i in range(40):
+        x = rng.randrange(20)
+        rows.append((i, "\n".join([*line[x : x + rng.randint(2, 7)], f"own {i}", *line[: rng.randint(0, 3)]])))
+    found = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"), rare=rare)[1].collect()
+    assert {r.doc_id: set(r.removed) for r in found} == {i: x for i, x in repeated_blocks(rows).items() if x}
+
+
+def test_rows_of_one_id(spark):
+    passage = [" ".join(f"p{i}w{j}" for j in range(15)) for i in range(30)]
+    rows = [(1 + i % 2, "\n".join(passage)) for i in range(400)] + [(2, "\n".join(["other", *passage[:5]])), (1, "\n".join(passage[9:15])), (3, "clean")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = sorted((r.doc_id, r.text) for r in out.collect())
+    assert left == sorted([(i, t) for i, t in rows if i != 2] + [(2, "other")])
+
+
 def test_removed_lines_equal_brute_force(spark):
     rng = random.Random(11)
     line = [" ".join(f"l{i}w{j}" for j in range(rng.choice([1, 3, 12, 15, 25, 41]))) for i in range(25)]
