@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import clamp, rank_percentile
+from quernstone.lineage import cut
 
 
 def kpis(events: DataFrame, as_of: str, start_type: str, minutes: str) -> DataFrame:
@@ -31,7 +31,7 @@ def running_before(counts: DataFrame, order: str, n: str, within: list[str] | No
     """
     within = within or []
     spread = counts.repartitionByRange(parts, *within, order).withColumn("_range", F.spark_partition_id())
-    spread = spread.checkpoint() if counts.sparkSession.sparkContext.getCheckpointDir() else spread.persist(StorageLevel.MEMORY_AND_DISK)
+    spread = cut(spread)
     ranges = spread.groupBy(*within, "_range").agg(F.sum(n).alias("_n"))
     carried = F.coalesce(F.sum("_n").over(Window.partitionBy(*(within or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inner = F.coalesce(F.sum(n).over(Window.partitionBy(*within, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

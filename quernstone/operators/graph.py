@@ -7,10 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """A round's rows, cut from their lineage where a checkpoint folder is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+from quernstone.lineage import cut
 
 
 def closure(edges: DataFrame, depth: int = 5) -> DataFrame:
@@ -18,11 +15,11 @@ def closure(edges: DataFrame, depth: int = 5) -> DataFrame:
     without the start itself. Each level goes on from the pairs first found by the one before
     and leaves out what is known, so nothing is expanded twice and walks don't multiply."""
     step = edges.select("src", "dst").distinct()
-    level = _kept(step.filter("src != dst").select(F.col("src").alias("start"), F.col("dst").alias("reached"), F.lit(1).alias("min_depth")))
+    level = cut(step.filter("src != dst").select(F.col("src").alias("start"), F.col("dst").alias("reached"), F.lit(1).alias("min_depth")))
     found = level
     for d in range(2, depth + 1):
         ahead = level.join(step, level["reached"] == step["src"]).select("start", F.col("dst").alias("reached")).filter("start != reached").distinct()
-        level = _kept(ahead.join(found, ["start", "reached"], "left_anti").withColumn("min_depth", F.lit(d)))
+        level = cut(ahead.join(found, ["start", "reached"], "left_anti").withColumn("min_depth", F.lit(d)))
         found = found.unionByName(level)
         if d < depth and not level.take(1):
             break
@@ -41,7 +38,7 @@ def paths(edges: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
     level = starts.select(F.col("start"), F.array("start").alias("path"))
     found = []
     for _ in range(depth):
-        level = _kept(level.join(step, F.element_at("path", -1) == step["src"]).filter(~F.array_contains("path", F.col("dst"))).select("start", F.concat("path", F.array("dst")).alias("path")))
+        level = cut(level.join(step, F.element_at("path", -1) == step["src"]).filter(~F.array_contains("path", F.col("dst"))).select("start", F.concat("path", F.array("dst")).alias("path")))
         found.append(level)
     return reduce(DataFrame.unionByName, found)
 
@@ -49,10 +46,10 @@ def paths(edges: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
 def cyclic_edges(edges: DataFrame, rounds: int = 1_000) -> DataFrame:
     """The edges that are left when nodes without a way in or out are taken away again and again:
     all cycles, and what leads from one to another."""
-    left = _kept(edges)
+    left = cut(edges)
     n = left.count()
     for _ in range(rounds):
-        left = _kept(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select(*edges.columns))
+        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select(*edges.columns))
         before, n = n, left.count()
         if n == before:
             break
@@ -72,17 +69,17 @@ def strong_components(edges: DataFrame) -> DataFrame:
         colour = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", F.col("node"))
         colour = _spread(colour, left.toDF("from", "to"))
         inner = left.join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst", "a")
-        inner = _kept(inner)
+        inner = cut(inner)
         reach = inner.select(F.col("a").alias("node"), "a").distinct()
-        seen = _kept(reach)
+        seen = cut(reach)
         while True:
             back = seen.join(inner.select(F.col("dst").alias("node"), "a", "src"), ["node", "a"]).select(F.col("src").alias("node"), "a").distinct()
-            new = _kept(back.join(seen, ["node", "a"], "left_anti"))
+            new = cut(back.join(seen, ["node", "a"], "left_anti"))
             if not new.take(1):
                 break
-            seen = _kept(seen.unionByName(new))
+            seen = cut(seen.unionByName(new))
         members = seen.toDF("node", "component")
-        found = _kept(found.unionByName(members))
+        found = cut(found.unionByName(members))
         rest = left.join(members.select(F.col("node").alias("src")), "src", "left_anti").join(members.select(F.col("node").alias("dst")), "dst", "left_anti")
         left = cyclic_edges(rest)
     sizes = found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
@@ -91,10 +88,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def _spread(colour: DataFrame, edges: DataFrame) -> DataFrame:
     """Least colours carried along the edges until nothing changes."""
-    colour = _kept(colour)
+    colour = cut(colour)
     while True:
         arriving = edges.join(colour.toDF("from", "c"), "from").groupBy(F.col("to").alias("node")).agg(F.min("c").alias("c"))
-        new = _kept(colour.join(arriving, "node", "left").select("node", F.least("colour", "c").alias("next"), "colour"))
+        new = cut(colour.join(arriving, "node", "left").select("node", F.least("colour", "c").alias("next"), "colour"))
         colour = new.select("node", F.col("next").alias("colour"))
         if not new.filter("next < colour").take(1):
             return colour
@@ -113,11 +110,11 @@ def break_cycles(edges: DataFrame, derived: Column) -> tuple[DataFrame, DataFram
     while True:
         parts = strong_components(left)
         inside = left.filter(derived).join(parts.toDF("src", "a"), "src").join(parts.toDF("dst", "b"), "dst").filter("a = b")
-        worst = _kept(inside.groupBy("a").agg(F.min(F.struct("support", "src", "dst")).alias("x")).select("x.src", "x.dst", "x.support"))
+        worst = cut(inside.groupBy("a").agg(F.min(F.struct("support", "src", "dst")).alias("x")).select("x.src", "x.dst", "x.support"))
         if not worst.take(1):
             return left, removed
         removed = removed.unionByName(worst)
-        left = _kept(left.join(worst, ["src", "dst"], "left_anti"))
+        left = cut(left.join(worst, ["src", "dst"], "left_anti"))
 
 
 def derive_edges(curated: DataFrame, counted: DataFrame, roots: DataFrame, least: int = 2) -> DataFrame:
