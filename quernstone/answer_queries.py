@@ -113,12 +113,12 @@ def _option_rows(lineitem):
     return lineitem.select("l_orderkey", "l_linenumber", F.split(variant(OPTION_LISTS, "l_partkey"), ";").alias("options"), variant(OPTION_KEYS, F.col("l_orderkey") + F.col("l_linenumber")).alias("key"))
 
 
-@query(rf"""with {_OPTION_ROWS} select l_orderkey, l_linenumber, tags, case when list_contains(texts, '') then 'an option is empty' when len(list_distinct(texts)) < len(texts) then 'two options are identical' when len(list_filter(texts, lambda x: not regexp_matches(x, '[\p{{L}}\p{{N}}]'))) > 0 then 'an option is punctuation only' end as fault,
-case when k = '' or len(options) < 2 then 'no key or too few options' when regexp_matches(k, '^\(?([a-eA-E])\)?[.:]?$') then case when ascii(lower(regexp_extract(k, '^\(?([a-eA-E])\)?[.:]?$', 1))) - 97 < len(options) then 'bare letter' else 'letter beyond option count' end
-when regexp_matches(k, '(?i)^\s*choices?\s+([a-f])\b') then case when ascii(lower(regexp_extract(k, '(?i)^\s*choices?\s+([a-f])\b', 1))) - 97 < len(options) then 'choice prefix' else 'letter beyond option count' end
-when regexp_matches(k, '(?i)^\s*alternative\s+([1-9])\b') then case when regexp_extract(k, '(?i)^\s*alternative\s+([1-9])\b', 1)::int - 1 < len(options) then 'alternative number' else 'alternative beyond option count' end
-when same = 1 then 'matches option text' when same > 1 then 'key text matches more than one option' when tags = 'number' and regexp_matches(k, '^[-−+]?\d[\d,]*(\.\d+)?$') then 'ambiguous ordinal or value' when regexp_matches(k, '(?i);|\band\b|,\s*\w+\s*,') and length(nk) > 3 then 'key names more than one answer' else 'unresolvable key' end as how,
-case when how = 'bare letter' then ascii(lower(regexp_extract(k, '([a-eA-E])', 1))) - 97 when how = 'choice prefix' then ascii(lower(regexp_extract(k, '(?i)choices?\s+([a-f])', 1))) - 97 when how = 'alternative number' then regexp_extract(k, '([1-9])', 1)::int - 1 when how = 'matches option text' then list_position(texts, nk) - 1 end as option from s""")
+@query(rf"""with {_OPTION_ROWS} select l_orderkey, l_linenumber, tags, case when list_contains(texts, '') then 'empty_option' when len(list_distinct(texts)) < len(texts) then 'equal_options' when len(list_filter(texts, lambda x: not regexp_matches(x, '[\p{{L}}\p{{N}}]'))) > 0 then 'wordless_option' end as fault,
+case when k = '' or len(options) < 2 then 'no_key_or_options' when regexp_matches(k, '^\(?([a-eA-E])\)?[.:]?$') then case when ascii(lower(regexp_extract(k, '^\(?([a-eA-E])\)?[.:]?$', 1))) - 97 < len(options) then 'by_letter' else 'letter_past_end' end
+when regexp_matches(k, '(?i)^\s*choices?\s+([a-f])\b') then case when ascii(lower(regexp_extract(k, '(?i)^\s*choices?\s+([a-f])\b', 1))) - 97 < len(options) then 'by_choice' else 'letter_past_end' end
+when regexp_matches(k, '(?i)^\s*alternative\s+([1-9])\b') then case when regexp_extract(k, '(?i)^\s*alternative\s+([1-9])\b', 1)::int - 1 < len(options) then 'by_alternative' else 'alternative_past_end' end
+when same = 1 then 'by_text' when same > 1 then 'text_of_several' when tags = 'number' and regexp_matches(k, '^[-−+]?\d[\d,]*(\.\d+)?$') then 'ordinal_or_value' when regexp_matches(k, '(?i);|\band\b|,\s*\w+\s*,') and length(nk) > 3 then 'several_answers' else 'unresolved' end as how,
+case when how = 'by_letter' then ascii(lower(regexp_extract(k, '([a-eA-E])', 1))) - 97 when how = 'by_choice' then ascii(lower(regexp_extract(k, '(?i)choices?\s+([a-f])', 1))) - 97 when how = 'by_alternative' then regexp_extract(k, '([1-9])', 1)::int - 1 when how = 'by_text' then list_position(texts, nk) - 1 end as option from s""")
 def option_keys(lineitem):
     rows = _option_rows(lineitem)
     return rows.select("l_orderkey", "l_linenumber", A.tag_sequence(F.col("options")).alias("tags"), A.degenerate_options(F.col("options")).alias("fault"), A.option_of_key(F.col("key"), F.col("options")).alias("x")).select("l_orderkey", "l_linenumber", "tags", "fault", "x.how", "x.option")

@@ -114,7 +114,7 @@ KEYS, LISTS = ["(b)", "2", "red", "z", "e"], ["Red;Blue;Green", "x;;y", "1) 2;2)
 
 
 @query(f"""with q as (select p_partkey, p_brand, p_type, {variant_sql(KEYS, "p_partkey")} as k, {variant_sql(LISTS, "p_size")} as o from part)
-select p_partkey as question_id, case when p_brand < 'Brand#3' then 'quant' when p_brand < 'Brand#5' then 'verbal' end as pool, case when p_brand >= 'Brand#5' then 'book has no pool' when p_type = 'ECONOMY' then 'out of syllabus' when p_brand >= 'Brand#3' then null when o = 'x;;y' then 'an option is empty' when k = '(b)' then null when k = 'e' then 'letter beyond option count' when o like 'Red%' and k = 'red' then null when o like '1)%' and k = '2' then 'matches' when k = 'z' then 'unresolvable key' else 'unresolvable key' end as why from q""".replace("'matches'", "null"))
+select p_partkey as question_id, case when p_brand < 'Brand#3' then 'quant' when p_brand < 'Brand#5' then 'verbal' end as pool, case when p_brand >= 'Brand#5' then 'no_pool' when p_type = 'ECONOMY' then 'off_syllabus' when p_brand >= 'Brand#3' then null when o = 'x;;y' then 'empty_option' when k = '(b)' then null when k = 'e' then 'letter_past_end' when o like 'Red%' and k = 'red' then null when o like '1)%' and k = '2' then 'matches' when k = 'z' then 'unresolved' else 'unresolved' end as why from q""".replace("'matches'", "null"))
 def pool_verdicts(part):
     q = part.select(F.col("p_partkey").alias("question_id"), F.col("p_brand").alias("book"), "p_type", variant(KEYS, "p_partkey").alias("answer_key"), F.split(variant(LISTS, "p_size"), ";").alias("options"))
     rules = part.filter("p_brand < 'Brand#5'").select(F.col("p_brand").alias("book"), F.when(F.col("p_brand") < "Brand#3", "quant").otherwise("verbal").alias("pool"), (F.col("p_brand") < "Brand#3").alias("wants_options")).distinct()

@@ -18,7 +18,7 @@ def col(c: Column | str) -> Column:
 
 #: Words that don't tell topics apart.
 STOPWORDS = ["and", "the", "of", "a", "an", "in", "on", "for", "to", "with"]
-#: Words too common in instruction to be distinctive; general ones, then those of steps.
+#: What every instruction says; first everyday words, then those of worked steps.
 COMMON_WORDS = """
 about above across after again against all also and any are because been before being below between both but came can
 could did does down each end even every few first for from further get give given gives had has have here how into its
@@ -115,17 +115,6 @@ def skeleton(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"\d+", "#")
 
 
-def answer_norm(c: Column | str) -> Column:
-    """Lower case without white space and commas."""
-    return F.regexp_replace(F.lower(F.trim(col(c))), r"[\s,]", "")
-
-
-def boundary(c: Column | str) -> Column:
-    """What a line opens: heading, example, exercise, or null."""
-    line = col(c)
-    return F.when(line.rlike(r"^#{1,6}\s"), "heading").when(line.rlike(r"(?i)^\s*(worked\s+)?example\b"), "example").when(line.rlike(r"(?i)^\s*exercises?\b"), "exercise")
-
-
 def relative_time(seconds: Column | str) -> Column:
     s = col(seconds)
     label = lambda n, unit: F.concat(F.floor(s / n).cast("string"), F.lit(unit))

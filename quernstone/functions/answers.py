@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from fractions import Fraction
 
 import pandas as pd
@@ -12,6 +13,11 @@ from pyspark.sql.types import StringType
 from quernstone.functions import col
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once a row however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def plain(c: Column | str) -> Column:
     """Lower case, white space as one space; null is empty."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"\s+", " "))
@@ -29,18 +35,26 @@ def numeric_answer(c: Column | str) -> Column:
     sign; of `left = right` the right, but only where the left names no variable: an
     equation may be the answer itself. More than one `=` is no number.
     """
-    text = F.regexp_replace(F.trim(col(c)), r"^\$+|\$+$", "")
-    sides = F.split(text, "=")
-    named = F.regexp_replace(F.element_at(sides, 1), r"\\[a-zA-Z]+", " ").rlike("[a-zA-Z]")
-    value = F.trim(F.regexp_replace(F.element_at(sides, -1), r"\\[,;! $]|\\left|\\right", ""))
     shape = r"^(-?\d+)?\s*\\d?frac\{(-?[\d.]+)\}\{(-?[\d.]+)\}$"
-    number = lambda g: F.regexp_extract(value, shape, g).try_cast("double")
-    part = F.try_divide(number(2), number(3))
-    size = F.abs(number(1)) + F.abs(part)
-    fraction = F.when(number(1).isNull(), part).when(F.startswith(value, F.lit("-")), -size).otherwise(size)
-    bare = F.trim(F.regexp_replace(F.regexp_replace(value, r"[,$]|\\?%", ""), r"^\\text\{.*?\}", ""))
-    simple = F.when(bare.rlike(r"^-?\d+(\.\d+)?$"), bare.try_cast("double"))
-    return F.when((F.size(sides) > 2) | ((F.size(sides) == 2) & named), None).otherwise(F.when(value.rlike(shape), fraction).otherwise(simple))
+
+    def fraction(parts: Column, negative: Column) -> Column:
+        whole, over, under = (parts[i].try_cast("double") for i in range(3))
+        part = F.try_divide(over, under)
+        size = F.abs(whole) + F.abs(part)
+        return F.when(whole.isNull(), part).when(negative, -size).otherwise(size)
+
+    def of_value(v: Column) -> Column:
+        split = bound(F.split(F.regexp_replace(v, shape, "$1~$2~$3"), "~"), lambda p: fraction(p, F.startswith(v, F.lit("-"))))
+        bare = F.trim(F.regexp_replace(F.regexp_replace(v, r"[,$]|\\?%", ""), r"^\\text\{.*?\}", ""))
+        simple = bound(bare, lambda b: F.when(b.rlike(r"^-?\d+(\.\d+)?$"), b.try_cast("double")))
+        return F.when(v.rlike(shape), split).otherwise(simple)
+
+    def of_sides(sides: Column) -> Column:
+        named = F.regexp_replace(F.element_at(sides, 1), r"\\[a-zA-Z]+", " ").rlike("[a-zA-Z]")
+        value = F.trim(F.regexp_replace(F.element_at(sides, -1), r"\\[,;! $]|\\left|\\right", ""))
+        return F.when((F.size(sides) > 2) | ((F.size(sides) == 2) & named), None).otherwise(bound(value, of_value))
+
+    return bound(F.split(F.regexp_replace(F.trim(col(c)), r"^\$+|\$+$", ""), "="), of_sides)
 
 
 def close_enough(given: Column, expected: Column, tolerance: float = 1e-6) -> Column:
@@ -72,6 +86,7 @@ def grade(kind: Column, answer: Column, expected: Column, options: Column) -> Co
 
 # Printed options ----------------------------------------------------------------------
 
+# How options are tagged in print.
 _LETTER = r"^\s*\(?([a-fA-F])\)[.)]?\s+|^\s*([a-fA-F])[.)]\s+"
 _NUMBER = r"^\s*\(?([1-9])\)[.)]?\s+|^\s*([1-9])[.)]\s+"
 
@@ -95,40 +110,55 @@ def tag_sequence(options: Column) -> Column:
 
 
 def degenerate_options(options: Column) -> Column:
-    """Why nobody could choose among these options, or null."""
-    texts = F.transform(options, option_text)
-    return (
-        F.when(F.exists(texts, lambda t: t == ""), "an option is empty")
-        .when(F.size(F.array_distinct(texts)) < F.size(texts), "two options are identical")
-        .when(F.exists(texts, lambda t: ~t.rlike(r"[\p{L}\p{N}]")), "an option is punctuation only")
-    )
+    """Why nobody could choose among these options, or null; null options are none, which is not for this to say."""
+
+    def fault(texts: Column) -> Column:
+        return (
+            F.when(F.exists(texts, lambda t: t == ""), "empty_option")
+            .when(F.size(F.array_distinct(texts)) < F.size(texts), "equal_options")
+            .when(F.exists(texts, lambda t: ~t.rlike(r"[\p{L}\p{N}]")), "wordless_option")
+        )
+
+    return bound(F.transform(options, option_text), fault)
+
+
+# How a key names an option: by a letter, `choice a`, `alternative 2`; a bare number; several answers.
+_BY_LETTER, _BY_CHOICE, _BY_ALTERNATIVE = r"^\(?([a-eA-E])\)?[.:]?$", r"(?i)^\s*choices?\s+([a-f])\b", r"(?i)^\s*alternative\s+([1-9])\b"
+_ORDINAL, _SEVERAL = r"^[-−+]?\d[\d,]*(\.\d+)?$", r"(?i);|\band\b|,\s*\w+\s*,"
 
 
 def option_of_key(key: Column, options: Column) -> Column:
-    """struct(option, how): the one option (from 0) that a key names, or null and why not."""
-    k, n = F.trim(F.coalesce(key, F.lit(""))), F.size(options)
-    texts = F.transform(options, option_text)
-    nk = option_text(k)
-    place = lambda pattern: F.ascii(F.lower(F.regexp_extract(k, pattern, 1))) - 97
-    letter, choice, other = r"^\(?([a-eA-E])\)?[.:]?$", r"(?i)^\s*choices?\s+([a-f])\b", r"(?i)^\s*alternative\s+([1-9])\b"
-    same = F.size(F.filter(texts, lambda t: (t != "") & (t == nk)))
-    at = lambda index, how, beyond: F.when(index < n, F.struct(index.cast("int").alias("option"), F.lit(how).alias("how"))).otherwise(why(beyond))
-    why = lambda text: F.struct(F.lit(None).cast("int").alias("option"), F.lit(text).alias("how"))
-    return (
-        F.when((k == "") | (n < 2), why("no key or too few options"))
-        .when(k.rlike(letter), at(place(letter), "bare letter", "letter beyond option count"))
-        .when(k.rlike(choice), at(place(choice), "choice prefix", "letter beyond option count"))
-        .when(k.rlike(other), at(F.regexp_extract(k, other, 1).try_cast("int") - 1, "alternative number", "alternative beyond option count"))
-        .when(same == 1, F.struct((F.array_position(texts, nk) - 1).cast("int").alias("option"), F.lit("matches option text").alias("how")))
-        .when(same > 1, why("key text matches more than one option"))
-        .when((tag_sequence(options) == "number") & k.rlike(r"^[-−+]?\d[\d,]*(\.\d+)?$"), why("ambiguous ordinal or value"))
-        .when(k.rlike(r"(?i);|\band\b|,\s*\w+\s*,") & (F.length(nk) > 3), why("key names more than one answer"))
-        .otherwise(why("unresolvable key"))
-    )
+    """struct(option, how): the one option (from 0) that a key names and how, or null and why not. Null options are none.
+
+    Texts, their number and the key's own text are bound once, so no branch computes them again."""
+    why = lambda code: F.struct(F.lit(None).cast("int").alias("option"), F.lit(code).alias("how"))
+
+    def found(b: Column) -> Column:
+        k, n, texts, nk = b["k"], b["n"], b["texts"], b["nk"]
+        place = lambda pattern: F.ascii(F.lower(F.regexp_extract(k, pattern, 1))) - 97
+        at = lambda index, how, past: bound(index.cast("int"), lambda i: F.when(i < n, F.struct(i.alias("option"), F.lit(how).alias("how"))).otherwise(why(past)))
+        by_text = lambda same: (
+            F.when(same == 1, F.struct((F.array_position(texts, nk) - 1).cast("int").alias("option"), F.lit("by_text").alias("how")))
+            .when(same > 1, why("text_of_several"))
+            .when(k.rlike(_ORDINAL) & F.coalesce(tag_sequence(options) == "number", F.lit(False)), why("ordinal_or_value"))
+            .when(k.rlike(_SEVERAL) & (F.length(nk) > 3), why("several_answers"))
+            .otherwise(why("unresolved"))
+        )
+        return (
+            F.when((k == "") | (n < 2), why("no_key_or_options"))
+            .when(k.rlike(_BY_LETTER), at(place(_BY_LETTER), "by_letter", "letter_past_end"))
+            .when(k.rlike(_BY_CHOICE), at(place(_BY_CHOICE), "by_choice", "letter_past_end"))
+            .when(k.rlike(_BY_ALTERNATIVE), at(F.regexp_extract(k, _BY_ALTERNATIVE, 1).try_cast("int") - 1, "by_alternative", "alternative_past_end"))
+            .otherwise(bound(F.size(F.filter(texts, lambda t: (t != "") & (t == nk))), by_text))
+        )
+
+    k = F.trim(F.coalesce(key, F.lit("")))
+    parts = F.struct(k.alias("k"), F.coalesce(F.size(options), F.lit(0)).alias("n"), F.coalesce(F.transform(options, option_text), F.array().cast("array<string>")).alias("texts"), option_text(k).alias("nk"))
+    return bound(parts, found)
 
 
 def key_provenance(source: Column, key: Column) -> Column:
-    """What stands behind an answer key, by the family of its citation; null without a key."""
+    """What stands behind an answer key, by the family of its citation; null without a key. The phrases are fixed values."""
     low = F.lower(F.coalesce(source, F.lit("")))
     has = lambda *parts: F.greatest(*[F.contains(low, F.lit(p)) for p in parts], F.lit(False))
     return (
@@ -194,67 +224,75 @@ def constant_term(polynomial: Column) -> Column:
     return F.when(F.size(terms) == 0, F.lit(0).cast("bigint")).otherwise(F.get(terms, F.size(terms) - 1).try_cast("bigint"))
 
 
+#: Tokens of a formula, the greatest power, and bits of a number on the way, that are worked out.
+MOST_TOKENS, MOST_POWER, MOST_BITS = 1_000, 64, 4_096
+_TOKENS = re.compile(r"\d+|\*\*|[-+*/()]")
+_BINDS = {"+": 1, "-": 1, "*": 2, "/": 2, "sign": 3, "**": 4}
+
+
 @F.pandas_udf(StringType())
 def exact_value(formulas: pd.Series) -> pd.Series:
-    """The exact value of whole numbers joined by + - * / ** and brackets, as a fraction;
-    null for all else, also for a division by zero or a power over 64."""
-
-    def value(text):
-        try:
-            return None if text is None else str(_sum(_Tokens(text)))
-        except (ValueError, ZeroDivisionError):
+    """The exact value of whole numbers joined by + - * / ** and brackets, as a fraction; null for all else, also for a
+    division by zero, over MOST_TOKENS tokens, a power over MOST_POWER, and where a number would have over MOST_BITS bits."""
+    return formulas.map(lambda text: None if text is None else _value(text))
+
+
+def _value(text: str) -> str | None:
+    tokens = _TOKENS.findall(text)
+    if not tokens or len(tokens) > MOST_TOKENS or "".join(tokens) != "".join(text.split()):
+        return None
+    numbers: list[Fraction] = []
+    waiting: list[str] = []  # operators and open brackets
+    operand = True  # whether a number has to come
+    try:
+        for t in tokens:
+            if t.isdigit():
+                if not operand:
+                    return None
+                numbers.append(_small(Fraction(int(t))))
+                operand = False
+            elif t == "(" or (operand and t in "+-"):
+                if t == "(" and not operand:
+                    return None
+                waiting.append(t if t == "(" else "sign" if t == "-" else "plus")
+            elif operand:
+                return None
+            elif t == ")":
+                while waiting and waiting[-1] != "(":
+                    _apply(waiting.pop(), numbers)
+                if not waiting:
+                    return None
+                waiting.pop()
+            else:
+                while waiting and waiting[-1] != "(" and (_BINDS.get(waiting[-1], 3) > _BINDS[t] or (_BINDS.get(waiting[-1], 3) == _BINDS[t] and t != "**")):
+                    _apply(waiting.pop(), numbers)
+                waiting.append(t)
+                operand = True
+        if operand or "(" in waiting:
             return None
-
-    return formulas.map(value)
-
-
-class _Tokens:
-    def __init__(self, text: str):
-        import re
-
-        self.rest = re.findall(r"\d+|\*\*|[-+*/()]", text)
-        if "".join(self.rest) != "".join(text.split()) or not self.rest or len(self.rest) > 1_000:
-            raise ValueError(text)
-        self.rest.append("")
-
-    def take(self, *kinds: str) -> str:
-        return self.rest.pop(0) if self.rest[0] in kinds else ""
-
-
-def _sum(t: _Tokens, nested: bool = False) -> Fraction:
-    total = _product(t)
-    while sign := t.take("+", "-"):
-        total = total + _product(t) if sign == "+" else total - _product(t)
-    if not nested and t.rest != [""]:
-        raise ValueError("left over")
-    return total
-
-
-def _product(t: _Tokens) -> Fraction:
-    total = _signed(t)
-    while sign := t.take("*", "/"):
-        total = total * _signed(t) if sign == "*" else total / _signed(t)
-    return total
-
-
-def _signed(t: _Tokens) -> Fraction:
-    if sign := t.take("+", "-"):
-        return _signed(t) if sign == "+" else -_signed(t)
-    base = _atom(t)
-    if t.take("**"):
-        power = _signed(t)
-        if power.denominator != 1 or abs(power) > 64:
-            raise ValueError("power")
-        return base ** int(power)
-    return base
-
-
-def _atom(t: _Tokens) -> Fraction:
-    if t.take("("):
-        inner = _sum(t, nested=True)
-        if not t.take(")"):
-            raise ValueError("bracket")
-        return inner
-    if not t.rest[0].isdigit():
-        raise ValueError("number")
-    return Fraction(int(t.rest.pop(0)))
+        while waiting:
+            _apply(waiting.pop(), numbers)
+    except (ZeroDivisionError, OverflowError):
+        return None
+    return str(numbers[0])
+
+
+def _small(x: Fraction) -> Fraction:
+    if max(x.numerator.bit_length(), x.denominator.bit_length()) > MOST_BITS:
+        raise OverflowError
+    return x
+
+
+def _apply(operator: str, numbers: list[Fraction]) -> None:
+    b = numbers.pop()
+    if operator in ("sign", "plus"):
+        numbers.append(-b if operator == "sign" else b)
+        return
+    a = numbers.pop()
+    if operator == "**":
+        most = max(a.numerator.bit_length(), a.denominator.bit_length())
+        if b.denominator != 1 or abs(b) > MOST_POWER or abs(b) * most > MOST_BITS:
+            raise OverflowError
+        numbers.append(a ** int(b))
+    else:
+        numbers.append(_small(a + b if operator == "+" else a - b if operator == "-" else a * b if operator == "*" else a / b))

@@ -92,7 +92,9 @@ SKILLS = ["Ratio", "ratio", "RATIO", "algebra:Ratio", "Series", "algebra:series#
 @query(f"""with n as (select distinct {variant_sql(SKILLS, "p_partkey")} as name from part), u as (select {variant_sql(SKILLS, "p_partkey")} as name, count(*) as n from part where p_size > 20 group by 1), c as (select name, coalesce(n, 0) as n from n left join u using (name)),
 k as (select * from c where not regexp_matches(name, '^Chapter')), b as (select lower(name) as l, arg_min(name, (-n, name)) as best from k group by 1),
 m as (select name, case when name = 'Mean' then 'Averages' end as fixed, case when contains(name, ':') and trim(split_part(name, ':', 2)) in (select name from n) then trim(split_part(name, ':', 2)) end as bare, best from k join b on lower(name) = l)
-select name as loser, coalesce(fixed, bare, best) as survivor, case when fixed is not null then 'fixed' when bare is not null then 'namespaced' else 'case' end as rule from m where coalesce(fixed, bare, best) <> name union all select name, null, 'structural' from c where regexp_matches(name, '^Chapter')""")
+-- a survivor may be merged itself, at most twice
+, s as (select name as loser, coalesce(fixed, bare, best) as survivor, case when fixed is not null then 'fixed' when bare is not null then 'namespaced' else 'case' end as rule from m where coalesce(fixed, bare, best) <> name)
+select s.loser, coalesce(u.survivor, t.survivor, s.survivor) as survivor, s.rule from s left join s t on s.survivor = t.loser left join s u on t.survivor = u.loser union all select name, null, 'structural' from c where regexp_matches(name, '^Chapter')""")
 def merge_plan(part):
     names = part.select(variant(SKILLS, "p_partkey").alias("name"))
     used = part.filter("p_size > 20").groupBy(variant(SKILLS, "p_partkey").alias("name")).agg(F.count("*").alias("n"))

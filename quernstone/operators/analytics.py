@@ -42,11 +42,12 @@ def leaderboard(scores: DataFrame, key: str, score: str) -> DataFrame:
     """rank (gaps after ties), n and percentile of every row, high scores first.
 
     Different scores are counted and ranks are sums over ranges of them; a score's rank comes
-    back by a join, so no task sorts all rows.
+    back by a join, so no task sorts all rows. Rows without a score are left out, also of n.
     """
-    counts = scores.groupBy(score).agg(F.count("*").alias("same")).withColumn("_down", -F.col(score))
+    scores = scores.filter(F.col(score).isNotNull())
+    counts = cut(scores.groupBy(score).agg(F.count("*").alias("same")).withColumn("_down", -F.col(score)))
     ranked = running_before(counts, "_down", "same").select(score, (F.col("before") + 1).alias("rank"))
-    n = scores.count()
+    n = counts.agg(F.sum("same")).first()[0] or 0
     return scores.select(key, score).join(ranked, score).withColumn("n", F.lit(n)).withColumn("percentile", rank_percentile(F.col("rank"), F.col("n"))).select(key, score, "rank", "n", "percentile")
 
 
@@ -91,7 +92,8 @@ def cohort_retention(users: DataFrame, activity: DataFrame, user: str, joined: s
 
 def midrank_percentile(scores: DataFrame, group: str, score: str) -> DataFrame:
     """scores with percentile: the share of the group's other rows below, ties by half. Scores are counted by
-    group first and summed over ranges, so a great group is not one task."""
+    group first and summed over ranges, so a great group is not one task. Rows without a group or score are left out."""
+    scores = scores.filter(F.col(group).isNotNull() & F.col(score).isNotNull())
     counts = scores.groupBy(group, score).agg(F.count("*").alias("same"))
     ranked = running_before(counts, score, "same", [group])
     sizes = counts.groupBy(group).agg(F.sum("same").alias("_all"))

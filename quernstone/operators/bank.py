@@ -18,6 +18,7 @@ def false_root_claims(steps: DataFrame, examples: DataFrame) -> DataFrame:
     """template, example, claimed, constant: a first step says that a number is a root, but the answer's polynomial
     has another constant term than 0."""
     first = steps.groupBy("template", "example").agg(F.min_by(F.concat_ws(" ", "description", "result"), "step").alias("text"))
+    # How a step claims a root.
     claim = r"(?i)(-?\d+)\s+is a root|since\s+(-?\d+)\s+is\s+a\s+root"
     rows = first.join(examples, ["template", "example"]).withColumn("claimed", F.coalesce(*[F.regexp_extract("text", claim, g).try_cast("bigint") for g in (1, 2)]))
     rows = rows.withColumn("constant", F.when(F.trim("answer").rlike(r"^\s*[a-z]\s*\^?\s*\d"), answers.constant_term(F.trim("answer"))))
@@ -26,6 +27,7 @@ def false_root_claims(steps: DataFrame, examples: DataFrame) -> DataFrame:
 
 def orphan_continuations(steps: DataFrame) -> DataFrame:
     """template, example whose first step goes on with something that came nowhere before."""
+    # How a step goes on with another.
     words = r"(?i)^\s*(continue|continuing|repeat|again|then|second|third|final(ly)?|remaining)\b|\b(second|third|final)\s+(pass|iteration|division|round)\b"
     first = steps.groupBy("template", "example").agg(F.min_by("description", "step").alias("d"))
     return first.filter(F.trim("d").rlike(words)).select("template", "example")
@@ -75,15 +77,16 @@ def misaligned_steps(steps: DataFrame, examples: DataFrame) -> DataFrame:
 
 def verdict_faults(panel: Column, kind: Column, target: Column, backend: Column, rule: Column, result: Column, checks: Column) -> Column:
     """Why a verdict can't be taken, empty if it can: panel is an array of struct(lens, verdict); the result is
-    computed anew from the votes."""
-    lenses, votes = F.transform(panel, lambda p: p["lens"]), F.transform(panel, lambda p: p["verdict"])
+    computed anew from the votes. A null panel has no members."""
+    size = F.coalesce(F.size(panel), F.lit(0))
+    lenses, votes = (F.coalesce(F.transform(panel, lambda p: p[name]), F.array().cast("array<string>")) for name in ("lens", "verdict"))
     need = F.coalesce(F.regexp_extract(rule, r"^(\d+)_", 1).try_cast("int"), F.lit(2))
     computed = F.when(F.size(F.filter(votes, lambda v: v == "pass")) >= need, "pass").otherwise("fail")
     faults = [
         (~F.coalesce(kind.isin("pattern", "template", "item"), F.lit(False)), "target_kind"),
         (F.coalesce(target, F.lit("")) == "", "target_id"),
         (F.coalesce(backend, F.lit("")) == "", "judge_backend"),
-        (F.size(panel) < 3, "panel_size"),
+        (size < 3, "panel_size"),
         (F.size(F.array_distinct(lenses)) != F.size(lenses), "duplicate_lenses"),
         (F.exists(lenses, lambda x: F.coalesce(x, F.lit("")) == ""), "unnamed_lens"),
         (F.exists(votes, lambda v: ~F.coalesce(v.isin("pass", "fail"), F.lit(False))), "vote"),
@@ -141,8 +144,8 @@ def pool_verdicts(questions: DataFrame, rules: DataFrame, chapter: Column, off_s
     q = questions.join(rules, "book", "left")
     resolved = answers.option_of_key(F.col("answer_key"), F.col("options"))
     why = (
-        F.when(F.col("pool").isNull(), "book has no pool")
-        .when(chapter.rlike(off_syllabus), "out of syllabus")
+        F.when(F.col("pool").isNull(), "no_pool")
+        .when(chapter.rlike(off_syllabus), "off_syllabus")
         .when(~F.col("wants_options"), None)
         .when(answers.degenerate_options(F.col("options")).isNotNull(), answers.degenerate_options(F.col("options")))
         .when(resolved["option"].isNull(), resolved["how"])

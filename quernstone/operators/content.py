@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.lineage import cut
+
 from quernstone.functions import fold, hash_order
 
 
@@ -128,7 +130,7 @@ def resolve_chains(moves: DataFrame, source: str, target: str, rounds: int = 30)
     for _ in range(rounds):
         ends = hops.select(F.col(source).alias(target), F.col(target).alias("_next"))
         joined = hops.join(ends, target, "left").select(source, F.coalesce("_next", target).alias("_to"), F.col("_next").isNotNull().alias("_moved"))
-        joined = joined.checkpoint() if hops.sparkSession.sparkContext.getCheckpointDir() else joined.cache()
+        joined = cut(joined)
         hops = joined.select(source, F.col("_to").alias(target))
         if not joined.filter("_moved").take(1):
             break

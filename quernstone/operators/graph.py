@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.lineage import cut
+from quernstone.operators.content import resolve_chains
+from quernstone.operators.cycles import BLOCK, closing_edges, weak_components
 
 
 def closure(edges: DataFrame, depth: int = 5) -> DataFrame:
@@ -45,15 +47,15 @@ def paths(edges: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
 
 def cyclic_edges(edges: DataFrame, rounds: int = 1_000) -> DataFrame:
     """The edges that are left when nodes without a way in or out are taken away again and again:
-    all cycles, and what leads from one to another."""
+    all cycles, and what leads from one to another. A chain of more than rounds layers is an error."""
     left = cut(edges)
     n = left.count()
     for _ in range(rounds):
         left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select(*edges.columns))
         before, n = n, left.count()
         if n == before:
-            break
-    return left
+            return left
+    raise ValueError(f"more than {rounds} layers lead into or out of the cycles")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -97,22 +99,35 @@ def _spread(colour: DataFrame, edges: DataFrame) -> DataFrame:
             return colour
 
 
-def break_cycles(edges: DataFrame, derived: Column) -> tuple[DataFrame, DataFrame]:
+def break_cycles(edges: DataFrame, derived: Column, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(edges without cycles through derived ones, removed: src, dst, support).
 
-    In each strong component the derived edge of least support (then by its ends) goes, until
-    no component has one; a cycle of other edges alone stays, for people to settle. Components are
-    broken side by side, but the rounds grow with the edges that one of them loses: a knot of
-    hundreds of edges takes as many.
-    edges: src, dst, support and what derived reads.
+    In each strong component the derived edge of least support (null first, then by its ends) goes, until
+    no component has one; a cycle of other edges alone stays, for people to settle. Derived edges from a node to itself go
+    too. A weak component of up to block edges is settled whole by one task, whatever its shape; a larger one
+    in rounds, side by side with others of its kind, that grow with the edges it loses.
+    edges: src, dst (each pair once), support and what derived reads; edges with a null end stay.
     """
+    marked = cut(edges.filter("src is not null and dst is not null").select("src", "dst", "support", F.coalesce(derived, F.lit(False)).alias("derived")))
+    loops = marked.filter("src = dst and derived").select("src", "dst", "support")
+    proper = marked.filter("src != dst")
+    tagged = cut(proper.join(weak_components(proper).withColumnRenamed("node", "src"), "src"))
+    sizes = tagged.groupBy("component").agg(F.count("*").alias("n"), F.max("derived").alias("some")).filter("some")
+    removed = closing_edges(tagged.join(sizes.filter(F.col("n") <= block).select("component"), "component", "left_semi")).unionByName(loops)
+    if not (great := sizes.filter(F.col("n") > block).select("component")).isEmpty():
+        removed = removed.unionByName(_broken_by_rounds(tagged.join(great, "component", "left_semi").select("src", "dst", "support", "derived")))
+    removed = cut(removed)
+    return edges.join(removed.select("src", "dst"), ["src", "dst"], "left_anti").select(*edges.columns), removed
+
+
+def _broken_by_rounds(edges: DataFrame) -> DataFrame:
     left, removed = edges, edges.select("src", "dst", "support").limit(0)
     while True:
         parts = strong_components(left)
-        inside = left.filter(derived).join(parts.toDF("src", "a"), "src").join(parts.toDF("dst", "b"), "dst").filter("a = b")
+        inside = left.filter("derived").join(parts.toDF("src", "a"), "src").join(parts.toDF("dst", "b"), "dst").filter("a = b")
         worst = cut(inside.groupBy("a").agg(F.min(F.struct("support", "src", "dst")).alias("x")).select("x.src", "x.dst", "x.support"))
         if not worst.take(1):
-            return left, removed
+            return removed
         removed = removed.unionByName(worst)
         left = cut(left.join(worst, ["src", "dst"], "left_anti"))
 
@@ -151,7 +166,8 @@ def merge_plan(names: DataFrame, used: DataFrame, structural: Column, fixed: Dat
 
     Names that differ in case go to the most used, then the first; `root:bare` goes to `bare` where that
     is a name; fixed(loser, survivor) pairs come before both; structural names go away (null
-    survivor). used: name, n.
+    survivor). Survivors that are merged themselves, whatever the rule, give way to their own,
+    so one hop is enough. used: name, n.
     """
     counted = names.select("name").distinct().join(used.select("name", "n"), "name", "left").fillna(0, ["n"])
     kept = counted.filter(~structural)
@@ -162,7 +178,9 @@ def merge_plan(names: DataFrame, used: DataFrame, structural: Column, fixed: Dat
     out = out.join(fixed.select(F.col("loser").alias("name"), F.col("survivor").alias("_fixed")), "name", "left")
     rule = F.when(F.col("_fixed").isNotNull(), "fixed").when(F.col("_known"), "namespaced").when(F.col("_case") != F.col("name"), "case")
     target = F.coalesce("_fixed", F.when(F.col("_known"), F.col("_bare")), "_case")
-    moved = out.select(F.col("name").alias("loser"), target.alias("survivor"), rule.alias("rule")).filter("rule is not null and loser != survivor")
+    moved = cut(out.select(F.col("name").alias("loser"), target.alias("survivor"), rule.alias("rule")).filter("rule is not null and loser != survivor"))
+    ends = resolve_chains(moved, "loser", "survivor")
+    moved = moved.drop("survivor").join(ends, "loser").select("loser", "survivor", "rule")
     gone = counted.filter(structural).select(F.col("name").alias("loser"), F.lit(None).cast("string").alias("survivor"), F.lit("structural").alias("rule"))
     return moved.unionByName(gone)
 

@@ -49,7 +49,8 @@ def shown_trust(label: Column) -> Column:
 
 
 def trust_from_reasons(reasons: Column, hard: list[str]) -> Column:
-    return F.when(F.arrays_overlap(reasons, F.array(*map(F.lit, hard))), "QUARANTINED_HARD").when(F.size(reasons) > 0, "QUARANTINED_SOFT").otherwise("TRUSTED")
+    """By the reasons against an item; null, that is no check at all, is not trusted."""
+    return F.when(reasons.isNull(), "QUARANTINED_SOFT").when(F.arrays_overlap(reasons, F.array(*map(F.lit, hard))), "QUARANTINED_HARD").when(F.size(reasons) > 0, "QUARANTINED_SOFT").otherwise("TRUSTED")
 
 
 def visible(items: DataFrame, owner: str, public: str, friends: DataFrame, viewer: str, live: Column) -> DataFrame:
