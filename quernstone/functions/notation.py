@@ -51,7 +51,6 @@ def balanced(text: str) -> str:
     out: list[str] = []
     open_: list[str] = []
     rest = text
-    apart = lambda before: [" "] if before and before[-1].startswith("\\") else []  # noqa: E731 - what goes ends a command
     while rest:
         if m := re.match(r"\\(begin|end)\{([a-z]+\*?)\}", rest):
             if m[1] == "begin":
@@ -63,7 +62,7 @@ def balanced(text: str) -> str:
                 open_.pop()
                 out.append(m[0])
             else:
-                out += apart(out)
+                out.append(" ")  # what goes ends a command
             rest = rest[m.end() :]
             continue
         piece = _PIECE.match(rest).group()
@@ -72,13 +71,13 @@ def balanced(text: str) -> str:
             open_.append("{")
         elif piece == "}":
             if not open_ or open_[-1] != "{":
-                out += apart(out)
+                out.append(" ")  # what goes ends a command
                 continue
             open_.pop()
         elif piece in (r"\{", r"\}"):
             piece = r"\lbrace " if piece == r"\{" else r"\rbrace "
         elif piece in (r"\begin", r"\end"):
-            out += apart(out)
+            out.append(" ")  # what goes ends a command
             continue  # without a name
         elif piece == r"\\" and rest.startswith(("begin", "end")):
             piece = r"\\ "  # a line break before a word
@@ -100,10 +99,10 @@ def parted(text: str) -> tuple[str, str, str | None]:
     if "$" not in text:
         return text, "", None
     if r"\$" in text:
-        return text.replace(r"\$", "").replace("$", ""), "", "escaped_dollar"
+        return text.replace(r"\$", " ").replace("$", " "), "", "escaped_dollar"
     parts = re.split(r"\$+", text)
     if len(parts) % 2 == 0:
-        return "".join(parts), "", "lone_dollar"
+        return " ".join(parts), "", "lone_dollar"
     formulas, prose = [p.strip() for p in parts[1::2] if p.strip()], " ".join(p.strip() for p in parts[::2] if p.strip())
     whole = formulas[0] if len(formulas) == 1 else r"\begin{aligned}" + r" \\ ".join(formulas) + r"\end{aligned}" if formulas else ""
     return whole, prose, "prose" if prose else "dollars"

@@ -113,3 +113,53 @@ def test_products_of_matrices(spark):
                 p += (1 - p) * {1: 0.4, 2: 0.3, 3: 0.25, 4: 0.2, 5: 0.15}.get(lev, 0.14)
         assert n == len(mine) and p_learned == pytest.approx(p, abs=1e-9)
     assert tracing.traced(tracing.matrices(frame.limit(0), ["u"], ["at"]), "u", ["seq"]).count() == 0
+
+
+# Promotion and constraints ----------------------------------------------------------------
+
+
+def test_promotion_that_fails_half_way(spark, tmp_path, monkeypatch):
+    from quernstone.sources import promotion
+
+    root = f"file://{tmp_path}/table"
+    rows = lambda v: spark.createDataFrame([(i, "node" if i % 2 else "edge", v) for i in range(20)], "k int, kind string, v string")
+    assert promotion.current(spark, root) is None and not promotion.verify(spark, root)["ok"]
+    first = promotion.promote(spark, root, promotion.stage(rows("a").repartition(3), root), "kind", ["node"])
+    assert {r.v for r in promotion.read_live(spark, root).collect()} == {"a"} and promotion.verify(spark, root)["ok"]
+    assert promotion.content_print(rows("a").orderBy("k")) == promotion.content_print(rows("a").repartition(7)) != promotion.content_print(rows("b"))
+    # killed between the stages: the manifest still names the first version, whole
+    staged = promotion.stage(rows("b"), root)
+    with monkeypatch.context() as m:
+        m.setattr(promotion, "_replace", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            promotion.promote(spark, root, staged)
+    assert promotion.current(spark, root) == first and {r.v for r in promotion.read_live(spark, root).collect()} == {"a"}
+    # a protected label has changed; a staged file has changed
+    with pytest.raises(promotion.Refused, match="protected labels changed: node"):
+        promotion.promote(spark, root, staged, "kind", ["node"])
+    with pytest.raises(promotion.Refused, match="not what was staged"):
+        promotion.promote(spark, root, dict(staged, rows=19))
+    reader = promotion.read_live(spark, root)
+    only_edges = rows("a").withColumn("v", F.when(F.col("kind") == "edge", "c").otherwise(F.col("v")))
+    second = promotion.promote(spark, root, promotion.stage(only_edges, root), "kind", ["node"])
+    assert second["before"] == [first["version"]] and {r.v for r in promotion.read_live(spark, root).collect()} == {"a", "c"}
+    assert {r.v for r in reader.collect()} == {"a"} and promotion.promote(spark, root, second) == second
+
+
+def test_constraints_on_odd_rows(spark):
+    from quernstone.operators.constraints import Rule, rule_report, violations
+
+    t = spark.createDataFrame([(1, "a", 5, 7), (2, None, None, None), (2, "z", 50, 8), (None, "a", 5, 9), (3, "a", -1, 9)], "id int, kind string, n int, ref int")
+    o = spark.createDataFrame([(7,), (7,), (8,), (None,)], "ref int")
+    rules = [
+        Rule("id_there", "t", "required", ("id",)), Rule("kind_known", "t", "enum", ("kind",), ("a", "b")), Rule("n_range", "t", "range", ("n",), low=0, high=10), Rule("n_low", "t", "range", ("n",), low=0),
+        Rule("kind_text", "t", "matches", ("kind",), expression="^[a-y]$"), Rule("id_n", "t", "check", (), expression="id * 10 >= n"), Rule("id_once", "t", "unique", ("id",)), Rule("id_once_a", "t", "unique", ("id",), where="kind = 'a'"),
+        Rule("ref_there", "t", "foreign", ("ref",), other="o", to=("ref",)),
+    ]
+    found = violations({"t": t, "o": o}, rules, {"t": ["id", "ref"], "o": ["ref"]})
+    got = {r.rule: r["rows"] for r in rule_report(found, rules).collect()}
+    assert got == {"id_there": 1, "kind_known": 1, "n_range": 2, "n_low": 1, "kind_text": 1, "id_n": 1, "id_once": 1, "id_once_a": 0, "ref_there": 2}
+    assert {tuple(r) for r in found.filter("rule = 'ref_there'").collect()} == {("ref_there", "t", '{"k0":9}', 2)}
+    assert violations({"t": t.limit(0), "o": o}, rules, {"t": ["id"], "o": ["ref"]}).count() == 0
+    with pytest.raises(ValueError, match="no such table: o"):
+        violations({"t": t}, rules, {"t": ["id"]})
