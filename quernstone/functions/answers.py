@@ -57,6 +57,40 @@ def numeric_answer(c: Column | str) -> Column:
     return bound(F.split(F.regexp_replace(F.trim(col(c)), r"^\$+|\$+$", ""), "="), of_sides)
 
 
+# How numbers stand within a key of several parts.
+_LITERAL = r"(-?\d[\d,]*(?:\.\d+)?)"
+
+
+def _number_forms(value: Column) -> Column:
+    """How a number is written: whole ones bare, with commas and with noughts, others shortly and with two or three places."""
+    n = value.try_cast("bigint")
+    whole = F.array(n.cast("string"), F.format_number(n, 0), F.concat(n.cast("string"), F.lit(".0")), F.format_string("%.2f", value))
+    return F.when(value == F.floor(value), whole).otherwise(F.array(format_answer(value), F.format_string("%.2f", value), F.format_string("%.3f", value), format_answer(F.round(value, 6))))
+
+
+def answer_forms(key: Column | str) -> Column:
+    """Every text that the answer of a key could be known by: the key itself and the ways to write its number, or, where the key is
+    no single number, each number in it and the ways to write that. Bare 0, 1 and -1 within a longer key are none: they
+    stand everywhere and give nothing away. A null or empty key has no forms."""
+
+    def of(raw: Column) -> Column:
+        parts = F.transform(F.regexp_extract_all(raw, F.lit(_LITERAL), 1), lambda t: F.struct(t.alias("t"), F.replace(t, F.lit(","), F.lit("")).try_cast("double").alias("v")))
+        told = F.filter(parts, lambda p: p["v"].isNotNull() & ~((F.abs(p["v"]) <= 1) & (p["v"] == F.floor(p["v"]))))
+        several = F.flatten(F.transform(told, lambda p: F.concat(F.array(p["t"]), _number_forms(p["v"]))))
+        forms = bound(numeric_answer(raw), lambda v: F.concat(F.array(raw), F.when(v.isNull(), several).otherwise(_number_forms(v))))
+        return F.array_sort(F.filter(F.array_distinct(F.array_compact(forms)), lambda f: (f != "") & (~f.isin("0", "1") | (F.length(raw) == 1))))
+
+    none = F.array().cast("array<string>")
+    return bound(F.trim(F.coalesce(col(key), F.lit(""))), lambda raw: F.when(raw == "", none).otherwise(of(raw)))
+
+
+def states_any(text: Column, forms: Column) -> Column:
+    """Whether one of the forms stands in the text by itself, not within a longer number or word."""
+    quoted = F.transform(forms, lambda f: F.regexp_replace(f, r"([^\p{L}\p{N}\s])", r"\\$1"))
+    pattern = F.concat(F.lit(r"(?<![\w.])(?:"), F.array_join(quoted, "|"), F.lit(r")(?!\w)"))
+    return F.coalesce((F.size(forms) > 0) & F.regexp_like(text, pattern), F.lit(False))
+
+
 def close_enough(given: Column, expected: Column, tolerance: float = 1e-6) -> Column:
     return F.abs(given - expected) <= tolerance * F.greatest(F.lit(1.0), F.abs(expected))
 

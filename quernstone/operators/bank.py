@@ -154,7 +154,26 @@ def pool_verdicts(questions: DataFrame, rules: DataFrame, chapter: Column, off_s
 
 
 #: What a patch may do, and the fields that each action sets.
-PATCH_ACTIONS = {"set_key": "answer_key", "clear_key": "answer_key", "set_options": "options", "flag_text": "text"}
+PATCH_ACTIONS = {"set_key": "answer_key", "clear_key": "answer_key", "set_options": "options"}
+
+
+def pool_counters(verdicts: DataFrame) -> DataFrame:
+    """pool, why, n of `pool_verdicts`: how many questions a pool holds (null why) and has left out for each reason."""
+    return verdicts.groupBy("pool", "why").agg(F.count("*").alias("n"))
+
+
+def exported(questions: DataFrame, topics: DataFrame, mappings: DataFrame) -> DataFrame:
+    """questions (of `export_questions`) with topic: the taxonomy's name of the question's own label, null where it has none or that
+    was declined. topics: question_id, label; mappings: label, to. A question with several labels takes the first that leads somewhere."""
+    named = topics.join(mappings.select("label", "to"), "label").filter("to is not null").groupBy("question_id").agg(F.min_by("to", "label").alias("topic"))
+    return questions.join(named, "question_id", "left")
+
+
+def export_manifest(rows: DataFrame) -> DataFrame:
+    """questions, playable, resolved (playable with a topic), and each blocker with how many it blocks (a map)."""
+    whole = rows.agg(F.count("*").alias("questions"), F.count_if("playable").alias("playable"), F.count_if(F.col("playable") & F.col("topic").isNotNull()).alias("resolved"))
+    blockers = rows.select(F.explode("blockers").alias("b")).groupBy("b").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("b", "n")))).alias("blocked"))
+    return whole.join(blockers)
 
 
 def patch_faults(patches: DataFrame, questions: DataFrame) -> DataFrame:
@@ -191,14 +210,19 @@ def preserved(before: DataFrame, after: DataFrame, keys: list[str], may_change:
     return both.withColumn("what", what).filter("what is not null").select(*keys, "what")
 
 
-def usable_hints(steps: DataFrame, key: str, order: str, number: str, text: str) -> DataFrame:
+def usable_hints(steps: DataFrame, key: str, order: str, number: str, text: str, answer: str | None = None) -> DataFrame:
     """key, hints (in order), levels: a list of steps holds several worked examples, told apart where the number does not
-    rise; the last step of each states its answer and is left out. levels: one more than the hints, five at most."""
+    rise; the last step of each states its answer and is left out. With answer, a column that holds the answer's key, every step
+    that states it in any of its forms is left out too. levels: one more than the hints, five at most. Steps without a number go on
+    with their example; null steps are none."""
     by = Window.partitionBy(key).orderBy(order)
     rows = steps.withColumn("_falls", F.coalesce(F.col(number) <= F.lag(number).over(by), F.lit(False)).cast("int"))
     rows = rows.withColumn("_part", F.sum("_falls").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_last", F.lead("_part").over(by).isNull() | (F.lead("_part").over(by) > F.col("_part")))
-    hints = F.transform(F.array_sort(F.collect_list(F.when(~F.col("_last"), F.struct(order, text)))), lambda x: x[text])
+    shown = ~F.col("_last") & F.col(text).isNotNull()
+    if answer:
+        shown = shown & ~answers.states_any(F.col(text), answers.answer_forms(answer))
+    hints = F.transform(F.array_sort(F.collect_list(F.when(shown, F.struct(order, text)))), lambda x: x[text])
     return rows.groupBy(key).agg(hints.alias("hints")).withColumn("levels", F.least(F.lit(5), F.size("hints") + 1))
 
 

@@ -163,3 +163,83 @@ def test_constraints_on_odd_rows(spark):
     assert violations({"t": t.limit(0), "o": o}, rules, {"t": ["id"], "o": ["ref"]}).count() == 0
     with pytest.raises(ValueError, match="no such table: o"):
         violations({"t": t}, rules, {"t": ["id"]})
+
+
+# Answers, patches, windows, taxonomies --------------------------------------------------------
+
+
+def test_forms_of_answers(spark):
+    from quernstone.functions import answers as A
+
+    cases = {
+        "8": {"8", "8.0", "8.00"},
+        "1": {"1", "1.0", "1.00"},
+        "6,084": {"6,084", "6084", "6084.0", "6084.00"},
+        "p = 14 and q = 0.3": {"p = 14 and q = 0.3", "14", "14.0", "14.00", "0.3", "0.30", "0.300"},
+        "(a) 1 (b) 27 cm": {"(a) 1 (b) 27 cm", "27", "27.0", "27.00"},
+        "no number": {"no number"},
+        "": set(),
+        None: set(),
+    }
+    frame = spark.createDataFrame([(k,) for k in cases], "k string")
+    assert {r.k: set(r.f) for r in frame.select("k", A.answer_forms("k").alias("f")).collect()} == cases
+    texts = [("so 14 it is", True), ("so 140", False), ("x14", False), ("3.14", False), ("14.", True), ("costs £27!", False), (None, False)]
+    out = spark.createDataFrame([(t,) for t, _ in texts], "t string").select(A.states_any(F.col("t"), A.answer_forms(F.lit("p = 14 and q = 0.3")))).collect()
+    assert [r[0] for r in out] == [w for _, w in texts]
+
+
+def test_patches_applied_twice(spark):
+    from quernstone.operators import patches as P
+    from quernstone.patch_queries import _tables
+
+    p, q, r = _tables(*(spark.read.parquet(f"{SF}/{t}.parquet").filter(f"{c}_orderkey < 200") for t, c in (("lineitem", "l"), ("orders", "o"))))
+    good = P.verified(p, q, r).filter("size(faults) = 0").drop("faults", "replay")
+    once = P.applied(q, r, good)
+    again = P.applied(*once, good)
+    for a, b in zip(once, again, strict=True):
+        rows = lambda df: sorted(map(str, (sorted((k, str(sorted(v.items()) if isinstance(v, dict) else v)) for k, v in x.asDict(recursive=True).items()) for x in df.collect())))
+        left, right = rows(a), rows(b)
+        assert len(left) == len(right) and [(x, y) for x, y in zip(left, right, strict=True) if x != y][:2] == []
+    told = {f for x in P.verified(p, q, r).collect() for f in x.faults}
+    assert told == {"unknown_action", "no_such_record", "no_such_question", "several_patches", "conflict", "no_value", "no_source", "no_reason", "short_options", "bad_difficulty", "flagged_question", "concepts_changed", "nothing_to_clear"}
+    odd = p.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in p.dtypes])
+    assert P.verified(odd, q, r).first().faults == ["no_target"] and P.applied(q, r, odd)[0].count() == q.count()
+
+
+def test_items_in_windows_equal_the_formula(spark):
+    from quernstone.operators import taxonomy
+
+    rng = random.Random(4)
+    pages, items, want = [], [], set()
+    for k in range(25):
+        mine = sorted(rng.sample(range(200), rng.choice([0, 1, 4, 5, 9, 40])))
+        n = rng.choice([0, 1, 3, 30, 90])
+        pages += [(k, p) for p in mine] + [(k, p) for p in mine[:2]] + [(k, None)]
+        items += [(k, i) for i in range(n)]
+        count = 1 if len(mine) <= 4 else -(-len(mine) // 3)
+        for w in range(count if mine else 0):
+            held = mine if count == 1 else mine[w * 3 : w * 3 + 4]
+            a, b = n * w // count, n * (w + 1) // count
+            pad = max(1, (b - a) // 4) if count > 1 else 0
+            a, b = max(0, a - pad), min(n, b + pad)
+            want |= {(k, w, (i - a) // 5, held[0], held[-1], i) for i in range(a, b)}
+    out = taxonomy.page_windows(spark.createDataFrame(pages, "k int, page int"), spark.createDataFrame(items, "k int, i int"), "k", "page", ["i"], cap=5)
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_taxonomy_of_odd_labels(spark):
+    from quernstone.operators import taxonomy
+
+    curated = spark.createDataFrame([("Ratio",), (None,), ("",), ("--",)], "label string")
+    observed = spark.createDataFrame([("ratio", 3), ("RATIO", 9), ("Time & Work", 5), ("time work", 1), ("Sets / Logic", 7), ("odd", 1), (None, 4)], "label string, n int")
+    aliases = spark.createDataFrame([("Ratio", "proportion"), ("proportion", "Shares"), (None, "x"), ("y", None)], "label string, alias string")
+    found, named = taxonomy.entries(curated, observed, aliases)
+    of = {r.label: r.entry for r in named.collect()}
+    assert of["Ratio"] == of["RATIO"] == of["proportion"] == of["Shares"] and of["Time & Work"] == of["time work"]
+    by = {r.label: (r.status, r.occurrences, r.tier) for r in found.collect()}
+    assert by["Ratio"] == ("curated", 12, None) and by["Time & Work"] == ("derived", 6, "substantive") and by["Sets / Logic"][2] == "compound" and by["odd"][2] == "long_tail"
+    merges = spark.createDataFrame([("Time & Work", "Sets / Logic"), ("Sets / Logic", "Time & Work"), ("odd", "Banned"), ("Ratio", "Ratio")], "label string, survivor string")
+    banned, keys = spark.createDataFrame([("Banned",)], "label string"), spark.createDataFrame([("Ratio", "ratio_v0")], "label string, skill_key string")
+    out = {r.label: (r.outcome, r.reason, r.skill_key) for r in taxonomy.promoted(found, banned, merges, F.lit(None).cast("boolean"), keys).collect()}
+    assert out["Ratio"] == ("promoted", None, "ratio_v0") and out["Time & Work"][1] == "merged_in_a_circle" and out["odd"][:2] == ("declined", "merged")
