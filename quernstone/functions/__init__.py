@@ -238,6 +238,12 @@ def skill_state(mastery: Column, right_in_a_row: Column, wrong_in_a_row: Column)
     return F.when((mastery < 50) | (wrong_in_a_row >= 3), "fractured").when((mastery >= 80) & (right_in_a_row >= 5), "fluid").otherwise("fragile")
 
 
+def stored_state(accuracy: Column, attempts: Column, right_in_a_row: Column, wrong_in_a_row: Column) -> Column:
+    """The state as the store has it: by accuracy (percent), of which a low one counts from the sixth attempt on."""
+    broken = (wrong_in_a_row >= 3) | ((accuracy < 50) & (attempts > 5))
+    return F.when(broken, "fractured").when((accuracy >= 80) & (right_in_a_row >= 5), "fluid").otherwise("fragile")
+
+
 def learning_path(goal: Column, exam: Column, familiarity: Column) -> Column:
     """An exam leads to exam_prep, speed with familiarity to vedic_standalone, all else to the default."""
     prepares = (goal == "exam_prep") | (F.coalesce(exam, F.lit("")) != "")

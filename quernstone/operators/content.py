@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from quernstone.lineage import cut
 
@@ -111,6 +112,41 @@ def review_interval(mastery: Column, days: list[int]) -> Column:
     return F.element_at(F.array(*map(F.lit, days)), F.least(F.floor(mastery / 2), F.lit(len(days) - 1)).cast("int") + 1)
 
 
+def due_reviews(rows: DataFrame, mastery: str, idle_days: str, days: list[int]) -> DataFrame:
+    """The rows that are to come again: idle for as many days as their mastery asks for. Null mastery counts as 0, null idle days are never due."""
+    return rows.filter(F.coalesce(F.col(idle_days) >= review_interval(F.coalesce(F.col(mastery), F.lit(0)), days), F.lit(False)))
+
+
+def public_questions(rows: DataFrame, private: tuple[str, ...] = ("answer_key", "correct_answer", "answer", "solution", "key_source")) -> DataFrame:
+    """rows without what gives an answer away, at the top and within struct columns and arrays of structs."""
+    kept = []
+    for f in rows.schema.fields:
+        if f.name in private:
+            continue
+        kind = f.dataType
+        if isinstance(kind, StructType):
+            kept.append(F.col(f.name).dropFields(*inner).alias(f.name) if (inner := [x for x in kind.names if x in private]) and len(inner) < len(kind.names) else F.col(f.name))
+        elif isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType) and (inner := [x for x in kind.elementType.names if x in private]) and len(inner) < len(kind.elementType.names):
+            kept.append(F.transform(f.name, lambda x, inner=inner: x.dropFields(*inner)).alias(f.name))
+        else:
+            kept.append(F.col(f.name))
+    return rows.select(*kept)
+
+
+def verification(status: Column, verified: tuple[str, ...] = ("verified", "answer_verified", "verified_L1", "verified_L2")) -> Column:
+    """struct(answer, solution): what was checked of each, two columns so that none is read as the other; solutions are not
+    checked by anything that a status tells."""
+    return F.struct(F.when(status.isin(*verified), "verified").otherwise(F.coalesce(F.nullif(status, F.lit("")), F.lit("unverified"))).alias("answer_verification"), F.lit("unverified").alias("solution_verification"))
+
+
+def progress_views(progress: DataFrame, user: str, item: str, params: str, now: Column, days: int = 7) -> dict[str, DataFrame]:
+    """done (user, item: mastered, or right three times and never wrong), recent (user, item: seen in the last days), params (user, params
+    once each, of what was seen then). progress: mastered, right, wrong, seen_at. A null seen_at is long ago."""
+    fresh = F.coalesce(F.col("seen_at") > now - F.make_dt_interval(days=F.lit(days)), F.lit(False))
+    done = F.coalesce(F.col("mastered"), F.lit(False)) | F.coalesce((F.col("right") >= 3) & (F.col("wrong") == 0), F.lit(False))
+    return {"done": progress.filter(done).select(user, item), "recent": progress.filter(fresh).select(user, item), "params": progress.filter(fresh).select(user, params).distinct()}
+
+
 def nearest_partner(players: DataFrame, group: str, key: str, score: str, band: float) -> DataFrame:
     """key, partner: the player of the group next by score within the band, the lower one
     of two as near. Neighbours in order hold it, so no pairs are made."""

@@ -33,6 +33,13 @@ def depth_report(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("min_depth").agg(F.count("*").alias("pairs"), F.count_distinct("start").alias("starts"))
 
 
+def ancestor_report(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes, pairs, mean, median and most of how many others a node(node) reaches, and how many reach none. One row; zeros for no nodes."""
+    per = nodes.select("node").distinct().join(pairs.groupBy(F.col("start").alias("node")).agg(F.count("*").alias("n")), "node", "left").fillna(0, ["n"])
+    n = F.col("n")
+    return per.agg(F.count("*").alias("nodes"), F.coalesce(F.sum(n), F.lit(0)).alias("pairs"), F.round(F.coalesce(F.avg(n), F.lit(0.0)), 2).alias("mean"), F.coalesce(F.median(n), F.lit(0.0)).alias("median"), F.coalesce(F.max(n), F.lit(0)).alias("most"), F.count_if(n == 0).alias("without"))
+
+
 def paths(edges: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
     """start, path: every walk of 1 to depth edges from the starts that meets no node twice, as
     the array of its nodes. Their number grows with the branching; starts should be few."""

@@ -62,8 +62,9 @@ def visible(items: DataFrame, owner: str, public: str, friends: DataFrame, viewe
     return own.unionByName(theirs).distinct().unionByName(everyone)
 
 
-def kids_policy(age: Column, cap_minutes: Column, limit: int = 13, taunt_age: int = 10, cap: int = 10, most: int = 20) -> Column:
+def kids_policy(age: Column, cap_minutes: Column, account_type: Column | None = None, limit: int = 13, taunt_age: int = 10, cap: int = 10, most: int = 20) -> Column:
     """What an account of an age may do; an unknown age is an adult's, but no bots and no taunts."""
+    account_type = F.lit(None).cast("string") if account_type is None else account_type
     kid, known = F.coalesce(age < limit, F.lit(False)), age.isNotNull()
     return F.struct(
         kid.alias("kids_mode"),
@@ -74,6 +75,11 @@ def kids_policy(age: Column, cap_minutes: Column, limit: int = 13, taunt_age: in
         F.when(kid, F.least(F.coalesce(F.when(cap_minutes != 0, cap_minutes), F.lit(cap)), F.lit(most))).alias("session_cap_minutes"),
         F.when(kid, "percentile_only").otherwise("full").alias("leaderboard"),
         F.when(kid, "parent_managed").otherwise("open").alias("friends"),
+        F.coalesce(account_type, F.lit("standard")).alias("account_type"),
+        kid.alias("timers_suppressed"),
+        kid.alias("tracking_minimized"),
+        (~kid).alias("clips_enabled"),
+        kid.alias("parental_consent_required"),
     )
 
 

@@ -243,3 +243,22 @@ def test_taxonomy_of_odd_labels(spark):
     banned, keys = spark.createDataFrame([("Banned",)], "label string"), spark.createDataFrame([("Ratio", "ratio_v0")], "label string, skill_key string")
     out = {r.label: (r.outcome, r.reason, r.skill_key) for r in taxonomy.promoted(found, banned, merges, F.lit(None).cast("boolean"), keys).collect()}
     assert out["Ratio"] == ("promoted", None, "ratio_v0") and out["Time & Work"][1] == "merged_in_a_circle" and out["odd"][:2] == ("declined", "merged")
+
+
+def test_subscriptions_one_by_one(spark):
+    import datetime
+
+    from quernstone.operators import billing
+
+    at = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(n)
+    intents = [("i1", 1, "r1", "pending", "plus", 7), ("i2", 2, "r2", "expired", "plus", 0), ("i3", 3, "r3", "paid", "plus", 0), ("i4", 4, "r4", "pending", "max", 0), ("i5", 1, "r5", "pending", "max", 0), (None, None, None, "pending", "x", None)]
+    events = [
+        ("a", 1, "r1", "i1", None, None, False, False), ("b", 2, "r1", None, None, "past_due", False, False), ("c", 3, "r5", "i5", None, "active", False, False), ("d", 4, "r1", None, None, "cancelled", False, False), ("e", 5, "r1", None, None, "active", False, True), ("f", 6, "r5", "i5", None, "active", False, False),
+        ("g", 1, "r2", "i2", None, "active", True, False), ("h", 2, "r2", None, None, "active", False, False), ("i", 1, "r3", "i3", None, "active", False, False), ("j", 1, "r4", None, 4, "cancelled", False, False), ("k", 1, "zz", None, None, "active", False, False), ("l", 1, None, None, 9, "active", False, False), ("m", None, None, None, None, None, None, None),
+    ]
+    rows = spark.createDataFrame([(e, at(n) if n else None, *rest) for e, n, *rest in events], "event string, at timestamp, ref string, intent string, user int, status string, from_client boolean, pays_only boolean")
+    out = billing.settled(rows, spark.createDataFrame(intents, "intent string, user int, ref string, status string, tier string, trial_days int")).collect()
+    assert {r.event: (r.user, r.handled, r.reason, r.status, r.tier) for r in out} == {
+        "a": (1, True, None, "trialing", "plus"), "b": (1, True, None, "past_due", "plus"), "c": (1, False, "has_live_subscription", "past_due", "plus"), "d": (1, True, None, "cancelled", "free"), "e": (1, False, "ended", "cancelled", "free"), "f": (1, True, None, "active", "max"),
+        "g": (2, False, "intent_expired", None, "free"), "h": (2, True, None, "active", "plus"), "i": (3, False, "intent_paid", None, "free"), "j": (4, True, "intent_failed", None, "free"), "k": (None, False, "unresolved", None, None), "l": (9, False, "unresolved", None, "free"), "m": (None, False, "unresolved", None, None),
+    }
