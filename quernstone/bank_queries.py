@@ -176,15 +176,22 @@ def pattern_library(part):
     return bank.first_pattern(part.select("p_partkey", variant(LINES, "p_partkey").alias("t")), "t", LIBRARY).select("p_partkey", "pattern")
 
 
-PAGE_LINES = ["Example 3", "EXERCISES", "# Ratio", "CHAPTER 4", "plain words", "PRACTICE PROBLEMS", "1. first", "THE WHOLE LINE IN CAPITALS"]
-
-
-@query(rf"""with p as (select p_partkey as k, case when p_size % 5 = 0 then p_size % 2 = 0 end as verbatim, p_size / 50.0::double as conf, (p_partkey % 90)::int as words, {variant_sql(PAGE_LINES, "p_partkey")} as line from part)
-select k as p_partkey, coalesce(verbatim, conf >= 0.5 and words >= 40) as ok, case when verbatim then 'verbatim' when verbatim is not null then 'needs_render' when conf >= 0.5 and words >= 40 then 'confidence' when conf < 0.5 then 'low_conf_' || printf('%.2f', conf) else 'too_few_words' end as reason,
-case when line = 'Example 3' then 'worked_example' when line in ('EXERCISES', 'PRACTICE PROBLEMS') then 'problem_set' when line in ('CHAPTER 4', 'THE WHOLE LINE IN CAPITALS') or line like '# %' or regexp_matches(line, '^\d+ Ratio') and false then 'explanation' end as opens from p""")
+@query(r"""with p as (select p_partkey as k, case when p_size % 5 = 0 then p_size % 2 = 0 end as verbatim, p_size / 50.0::double as conf, (p_partkey % 90)::int as words from part)
+select k as p_partkey, coalesce(verbatim, conf >= 0.5 and words >= 40) as ok, case when verbatim then 'verbatim' when verbatim is not null then 'needs_render' when conf >= 0.5 and words >= 40 then 'confidence' when conf < 0.5 then 'low_conf_' || printf('%.2f', conf) else 'too_few_words' end as reason from p""")
 def page_gates(part):
     gate = chunking.page_gate(F.when(F.col("p_size") % 5 == 0, F.col("p_size") % 2 == 0), F.col("p_size") / F.lit(50.0), (F.col("p_partkey") % 90).cast("int"))
-    return part.select("p_partkey", gate["ok"].alias("ok"), gate["reason"].alias("reason"), chunking.boundary(variant(PAGE_LINES, "p_partkey")).alias("opens"))
+    return part.select("p_partkey", gate["ok"].alias("ok"), gate["reason"].alias("reason"))
+
+
+@query(rf"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as k from documents),
+m as (select doc_id, k, case k % 9 when 0 then '## ' || line when 1 then 'Example ' || k || ': ' || line when 2 then 'Exercises. ' || line when 3 then upper(left(line, 40)) else line end as line from l)
+select doc_id, k as line_at, case when regexp_matches(line, '{chunking._EXAMPLE}') then 'worked_example' when regexp_matches(line, '{chunking._PROBLEMS}') then 'problem_set' when regexp_matches(line, '{chunking._SECTION.replace("'", "''")}') then 'explanation' end as opens from m""")
+def line_openings(documents):
+    """What every line of the documents opens, some dressed as headings, examples and exercises."""
+    rows = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    k = F.col("at") % 9
+    line = F.when(k == 0, F.concat(F.lit("## "), "line")).when(k == 1, F.concat(F.lit("Example "), F.col("at").cast("string"), F.lit(": "), "line")).when(k == 2, F.concat(F.lit("Exercises. "), "line")).when(k == 3, F.upper(F.left("line", F.lit(40)))).otherwise(F.col("line"))
+    return rows.select("doc_id", F.col("at").alias("line_at"), chunking.boundary(line).alias("opens"))
 
 
 @query(None)
@@ -196,10 +203,10 @@ def page_chunks(documents):
     return chunking.chunk_books(rows)
 
 
-@query(r"""with r as (select l_orderkey, l_linenumber, l_partkey, 'take ' || l_quantity::int || ' and ' || l_partkey || ', then ' || l_partkey || '0' as t from lineitem) select l_orderkey, l_linenumber, l_partkey, regexp_replace(t, '(^|[^\w.])' || l_partkey || '([^\w]|$)', '\1[hidden]\2', 'g') as text, true as hits from r where l_partkey % 7 = 0""")
+@query(r"""with r as (select l_orderkey, l_linenumber, l_partkey, 'take ' || l_quantity::int || ' and ' || l_partkey || ', then ' || l_partkey || '0' as t from lineitem) select l_orderkey, l_linenumber, l_partkey, regexp_replace(t, '(^|[^\w.])' || l_partkey || '([^\w]|$)', '\1[hidden]\2', 'g') as text, true as hits from r""")
 def redacted_steps(lineitem):
     """The answer stands hidden where it is a word of its own, not within a longer number."""
-    rows = lineitem.filter("l_partkey % 7 = 0").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("take "), F.col("l_quantity").cast("int"), F.lit(" and "), "l_partkey", F.lit(", then "), "l_partkey", F.lit("0")).alias("text"), F.array(F.col("l_partkey").cast("string")).alias("forms"))
+    rows = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("take "), F.col("l_quantity").cast("int"), F.lit(" and "), "l_partkey", F.lit(", then "), "l_partkey", F.lit("0")).alias("text"), F.array(F.col("l_partkey").cast("string")).alias("forms"))
     return chunking.redacted(rows, "text", "forms").drop("forms")
 
 
