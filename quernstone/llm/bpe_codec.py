@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +21,9 @@ from .common import doc_bytes, map_batches, read
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Symbols of a word whose ranks are scanned; in longer ones the least rank comes off a heap.
 SHORT = 256
-NO_RANK = 1 << 60
+#: Bits of an id in a pair's key and beside its rank.
+BITS = 20
+MASK, NO_RANK = (1 << BITS) - 1, 1 << 60
 
 # The two expressions are fixed values: they must be the vocabulary's.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -41,8 +44,9 @@ class WordVocabulary:
         self.end = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): n for n, m in enumerate(model["merges"])}
-        self.letters = byte_letters()
+        ids, merges = self.ids, (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        self.rank = {ids[a] << BITS | ids[b]: n << BITS | ids[a + b] for n, (a, b) in enumerate(merges)}
+        self.inner, self.last = ([ids[c + end] for c in byte_letters()] for end in ("", self.end))
         self.names = {i: name for name, i in (self.ids | self.special).items()}
         self._special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         library = Tokenizer.from_file(path)
@@ -76,47 +80,45 @@ def _from_letters(piece: str, byte_of: dict[str, int] = {}) -> str:  # noqa: B00
     return bytes(byte_of[c] for c in piece).decode()
 
 
-def merged(symbols: str, end: str, rank: Callable[[tuple[str, str]], int | None]) -> list[str]:
-    """The parts of a word once no pair of neighbours has a rank.
+def merged(symbols: list[int], rank: Callable[[int, int], int]) -> tuple[list[int], list[int]]:
+    """(ids of the parts of a word once no pair of neighbours has a rank, boundaries of the parts).
 
-    bounds holds where parts begin (and the end), ranks the rank of each part with the
-    one after it. The least rank, leftmost first, is found by a scan; its inner boundary is
-    deleted, and only the ranks of the new part with its two neighbours are looked up anew."""
-    n = len(symbols)
-    text = lambda i: symbols[bounds[i] : bounds[i + 1]] + (end if bounds[i + 1] == n else "")
-    found = lambda i: NO_RANK if (r := rank((text(i), text(i + 1)))) is None else r
-    bounds = list(range(n + 1))
-    ranks = [found(i) for i in range(n - 1)]
+    bounds holds where parts begin (and the end), ranks what `rank` says of each part with the one after it: its
+    rank in the high bits, the merged id in the low ones. The least, leftmost first, is found by a scan; its inner
+    boundary is deleted, and only the ranks of the new part with its two neighbours are looked up anew."""
+    parts, bounds = list(symbols), list(range(len(symbols) + 1))
+    ranks = [rank(a << BITS | b, NO_RANK) for a, b in zip(parts, parts[1:], strict=False)]
     while ranks and (least := min(ranks)) < NO_RANK:
         i = ranks.index(least)
-        del bounds[i + 1], ranks[i]
+        parts[i] = least & MASK
+        del parts[i + 1], bounds[i + 1], ranks[i]
         if i:
-            ranks[i - 1] = found(i - 1)
+            ranks[i - 1] = rank(parts[i - 1] << BITS | parts[i], NO_RANK)
         if i < len(ranks):
-            ranks[i] = found(i)
-    return [text(i) for i in range(len(bounds) - 1)]
+            ranks[i] = rank(parts[i] << BITS | parts[i + 1], NO_RANK)
+    return parts, bounds
 
 
-def merged_long(symbols: str, end: str, rank: Callable[[tuple[str, str]], int | None]) -> list[str]:
-    """The same parts for a word of any length: pairs come off a heap, boundaries are skipped by links."""
+def merged_long(symbols: list[int], rank: Callable[[int, int], int]) -> list[int]:
+    """The same ids for a word of any length: pairs come off a heap, boundaries are skipped by links."""
     n = len(symbols)
-    parts: list[str | None] = [*symbols[:-1], symbols[-1] + end]
+    parts: list[int] = list(symbols)
     after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-    heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank((parts[i], parts[i + 1]))) is not None]
+    heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank(parts[i] << BITS | parts[i + 1], NO_RANK)) < NO_RANK]
     heapq.heapify(heap)
     while heap:
-        _, i, left, right = heapq.heappop(heap)
+        least, i, left, right = heapq.heappop(heap)
         j = after[i]
         if parts[i] != left or j < 0 or parts[j] != right:
             continue
-        parts[i], parts[j] = left + right, None
+        parts[i], parts[j] = least & MASK, -1
         after[i] = k = after[j]
         if k >= 0:
             before[k] = i
         for a, b in ((before[i], i), (i, k)):
-            if a >= 0 and b >= 0 and (r := rank((parts[a], parts[b]))) is not None:
+            if a >= 0 and b >= 0 and (r := rank(parts[a] << BITS | parts[b], NO_RANK)) < NO_RANK:
                 heapq.heappush(heap, (r, a, parts[a], parts[b]))
-    return [p for p in parts if p is not None]
+    return [p for p in parts if p >= 0]
 
 
 class WordIds(Memo):
@@ -127,10 +129,10 @@ class WordIds(Memo):
         self.vocabulary = vocabulary
 
     def compute(self, word: str) -> bytes:
-        v = self.vocabulary
-        symbols = "".join(map(v.letters.__getitem__, word.encode()))
-        parts = (merged if len(symbols) <= SHORT else merged_long)(symbols, v.end, v.rank.get)
-        return np.array([v.ids[p] for p in parts], "<u4").tobytes()
+        v, raw = self.vocabulary, word.encode()
+        symbols = [v.inner[b] for b in raw[:-1]]
+        symbols.append(v.last[raw[-1]])
+        return array("I", merged(symbols, v.rank.get)[0] if len(raw) <= SHORT else merged_long(symbols, v.rank.get)).tobytes()
 
 
 _PER_PROCESS: dict = {}

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, read
+from .common import LOWER, cut, doc_bytes, map_batches, read
 
 MIN_LENGTH, MIN_COUNT, RATIO = 5, 3, 2
 #: One typo for each so many different (document, word), on average.
@@ -27,35 +27,36 @@ CELL, LEAF, CELLS, SAMPLE = 4_000, 24, 4_096, 32
 _COMPARED = 4 << 20
 
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
 _PLACE = np.array([c - 97 if 97 <= c < 123 else 26 + c % (PLACES - 26) for c in range(256)], np.int64)
 
 
-def typed(doc_id: object, words: Counter, typo_of: int = TYPO_OF) -> Iterator[tuple[str, int]]:
-    """The words of a document as they are counted: where typo_of divides the CRC-32 of
-    `<doc_id>:<word>`, without the letter at its remainder by the length. A null doc_id counts as empty."""
-    begin = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+def typed(doc_id: object, words: Counter, into: Counter, typo_of: int = TYPO_OF, min_length: int = 0) -> None:
+    """Adds the words of a document to into, as they are counted: where typo_of divides the CRC-32 of `<doc_id>:<word>`,
+    without the letter at its remainder by the length. A null doc_id counts as empty; shorter words are left out."""
+    begin, crc = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode()), zlib.crc32
     for word, n in words.items():
-        h = zlib.crc32(word.encode(), begin)
-        if h % typo_of == 0:
-            at = h % len(word)
-            word = word[:at] + word[at + 1 :]
-        yield word, n
+        if len(word) >= min_length:
+            h = crc(word.encode(), begin)
+            if h % typo_of == 0:
+                at = h % len(word)
+                word = word[:at] + word[at + 1 :]
+                if len(word) < min_length:
+                    continue
+            into[word] += n
 
 
 def word_counts(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT, typo_of: int = TYPO_OF, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """word, n of all whole texts: runs of letters, A-Z in lower case, after `typed`. Each slice of a batch
     sends a word once, so a frequent word is a row a task in the shuffle. Null texts have no words."""
 
-    def rows(ids, texts):
+    def rows(ids, raws):
         out: Counter = Counter()
-        for i, t in zip(ids, texts, strict=True):
-            for word, n in typed(i, Counter(_RUN.findall(t.translate(_LOWER))) if t else Counter(), typo_of):
-                if len(word) >= min_length:
-                    out[word] += n
+        for i, raw in zip(ids, raws, strict=True):
+            if raw:
+                typed(i, Counter(_RUN.findall(raw.translate(LOWER).decode())), out, typo_of, min_length)
         return {"word": list(out), "n": list(out.values())}
 
-    found = map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), rows, "word string, n long")
+    found = map_batches(doc_bytes(docs, text=text, doc_id=doc_id), rows, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
 
 

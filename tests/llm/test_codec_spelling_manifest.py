@@ -48,10 +48,13 @@ def test_ids_of_all_texts(spark, library):
 
 
 def test_scanned_and_heaped_merges_agree():
-    rng, rank = random.Random(3), bpe_codec.WordVocabulary().rank.get
+    rng, v = random.Random(3), bpe_codec.WordVocabulary()
     for _ in range(300):
-        word = "".join(rng.choices("aabcdeinth", k=rng.randint(1, 60)))
-        assert bpe_codec.merged(word, "</w>", rank) == bpe_codec.merged_long(word, "</w>", rank)
+        word = "".join(rng.choices("aabcdeinth", k=rng.randint(1, 60))).encode()
+        symbols = [*(v.inner[b] for b in word[:-1]), v.last[word[-1]]]
+        ids, bounds = bpe_codec.merged(symbols, v.rank.get)
+        assert ids == bpe_codec.merged_long(symbols, v.rank.get) and bounds[0] == 0 and bounds[-1] == len(word)
+        assert [v.names[i].removesuffix(v.end) for i in ids] == [word[a:b].decode() for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def test_codec_of_odd_rows(spark, odd, library):
