@@ -184,13 +184,13 @@ def page_gates(part):
 
 
 @query(rf"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as k from documents),
-m as (select doc_id, k, case k % 9 when 0 then '## ' || line when 1 then 'Example ' || k || ': ' || line when 2 then 'Exercises. ' || line when 3 then upper(left(line, 40)) else line end as line from l)
+m as (select doc_id, k, case k % 9 when 0 then '## ' || line when 1 then 'Example ' || k || ': ' || line when 2 then 'Exercises. ' || line when 3 then 'THE WHOLE OF LINE ' || k else line end as line from l)
 select doc_id, k as line_at, case when regexp_matches(line, '{chunking._EXAMPLE}') then 'worked_example' when regexp_matches(line, '{chunking._PROBLEMS}') then 'problem_set' when regexp_matches(line, '{chunking._SECTION.replace("'", "''")}') then 'explanation' end as opens from m""")
 def line_openings(documents):
     """What every line of the documents opens, some dressed as headings, examples and exercises."""
     rows = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     k = F.col("at") % 9
-    line = F.when(k == 0, F.concat(F.lit("## "), "line")).when(k == 1, F.concat(F.lit("Example "), F.col("at").cast("string"), F.lit(": "), "line")).when(k == 2, F.concat(F.lit("Exercises. "), "line")).when(k == 3, F.upper(F.left("line", F.lit(40)))).otherwise(F.col("line"))
+    line = F.when(k == 0, F.concat(F.lit("## "), "line")).when(k == 1, F.concat(F.lit("Example "), F.col("at").cast("string"), F.lit(": "), "line")).when(k == 2, F.concat(F.lit("Exercises. "), "line")).when(k == 3, F.concat(F.lit("THE WHOLE OF LINE "), F.col("at").cast("string"))).otherwise(F.col("line"))
     return rows.select("doc_id", F.col("at").alias("line_at"), chunking.boundary(line).alias("opens"))
 
 
