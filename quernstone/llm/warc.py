@@ -138,15 +138,19 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_R
     page_id are responses and the others revisit it; other rows are responses.
     Null html is an empty payload, null urls are empty; rows with a null page_id are
     responses, and records of repeated rows repeat. Equal payloads are found by digest
-    with a partial aggregation; only groups of two or more are joined back. A task that
+    with a partial aggregation; only groups of two or more are joined back, and payloads under
+    min_revisit_bytes (all empty ones share a digest) are not shuffled at all. A task that
     runs again writes files of a new name; the index names those of the run that
     counted and is the folder's manifest: bundles that it doesn't name are left from lost
     attempts and may be deleted.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
-    groups = rows.filter(F.octet_length("payload") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    decided = rows.join(groups, "digest", "left").select("page_id", "url", "payload", "digest", F.when((F.octet_length("payload") >= min_revisit_bytes) & (F.col("page_id") != F.col("original")), F.col("original")).alias("refers_to"))
+    large = F.octet_length("payload") >= min_revisit_bytes
+    groups = rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    columns = ["page_id", "url", "payload", "digest"]
+    decided = rows.filter(large).join(groups, "digest", "left").select(*columns, F.when(F.col("page_id") != F.col("original"), F.col("original")).alias("refers_to"))
+    decided = decided.unionByName(rows.filter(~large).select(*columns, F.lit(None).cast("long").alias("refers_to")))
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(folder)
