@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quernstone import functions as Q
-from quernstone.operators import billing, content, graph
+from quernstone.operators import billing, content, graph, matches
 from quernstone.registry import query
 
 NOW = "1997-01-01 00:00:00"
@@ -85,3 +85,16 @@ def ancestor_figures(supplier):
     edges = supplier.select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * 7 + F.col("s_nationkey")) % 97).alias("dst")).distinct()
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
     return graph.ancestor_report(graph.closure(edges), nodes)
+
+
+@query(None)
+def completed_matches(orders):
+    """Orders of one customer segment and day as the results of a match: tests hold ratings to the published example and points to one by one."""
+    day, k = F.to_date("o_orderdate"), F.col("o_orderkey")
+    place = F.when(F.col("o_totalprice") > 4000, 1).when(F.col("o_totalprice") > 2500, 2).otherwise(3)
+    results = orders.select(
+        F.concat_ws("/", day, (F.col("o_custkey") % 20).cast("string")).alias("match"), F.when(k % 9 > 0, F.col("o_custkey")).alias("user"), place.alias("place"), (k % 101).cast("double").alias("accuracy"), F.when(k % 2 == 0, "speed_race").otherwise("duel").alias("mode"),
+        (k % 90_000).alias("duration_ms"), (k % 5 == 0).alias("comeback"), (k % 7 - 3).cast("double").alias("theta"),
+    )
+    ratings = orders.filter("o_custkey % 3 = 0").select(F.col("o_custkey").alias("user")).distinct().select("user", (1200.0 + F.col("user") % 700).alias("rating"), F.lit(90.0).alias("rd"), F.lit(0.06).alias("volatility"), F.lit(9).alias("played"), F.lit(2).alias("streak"))
+    return matches.completed(results, ratings, results.filter("user % 5 = 0").select("match", "user"))[0]

@@ -83,7 +83,8 @@ union all select 'orphan', 'customers_without_orders', count(*) from customer wh
 union all select 'orphan', 'parts_never_ordered', count(*) from part where p_partkey not in (select l_partkey from lineitem where l_orderkey in (select o_orderkey from orders)) union all select 'orphan', 'parts_without_supplier', count(*) from part where p_partkey not in (select l_partkey from lineitem where l_suppkey in (select s_suppkey from supplier)) union all select 'orphan', 'suppliers_without_parts', count(*) from supplier where s_suppkey not in (select l_suppkey from lineitem where l_partkey in (select p_partkey from part))
 union all select 'orphan', 'nations_without_customers', count(*) from nation where n_nationkey not in (select c_nationkey from customer) union all select 'orphan', 'nations_without_suppliers', count(*) from nation where n_nationkey not in (select s_nationkey from supplier)""")
 def graph_plan(customer, orders, lineitem, part, supplier, nation, region):
-    return graph.plan_counts(*graph.trade_plan(customer, orders, lineitem, part, supplier, nation, region))
+    tables = {"customer": customer, "orders": orders, "lineitem": lineitem, "part": part, "supplier": supplier, "nation": nation, "region": region}
+    return graph.counted_plan(tables, graph.TRADE_NODES, graph.TRADE_EDGES, graph.TRADE_ORPHANS)
 
 
 SKILLS = ["Ratio", "ratio", "RATIO", "algebra:Ratio", "Series", "algebra:series#", "Chapter #", "Averages", "averages", "Mean"]

@@ -257,6 +257,59 @@ def trade_plan(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, part
     return nodes, edges, orphans
 
 
+def counted_plan(tables: dict[str, DataFrame], nodes: dict[str, tuple[str, str]], edges: dict[str, tuple[str, str, str, str, str]], orphans: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """kind, label, n of a graph plan by declaration: nodes label -> (table, key); edges label -> (table, source column, its node,
+    target column, its node), each pair once and only between nodes that exist; orphans label -> (node, edge, src or dst): nodes
+    that are no such end of the edge. Null keys are no nodes.
+
+    Each table is scanned once: its nodes, edges and the nodes that these meet are distinct counts of one aggregation, and an orphan
+    count is a difference of two of them. Whether a node of another table exists is a join with its keys."""
+    signed = []
+    for table in tables:
+        rows, seen = tables[table], {}
+        mine = {label: e for label, e in edges.items() if e[0] == table}
+        for _, src, a, dst, b in mine.values():
+            for column, node in ((src, a), (dst, b)):
+                if (column, node) not in seen:
+                    seen[column, node] = F.col(column).isNotNull()
+                    if nodes[node] != (table, column):
+                        flag, other = f"_{node}_{column}", tables[nodes[node][0]]
+                        known = other.select(F.col(nodes[node][1]).alias(f"_k{flag}")).dropna().distinct().withColumn(flag, F.lit(True))
+                        rows = rows.join(known, F.col(column) == F.col(f"_k{flag}"), "left")
+                        seen[column, node] = F.col(flag)
+        counts = {("node", label): F.count_distinct(key) for label, (t, key) in nodes.items() if t == table}
+        for label, (_, src, a, dst, b) in mine.items():
+            there = seen[src, a] & seen[dst, b]
+            counts["edge", label] = F.count_distinct(F.when(there, F.col(src)), F.when(there, F.col(dst)))
+            for end, column in (("src", src), ("dst", dst)):
+                if any(x[1:] == (label, end) for x in orphans.values()):
+                    counts[end, label] = F.count_distinct(F.when(there, F.col(column)))
+        if not counts:
+            continue
+        told = []
+        for i, (kind, label) in enumerate(counts):
+            n = F.col(f"c{i}")
+            if kind in ("node", "edge"):
+                told.append((kind, label, n))
+            told += [("orphan", o, n) for o, (node, _, _) in orphans.items() if kind == "node" and node == label]
+            told += [("orphan", o, -n) for o, (_, edge, end) in orphans.items() if (kind, label) == (end, edge)]
+        row = rows.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts.values())])
+        signed.append(row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(x).alias("label"), n.alias("n")) for k, x, n in told])).alias("x")).select("x.*"))
+    return reduce(DataFrame.unionByName, signed).groupBy("kind", "label").agg(F.sum("n").alias("n"))
+
+
+#: The trade tables as a graph, for `counted_plan`.
+TRADE_NODES = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Supplier": ("supplier", "s_suppkey"), "Part": ("part", "p_partkey"), "Order": ("orders", "o_orderkey"), "Brand": ("part", "p_brand")}
+TRADE_EDGES = {
+    "IN_REGION": ("nation", "n_nationkey", "Nation", "n_regionkey", "Region"), "LIVES_IN": ("customer", "c_custkey", "Customer", "c_nationkey", "Nation"), "BASED_IN": ("supplier", "s_suppkey", "Supplier", "s_nationkey", "Nation"),
+    "PLACED": ("orders", "o_custkey", "Customer", "o_orderkey", "Order"), "CONTAINS": ("lineitem", "l_orderkey", "Order", "l_partkey", "Part"), "SUPPLIED": ("lineitem", "l_suppkey", "Supplier", "l_partkey", "Part"), "OF_BRAND": ("part", "p_partkey", "Part", "p_brand", "Brand"),
+}
+TRADE_ORPHANS = {
+    "customers_without_orders": ("Customer", "PLACED", "src"), "orders_without_parts": ("Order", "CONTAINS", "src"), "orders_without_customer": ("Order", "PLACED", "dst"), "parts_never_ordered": ("Part", "CONTAINS", "dst"),
+    "parts_without_supplier": ("Part", "SUPPLIED", "dst"), "suppliers_without_parts": ("Supplier", "SUPPLIED", "src"), "nations_without_customers": ("Nation", "LIVES_IN", "dst"), "nations_without_suppliers": ("Nation", "BASED_IN", "dst"),
+}
+
+
 #: How far a match of each tier can be trusted.
 CONFIDENCE = {"reviewed_alias": 1.0, "exact": 1.0, "normalized": 0.9, "tokenset": 0.75}
 

@@ -7,15 +7,27 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import bucket64
 
-#: Sampling class by event type.
-EVENT_CLASSES = {
-    **dict.fromkeys(["problem_attempt", "problem_solved", "problem_failed", "trap_triggered", "bkt_state_snapshot", "session_start", "session_end", "calibration_completed", "phase_transition", "skill_level_up"], "psychometric"),
-    **dict.fromkeys(["fatigue_index_computed", "clr_mode_activated", "behavioral_profile_computed", "mock_exam_started", "mock_problem_attempt", "mock_exam_submitted", "deferred_workout_started", "deferred_workout_completed"], "psychometric"),
-    **dict.fromkeys(["subscription_purchased", "subscription_cancelled", "trial_started", "referral_code_used", "referral_reward_claimed", "onboarding_begin", "goal_set", "auth_complete", "topic_browser_session_start", "topic_browser_session_end"], "conversion"),
-    **dict.fromkeys(["chat_hint_requested", "page_view", "hint_used", "hint_requested", "topic_selected", "widget_expanded", "dashboard_loaded", "problem_loaded", "profile_viewed", "help_viewed"], "ui"),
-    **dict.fromkeys(["buffer_overflow", "sync_failed", "offline_sync_complete"], "ops"),
-    **dict.fromkeys(["lr_set_completed", "di_set_completed", "passage_completed"], "psychometric"),
+#: The event types of each sampling class.
+_TYPES = {
+    "psychometric": """
+        problem_attempt problem_solved problem_failed trap_triggered bkt_state_snapshot session_start session_end
+        calibration_completed phase_transition skill_level_up fatigue_index_computed clr_mode_activated
+        behavioral_profile_computed mock_exam_started mock_problem_attempt mock_exam_submitted deferred_workout_started
+        deferred_workout_completed lr_set_completed di_set_completed passage_completed
+    """,
+    "conversion": """
+        subscription_purchased subscription_cancelled trial_started referral_code_used referral_reward_claimed
+        onboarding_begin goal_set auth_complete topic_browser_session_start topic_browser_session_end
+    """,
+    "ui": """
+        chat_hint_requested page_view hint_used hint_requested topic_selected widget_expanded dashboard_loaded
+        problem_loaded profile_viewed help_viewed
+    """,
+    "ops": """
+        buffer_overflow sync_failed offline_sync_complete
+    """,
 }
+EVENT_CLASSES = {kind: name for name, kinds in _TYPES.items() for kind in kinds.split()}
 #: Keys that are never kept of a child's event.
 KIDS_STRIPPED = ["device_fingerprint", "device_id", "ip", "ip_address", "user_agent", "geo"]
 

@@ -114,7 +114,7 @@ def leaderboard_mode(since_match: Column, mode: Column, kid: Column, cooldown: i
 
 
 def achievements(won: Column, accuracy: Column, mode: Column, duration_ms: Column, comeback: Column, streak: Column, played: Column, rating: Column, friends: Column, daily_rank: Column) -> Column:
-    """The keys that a player's figures satisfy, in the order of the catalogue."""
+    """The keys that a player's figures satisfy, in the order of the catalogue, whose keys and thresholds are fixed values."""
     rules = [
         ("first_win", won),
         ("perfect_game", won & (accuracy >= 100)),

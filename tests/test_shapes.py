@@ -262,3 +262,22 @@ def test_subscriptions_one_by_one(spark):
         "a": (1, True, None, "trialing", "plus"), "b": (1, True, None, "past_due", "plus"), "c": (1, False, "has_live_subscription", "past_due", "plus"), "d": (1, True, None, "cancelled", "free"), "e": (1, False, "ended", "cancelled", "free"), "f": (1, True, None, "active", "max"),
         "g": (2, False, "intent_expired", None, "free"), "h": (2, True, None, "active", "plus"), "i": (3, False, "intent_paid", None, "free"), "j": (4, True, "intent_failed", None, "free"), "k": (None, False, "unresolved", None, None), "l": (9, False, "unresolved", None, "free"), "m": (None, False, "unresolved", None, None),
     }
+
+
+def test_completed_matches(spark):
+    from quernstone.operators import learner, matches
+
+    S = "match string, user int, place int, accuracy double, mode string, duration_ms int, comeback boolean, theta double"
+    rows = [("m", 1, 2, 50.0, "duel", 9, False, None), ("m", 2, 1, 100.0, "speed_race", 9, True, 1.0), ("m", None, 3, None, None, None, None, None), ("m", 1, 3, 1.0, "duel", 9, False, None), ("solo", 3, 1, 10.0, "duel", 9, None, 0.5), ("n", 1, 1, 10.0, "duel", 9, False, None), ("n", 4, 1, 10.0, "duel", 9, False, None)]
+    known = spark.createDataFrame([(1, 1500.0, 200.0, 0.06, 9, 2)], "user int, rating double, rd double, volatility double, played int, streak int")
+    results = spark.createDataFrame(rows, S)
+    out, after = matches.completed(results, known, spark.createDataFrame([("n", 4)], "match string, user int"))
+    got = {(r.match, r.user): r for r in out.collect()}
+    games = [(1, 1500.0, 200.0, 0.06, 1400.0, 350.0, 0.0), (1, 1500.0, 200.0, 0.06, 1000.0, 350.0, 0.5)]
+    want = learner.glicko_period(spark.createDataFrame(games, "player int, rating double, rd double, volatility double, opponent_rating double, opponent_rd double, score double")).first()
+    new = {r.user: r for r in after.collect()}
+    assert new[1].rating == pytest.approx(want.rating) and new[1].rd == pytest.approx(want.rd) and (new[3].rating, new[3].rd) == (1200.0, 350.0)
+    assert len(got) == 5 and got["m", 1].elo_change == int(want.rating) - 1500 and got["solo", 3].elo_change == 0
+    assert [got[k].xp for k in (("m", 2), ("m", 1), ("n", 1), ("n", 4), ("solo", 3))] == [25, 7, 50, 0, 50]  # halved by the bot, paid before
+    assert set(got["m", 2].achievements) >= {"first_win", "perfect_game", "speed_demon", "comeback_king"} and "win_streak_3" in got["n", 1].achievements and "games_10" in got["n", 1].achievements and got["m", 1].achievements == ["games_10"] + (["elo_1500"] if want.rating >= 1500 else [])
+    assert matches.completed(results.limit(0), known, known.select(F.lit("x").alias("match"), "user"))[0].count() == 0
