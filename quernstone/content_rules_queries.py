@@ -94,7 +94,7 @@ n as (select k.*, entry from k join m using (key)),
 f as (select entry, arg_min(label, (not curated, not regexp_matches(label, '\\s'), not (label = array_to_string(list_transform(string_split(label, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')), -n, label)) as label, bool_or(curated) as curated, sum(n)::bigint as occurrences from n group by 1),
 t as (select *, case when curated then null when contains(label, ' / ') then 'compound' when occurrences >= 4 then 'substantive' else 'long_tail' end as tier from f),
 p as (select *, case when label in ('Bolt', 'Red') then 'banned' when label = 'Rod' or label = 'Gear' then 'merged' when occurrences > 60 then 'excluded' when tier in ('long_tail', 'compound') then tier end as reason, case when label in ('Rod', 'Gear') then 'Widget' end as survivor from t),
-q as (select entry, label as entry_label, survivor, case when reason is null then 'promoted' when reason in ('long_tail', 'compound') then 'carried' else 'declined' end as outcome from p)
+q as (select entry, label as entry_label, case when survivor not in (select label from p where reason in ('banned', 'excluded')) then survivor end as survivor, case when reason is null then 'promoted' when reason in ('long_tail', 'compound') then 'carried' else 'declined' end as outcome from p)
 select n.label, coalesce(survivor, case when outcome <> 'declined' then entry_label end) as "to", case when survivor is not null then 'semantic_merge' when outcome = 'declined' then 'declined' when n.label = entry_label then 'canonical' else 'surface_variant' end as kind from n join q using (entry)""")
 def taxonomy_mappings(part):
     """Where every label went, of names made from parts: case variants, aliases, merges that lead on, banned and frequent ones."""
