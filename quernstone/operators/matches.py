@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import seed_rating, xp_of
 from quernstone.lineage import cut
-from quernstone.operators.learner import glicko_period
+from quernstone.operators.learner import glicko_solved, glicko_terms
 from quernstone.operators.policy import achievements
 
 #: Deviation and volatility of a player who is new.
 NEW_RD, NEW_VOLATILITY = 350.0, 0.06
-#: Players of one match at most: its humans are paired with one another.
-MOST_PLAYERS = 64
 
 
 def completed(results: DataFrame, ratings: DataFrame, paid: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -24,7 +22,10 @@ def completed(results: DataFrame, ratings: DataFrame, paid: DataFrame) -> tuple[
     streak. A player without a rating starts from theta. Every two humans of a match play each other, by place; a match with one
     human changes no rating. All matches of the batch count with the ratings from before it, and changes are told as whole numbers.
     Points are halved where a bot took part, and paid once a (match, user): paid holds those of batches before, so a batch that
-    runs again pays nothing. Of a match's several rows of a user the best place counts. Matches of more than MOST_PLAYERS humans are an error."""
+    runs again pays nothing. Of a match's several rows of a user the best place counts.
+
+    Players of a match with one place, rating and deviation are one to all others, so what meets are such groups with their
+    counts, not players."""
     best = results.filter("user is not null").groupBy("match", "user").agg(F.min_by(F.struct("place", "accuracy", "mode", "duration_ms", "comeback", "theta"), F.struct("place", F.to_json(F.struct("accuracy", "mode", "duration_ms", "comeback", "theta")))).alias("r"))
     sizes = results.groupBy("match").agg(F.count_distinct("user").alias("humans"), F.max(F.col("user").isNull()).alias("bot"))
     own = ratings.groupBy("user").agg(F.first(F.struct("rating", "rd", "volatility", "played", "streak")).alias("k"))
@@ -33,15 +34,20 @@ def completed(results: DataFrame, ratings: DataFrame, paid: DataFrame) -> tuple[
         F.coalesce("k.played", F.lit(0)).alias("played"), F.coalesce("k.streak", F.lit(0)).alias("streak"),
     )
     rows = cut(rows)
-    if rows.filter(F.col("humans") > MOST_PLAYERS).limit(1).count():
-        raise ValueError(f"a match has more than {MOST_PLAYERS} players")
     # one rating a player for the batch: seeds of a new player's several matches may differ
     seeds = rows.groupBy("user").agg(F.min_by(F.struct("rating", "rd", "volatility"), "match").alias("s")).select(F.col("user").alias("player"), "s.*")
     seated = rows.select("match", F.col("user").alias("player"), "place").join(seeds, "player")
-    other = seated.select("match", F.col("player").alias("opponent"), F.col("place").alias("_place"), F.col("rating").alias("opponent_rating"), F.col("rd").alias("opponent_rd"))
+    group = ["match", "place", "rating", "rd"]
+    groups = cut(seated.groupBy(*group).agg(F.count("*").alias("n")))
+    other = groups.select("match", F.col("place").alias("_place"), F.col("rating").alias("opponent_rating"), F.col("rd").alias("opponent_rd"), F.col("n").alias("_n"))
+    mine = F.col("place").eqNullSafe(F.col("_place")) & (F.col("rating") == F.col("opponent_rating")) & (F.col("rd") == F.col("opponent_rd"))
+    met = F.col("_n") - F.when(mine, 1).otherwise(0)  # nobody plays themselves
     score = F.when(F.col("place") < F.col("_place"), 1.0).when(F.col("place") == F.col("_place"), 0.5).otherwise(0.0)
-    games = seated.join(other, "match").filter("player != opponent").select("player", "rating", "rd", "volatility", "opponent_rating", "opponent_rd", score.alias("score"))
-    after = cut(glicko_period(games))
+    g, e = glicko_terms(F.col("rating"), F.col("opponent_rating"), F.col("opponent_rd"))
+    against = groups.join(other, "match").withColumn("_met", met).filter("_met > 0").groupBy(*group).agg(F.sum("_met").alias("games"), F.sum(F.col("_met") * g * g * e * (1 - e)).alias("info"), F.sum(F.col("_met") * g * (score - e)).alias("gain"))
+    per = seated.alias("s").join(against.alias("t"), (F.col("s.match") == F.col("t.match")) & F.col("s.place").eqNullSafe(F.col("t.place")) & (F.col("s.rating") == F.col("t.rating")) & (F.col("s.rd") == F.col("t.rd")))
+    sums = per.groupBy("player", "s.rating", "s.rd", "volatility").agg(F.sum("games").alias("games"), F.sum("info").alias("info"), F.sum("gain").alias("gain"))
+    after = cut(glicko_solved(sums))
     new = seeds.join(after.toDF("player", "_r", "_d", "_v"), "player", "left").select(F.col("player").alias("user"), F.coalesce("_r", "rating").alias("rating"), F.coalesce("_d", "rd").alias("rd"), F.coalesce("_v", "volatility").alias("volatility"), F.col("rating").alias("_before"))
     won = F.coalesce(F.col("place") == 1, F.lit(False))
     told = rows.drop("rating", "rd", "volatility").join(new.select("user", "rating", "_before"), "user").join(paid.select("match", "user").distinct().withColumn("_paid", F.lit(True)), ["match", "user"], "left")
