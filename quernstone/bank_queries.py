@@ -29,7 +29,7 @@ def _bank(lineitem):
         variant(RESULTS, F.col("l_partkey") % 40).alias("result"), variant(DESCRIPTIONS, "l_partkey").alias("description"),
     )
     k = F.col("template") + F.col("example")
-    examples = steps.select("template", "example").distinct().select("template", "example", variant(DESCRIPTIONS, k).alias("problem"), variant(ANSWERS, k % 40).alias("answer"))
+    examples = lineitem.select(F.col("l_orderkey").alias("template"), (F.col("l_linenumber") % 3).alias("example")).distinct().select("template", "example", variant(DESCRIPTIONS, k).alias("problem"), variant(ANSWERS, k % 40).alias("answer"))
     return steps, examples
 
 

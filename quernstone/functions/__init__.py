@@ -107,7 +107,7 @@ def stem_set(c: Column | str, length: int = 5, stopwords: list[str] = STOPWORDS)
 
 def content_words(c: Column | str, stopwords: list[str] = COMMON_WORDS) -> Column:
     """Different lower-case words of four letters or more that are no stopwords."""
-    return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(col(c)), F.lit(r"([a-z]{4,})"), 1)), F.array(*map(F.lit, stopwords)))
+    return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(col(c)), F.lit(r"([a-z]{4,})"), 1)), lambda w: ~w.isin(*stopwords))
 
 
 def skeleton(c: Column | str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import answers, content_words
+from quernstone.lineage import cut
 
 # Steps: template, example, step, operation, result, description. Examples: template, example, problem, answer.
 
@@ -61,16 +62,18 @@ def misaligned_steps(steps: DataFrame, examples: DataFrame) -> DataFrame:
     only), no_overlap (none stands in its own step or example), desc_duplicated (a long description stands over operations
     that share no word with the first one's). Word sets are arrays by example; a template's examples are few."""
     words = lambda *cs: F.array_distinct(F.concat(*[content_words(F.coalesce(F.col(c), F.lit(""))) for c in cs]))
-    own = steps.groupBy("template", "example").agg(F.flatten(F.collect_list(words("operation", "result"))).alias("w"))
+    t = F.trim("description")
+    rows = cut(steps.select("template", "example", "step", words("description").alias("d"), words("operation", "result").alias("s"), F.when(F.length(t) >= 40, F.struct(t.alias("t"), words("operation").alias("o"))).alias("long")))
+    own = rows.groupBy("template", "example").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("w"))
     own = own.join(examples.select("template", "example", words("problem", "answer").alias("v")), ["template", "example"], "left")
     own = own.select("template", "example", F.array_distinct(F.concat("w", F.coalesce("v", F.array().cast("array<string>")))).alias("own"))
     others = own.withColumn("all", F.collect_list(F.struct("example", "own")).over(Window.partitionBy("template")))
     context = others.select("template", "example", "own", F.array_distinct(F.flatten(F.transform(F.filter("all", lambda x: x["example"] != F.col("example")), lambda x: x["own"]))).alias("siblings"))
-    rows = steps.select("template", "example", "step", words("description").alias("d"), words("operation", "result").alias("s")).join(context, ["template", "example"])
+    met = rows.select("template", "example", "step", "d", "s").filter(F.size("d") > 0).join(context, ["template", "example"])
     foreign = F.array_intersect(F.array_except("d", "own"), "siblings")
-    apart = (F.size("d") > 0) & (F.size("s") > 0) & ~F.arrays_overlap("d", "s") & ~F.arrays_overlap("d", "own")
-    signed = rows.withColumn("signature", F.explode(F.array_compact(F.array(F.when(F.size(foreign) >= 2, "sibling_carryover"), F.when(apart, "no_overlap"))))).select("template", "example", "step", "signature")
-    long = steps.filter(F.length(F.trim("description")) >= 40).select("template", "example", "step", F.trim("description").alias("t"), words("operation").alias("o")).filter(F.size("o") > 0)
+    apart = (F.size("s") > 0) & ~F.arrays_overlap("d", "s") & ~F.arrays_overlap("d", "own")
+    signed = met.withColumn("signature", F.explode(F.array_compact(F.array(F.when(F.size(foreign) >= 2, "sibling_carryover"), F.when(apart, "no_overlap"))))).select("template", "example", "step", "signature")
+    long = rows.select("template", "example", "step", "long.*").filter(F.size("o") > 0)
     head = long.groupBy("template", "t").agg(F.min_by("o", F.struct("example", "step")).alias("h"))
     return signed.unionByName(long.join(head, ["template", "t"]).filter(~F.arrays_overlap("o", "h")).select("template", "example", "step", F.lit("desc_duplicated").alias("signature")))
 
