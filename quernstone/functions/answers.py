@@ -275,7 +275,7 @@ def _value(text: str) -> str | None:
     tokens = _TOKENS.findall(text)
     if not tokens or len(tokens) > MOST_TOKENS or "".join(tokens) != "".join(text.split()):
         return None
-    numbers: list[Fraction] = []
+    numbers: list[int | Fraction] = []  # a fraction only where a division leaves a rest
     waiting: list[str] = []  # operators and open brackets
     operand = True  # whether a number has to come
     try:
@@ -283,7 +283,7 @@ def _value(text: str) -> str | None:
             if t.isdigit():
                 if not operand:
                     return None
-                numbers.append(_small(Fraction(int(t))))
+                numbers.append(_small(int(t)))
                 operand = False
             elif t == "(" or (operand and t in "+-"):
                 if t == "(" and not operand:
@@ -311,13 +311,13 @@ def _value(text: str) -> str | None:
     return str(numbers[0])
 
 
-def _small(x: Fraction) -> Fraction:
+def _small(x: int | Fraction) -> int | Fraction:
     if max(x.numerator.bit_length(), x.denominator.bit_length()) > MOST_BITS:
         raise OverflowError
     return x
 
 
-def _apply(operator: str, numbers: list[Fraction]) -> None:
+def _apply(operator: str, numbers: list[int | Fraction]) -> None:
     b = numbers.pop()
     if operator in ("sign", "plus"):
         numbers.append(-b if operator == "sign" else b)
@@ -327,6 +327,10 @@ def _apply(operator: str, numbers: list[Fraction]) -> None:
         most = max(a.numerator.bit_length(), a.denominator.bit_length())
         if b.denominator != 1 or abs(b) > MOST_POWER or abs(b) * most > MOST_BITS:
             raise OverflowError
-        numbers.append(a ** int(b))
+        numbers.append((a if b >= 0 else Fraction(a)) ** int(b))
     else:
-        numbers.append(_small(a + b if operator == "+" else a - b if operator == "-" else a * b if operator == "*" else a / b))
+        numbers.append(_small(a + b if operator == "+" else a - b if operator == "-" else a * b if operator == "*" else _ratio(a, b)))
+
+
+def _ratio(a: int | Fraction, b: int | Fraction) -> int | Fraction:
+    return a // b if isinstance(a, int) and isinstance(b, int) and a % b == 0 else Fraction(a) / b
