@@ -27,3 +27,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a part of a dealt table holds at most, at least, and parts up to which the least counts.
+MOST_DEALT, LEAST_DEALT, SPREAD = 500_000, 10_000, 64
+
+
+def dealt(rows: DataFrame, most: int, *columns: str) -> DataFrame:
+    """rows (most of them, or fewer) by columns in parts whose number grows with them, so that what a task sorts, joins or
+    counts has a bound: Spark's own number of parts is fixed, and it merges small ones."""
+    return rows.repartition(max(1, -(-most // MOST_DEALT), min(SPREAD, -(-most // LEAST_DEALT))), *columns)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.lineage import cut
+from quernstone.lineage import cut, dealt
 from quernstone.operators.content import resolve_chains
 from quernstone.operators.cycles import BLOCK, closing_edges, weak_components
 
@@ -338,5 +338,7 @@ def match_tiers(names: DataFrame, vocabulary: DataFrame, name: str, label: str,
 
 def support(baskets: DataFrame, basket: str, item: str, least: int = 2) -> DataFrame:
     """src < dst, n: items that least baskets or more have together."""
-    a, b = baskets.select(basket, F.col(item).alias("src")).distinct(), baskets.select(basket, F.col(item).alias("dst")).distinct()
-    return a.join(b, basket).filter("src < dst").groupBy("src", "dst").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    n = baskets.count()
+    held = dealt(baskets.select(basket, item), n, basket).distinct()
+    pairs = held.select(basket, F.col(item).alias("src")).join(held.select(basket, F.col(item).alias("dst")), basket).filter("src < dst").select("src", "dst")
+    return dealt(pairs, 4 * n, "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
