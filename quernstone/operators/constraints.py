@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.lineage import cut
+from quernstone.lineage import cut, dealt
 
 
 @dataclass(frozen=True)
@@ -53,16 +53,26 @@ def _key(columns: Sequence[str]) -> Column:
     return F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)]))
 
 
+def _counted(rows: DataFrame, most: int, keys: Sequence[str]) -> DataFrame:
+    """keys, n: how often each is there. Parts of a key are counted first, then their counts by key, so a hot key is few rows where it
+    meets, and both are dealt into parts that grow with the table, so no task's counts do."""
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(16)))
+    some = dealt(salted, most, *keys, "_salt").groupBy(*keys, "_salt").agg(F.count("*").alias("n"))
+    return dealt(some, most, *keys).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
 def violations(tables: dict[str, DataFrame], rules: Sequence[Rule], identity: dict[str, list[str]]) -> DataFrame:
     """rule, table, row (its identity as JSON; of a repeated key the key) and n (1, or how often a key is there): every row
     that breaks a rule. identity: of each table the columns that name a row.
 
-    All rules of one row are one scan of a table. Uniqueness is a count by key, pre-aggregated in tasks, so a key
-    that all rows share is a row a task. A foreign key is counted by value first, so a hot value meets the other table
+    All rules of one row are one scan of a table. Uniqueness is a count by key, of parts of each key first, so a key
+    that all rows share is a row a part. A foreign key is counted by value first, so a hot value meets the other table
     once, then an anti join on the other's different keys, which Spark broadcasts only where its size is known to be small.
     An empty table breaks nothing; a rule of a table that isn't there is an error."""
     if missing := sorted({x for r in rules for x in (r.table, r.other) if x} - set(tables)):
         raise ValueError(f"no such table: {', '.join(missing)}")
+    met = {x for r in rules if r.kind in ("unique", "foreign") for x in (r.table, r.other) if x}
+    sizes = {name: tables[name].count() for name in sorted(met)}
     parts = []
     for name, rows in tables.items():
         mine = [r for r in rules if r.table == name]
@@ -74,12 +84,13 @@ def violations(tables: dict[str, DataFrame], rules: Sequence[Rule], identity: di
         for r in [x for x in mine if x.kind == "unique"]:
             some = rows.filter(r.where) if r.where else rows
             some = some.dropna(subset=list(r.columns))
-            twice = some.groupBy(*r.columns).agg(F.count("*").alias("n")).filter("n > 1")
+            twice = _counted(some.select(*r.columns), sizes[name], r.columns).filter("n > 1")
             parts.append(twice.select(F.lit(r.name).alias("rule"), F.lit(name).alias("table"), _key(r.columns).alias("row"), "n"))
         for r in [x for x in mine if x.kind == "foreign"]:
             some = (rows.filter(r.where) if r.where else rows).dropna(subset=list(r.columns))
-            values = some.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(r.columns)]).agg(F.count("*").alias("n"))
-            known = tables[r.other].select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(r.to)]).distinct()
+            keys = [f"_k{i}" for i in range(len(r.columns))]
+            values = _counted(some.select(*[F.col(c).alias(k) for c, k in zip(r.columns, keys, strict=True)]), sizes[name], keys)
+            known = _counted(tables[r.other].select(*[F.col(c).alias(k) for c, k in zip(r.to, keys, strict=True)]), sizes[r.other], keys).drop("n")
             lost = values.join(known, [f"_k{i}" for i in range(len(r.to))], "left_anti")
             key = F.to_json(F.struct(*[F.col(f"_k{i}").alias(f"k{i}") for i in range(len(r.columns))]))
             parts.append(lost.select(F.lit(r.name).alias("rule"), F.lit(name).alias("table"), key.alias("row"), "n"))
