@@ -257,44 +257,64 @@ def trade_plan(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, part
     return nodes, edges, orphans
 
 
+#: Keys of another table up to which a plan's rows stay where they are for the join with them.
+SPREAD_KEYS = 100_000
+
+
 def counted_plan(tables: dict[str, DataFrame], nodes: dict[str, tuple[str, str]], edges: dict[str, tuple[str, str, str, str, str]], orphans: dict[str, tuple[str, str, str]]) -> DataFrame:
     """kind, label, n of a graph plan by declaration: nodes label -> (table, key); edges label -> (table, source column, its node,
     target column, its node), each pair once and only between nodes that exist; orphans label -> (node, edge, src or dst): nodes
     that are no such end of the edge. Null keys are no nodes.
 
-    Each table is scanned once: its nodes, edges and the nodes that these meet are distinct counts of one aggregation, and an orphan
-    count is a difference of two of them. Whether a node of another table exists is a join with its keys."""
+    Each table is scanned once: its nodes, edges and the nodes that these meet are rows of one table of which each stays once, dealt
+    into parts that grow with it, and an orphan count is a difference of two counts of them. Whether a node of another table exists is a join with its keys."""
     signed = []
     for table in tables:
-        rows, seen = tables[table], {}
         mine = {label: e for label, e in edges.items() if e[0] == table}
+        columns = {c for _, src, _, dst, _ in mine.values() for c in (src, dst)} | {key for t, key in nodes.values() if t == table}
+        if not columns:
+            continue
+        rows, seen = tables[table].select(*sorted(columns)), {}
         for _, src, a, dst, b in mine.values():
             for column, node in ((src, a), (dst, b)):
                 if (column, node) not in seen:
                     seen[column, node] = F.col(column).isNotNull()
                     if nodes[node] != (table, column):
                         flag, other = f"_{node}_{column}", tables[nodes[node][0]]
-                        known = other.select(F.col(nodes[node][1]).alias(f"_k{flag}")).dropna().distinct().withColumn(flag, F.lit(True))
+                        size = other.count()
+                        known = dealt(other.select(F.col(nodes[node][1]).alias(f"_k{flag}")).dropna(), size, f"_k{flag}").distinct().withColumn(flag, F.lit(True))
+                        if size > SPREAD_KEYS:  # fewer keys go to the rows
+                            rows = dealt(rows, tables[table].count(), column)
                         rows = rows.join(known, F.col(column) == F.col(f"_k{flag}"), "left")
                         seen[column, node] = F.col(flag)
-        counts = {("node", label): F.count_distinct(key) for label, (t, key) in nodes.items() if t == table}
+        counts = {("node", label): (F.col(key),) for label, (t, key) in nodes.items() if t == table}
         for label, (_, src, a, dst, b) in mine.items():
             there = seen[src, a] & seen[dst, b]
-            counts["edge", label] = F.count_distinct(F.when(there, F.col(src)), F.when(there, F.col(dst)))
+            counts["edge", label] = (F.when(there, F.col(src)), F.when(there, F.col(dst)))
             for end, column in (("src", src), ("dst", dst)):
                 if any(x[1:] == (label, end) for x in orphans.values()):
-                    counts[end, label] = F.count_distinct(F.when(there, F.col(column)))
+                    counts[end, label] = (F.when(there, F.col(column)),)
         if not counts:
             continue
+        # what is counted is told apart by its place, so one pass over the rows leaves each value once, and counts are of rows
+        kinds = {k for _, k in rows.select(*[c.alias(f"c{i}") for i, c in enumerate(sum(counts.values(), ()))]).dtypes}
+        kind = kinds.pop() if len(kinds) == 1 else "string"
+        values = [F.struct(F.lit(i).alias("i"), *[(ends[j] if j < len(ends) else F.lit(None)).cast(kind).alias(f"v{j}") for j in range(2)]) for i, ends in enumerate(counts.values())]
+        each = rows.select(F.explode(F.array(*values)).alias("x")).select("x.*").filter("v0 is not null")
+        pair = [i for i, ends in enumerate(counts.values()) if len(ends) == 2]
+        each = each.filter(F.col("v1").isNotNull() | ~F.col("i").isin(pair)).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(16)))
+        most = len(counts) * tables[table].count()
+        once = dealt(each, most, "i", "v0", "v1", "_salt").distinct().drop("_salt")
+        once = dealt(once, most, "i", "v0", "v1").distinct()
         told = []
         for i, (kind, label) in enumerate(counts):
-            n = F.col(f"c{i}")
             if kind in ("node", "edge"):
-                told.append((kind, label, n))
-            told += [("orphan", o, n) for o, (node, _, _) in orphans.items() if kind == "node" and node == label]
-            told += [("orphan", o, -n) for o, (_, edge, end) in orphans.items() if (kind, label) == (end, edge)]
-        row = rows.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts.values())])
-        signed.append(row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(x).alias("label"), n.alias("n")) for k, x, n in told])).alias("x")).select("x.*"))
+                told.append((i, kind, label, 1))
+            told += [(i, "orphan", o, 1) for o, (node, _, _) in orphans.items() if kind == "node" and node == label]
+            told += [(i, "orphan", o, -1) for o, (_, edge, end) in orphans.items() if (kind, label) == (end, edge)]
+        signs = once.sparkSession.createDataFrame(told, "i int, kind string, label string, sign int")
+        n = once.groupBy("i").agg(F.count("*").alias("n"))
+        signed.append(F.broadcast(signs).join(n, "i", "left").select("kind", "label", (F.col("sign") * F.coalesce("n", F.lit(0))).alias("n")))
     return reduce(DataFrame.unionByName, signed).groupBy("kind", "label").agg(F.sum("n").alias("n"))
 
 
