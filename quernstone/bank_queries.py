@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quernstone.lineage import dealt
 from quernstone.operators import bank, chunking, content
 from quernstone.registry import query
 from quernstone.variants import variant, variant_sql
@@ -128,7 +129,7 @@ q as (select distinct l_orderkey as set_id, l_linenumber::bigint as number from
 
 def _patches(lineitem):
     patches = lineitem.filter("l_partkey % 3 = 0").select(F.col("l_orderkey").alias("set_id"), (F.col("l_linenumber") + 1).cast("long").alias("number"), variant(ACTIONS, "l_partkey").alias("action"), F.when(F.col("l_suppkey") % 3 == 0, "").otherwise("r").alias("reason"), F.when(F.col("l_partkey") % 4 == 0, "b").otherwise("nothing").alias("value"), F.col("l_extendedprice").alias("at"))
-    questions = lineitem.select(F.col("l_orderkey").alias("set_id"), F.col("l_linenumber").cast("long").alias("number")).distinct()
+    questions = dealt(lineitem.select(F.col("l_orderkey").alias("set_id"), F.col("l_linenumber").cast("long").alias("number")), lineitem.count(), "set_id", "number").distinct()
     return patches, questions.withColumn("options", F.array(F.lit("x"), F.lit("y"), F.lit("v"))).withColumn("answer_key", F.lit("a"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import answers, content_words
-from quernstone.lineage import cut
+from quernstone.lineage import cut, dealt
 
 # Steps: template, example, step, operation, result, description. Examples: template, example, problem, answer.
 
@@ -183,8 +183,9 @@ def patch_faults(patches: DataFrame, questions: DataFrame) -> DataFrame:
     """set_id, number, action, faults of every patch: an unknown action, no reason, no such question, several patches of one
     field, and a new key that names no option."""
     same = F.count("*").over(Window.partitionBy("set_id", "number", "action"))
-    known = questions.select("set_id", "number", F.lit(True).alias("_known"), F.col("options").alias("_options")).dropDuplicates(["set_id", "number"])
-    p = patches.withColumn("_n", same).join(known, ["set_id", "number"], "left")
+    known = questions.select("set_id", "number", F.lit(True).alias("_known"), F.col("options").alias("_options"))
+    known = known.dropDuplicates(["set_id", "number"])
+    p = dealt(patches, patches.count(), "set_id", "number").withColumn("_n", same).join(known, ["set_id", "number"], "left")
     key = answers.option_of_key(F.col("value"), F.col("_options"))
     faults = {
         "unknown_action": ~F.col("action").isin(*PATCH_ACTIONS),
