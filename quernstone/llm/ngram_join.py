@@ -223,34 +223,46 @@ def _tile_rows(keyed: DataFrame, sets: DataFrame, labels: DataFrame, rule: Rule,
     low = F.col("low") if once else F.lit(None).cast("array<long>").alias("low")
     labelled = keyed.join(labels, keyed["doc_id"] == labels["node"], "left").select("key", "n", "doc_id", "first", F.coalesce("component", "doc_id").alias("component"))
     keys = labelled.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).filter(f"low < high and rows > {1 if once else 2}").select("key", "rows")  # two alone have been compared as neighbours
-    left = labelled.join(keys, "key").withColumn("band", rule.band(F.col("n")))
-    contents = _split(sets.select("doc_id", F.coalesce("coarse", "bits").alias("bits"), low), keyed.select("doc_id"))[0]
+    left = cut(labelled.join(keys, "key").withColumn("band", rule.band(F.col("n"))))
+    contents = _split(sets.select("doc_id", F.coalesce("coarse", "bits").alias("bits"), low), left.select("doc_id"))[0]
     names = ["key", "tile", "i", "j", "n", "doc_id", "first", "component", "upper", "block"]
-    small = left.filter(F.col("rows") <= rule.tile_rows).withColumns({"tile": F.lit(-1), "i": F.lit(0), "j": F.lit(0), "upper": F.lit(0), "block": F.lit(0)}).select(*names)
+    rows = left.filter(F.col("rows") <= rule.tile_rows).withColumns({"tile": F.lit(-1), "i": F.lit(0), "j": F.lit(0), "upper": F.lit(0), "block": F.lit(0)}).select(*names)
     large = left.filter(F.col("rows") > rule.tile_rows)
     groups = cut(large.groupBy("key", "band", "component").agg(F.count("*").alias("c")))
+    if groups.take(1):
+        rows = rows.unionByName(_block_rows(large, groups, rule).select(*names))
+    return rows.join(contents, "doc_id").select(*names, "bits", "low")
+
+
+def _block_rows(large: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of keys of more than rule.tile_rows rows, once for each tile of blocks that they stand in.
+
+    The driver plans a query whole and starts all its scans and broadcasts at once, so small
+    tables are cut and the bands met are one join, not a union of plans."""
     own_blocks = F.ceil(F.col("c") / rule.tile_rows).cast("int")
     pure = groups.filter(F.col("c") >= rule.tile_rows).withColumn("own", own_blocks)
-    spans = pure.withColumn("from", (F.sum("own").over(Window.partitionBy("key", "band").orderBy("component")) - F.col("own")).cast("int")).select("key", "band", "component", "from", "own")
+    spans = cut(pure.withColumn("from", (F.sum("own").over(Window.partitionBy("key", "band").orderBy("component")) - F.col("own")).cast("int")).select("key", "band", "component", "from", "own"))
     of_mixed = F.ceil(F.coalesce(F.sum(F.when(F.col("c") < rule.tile_rows, F.col("c"))), F.lit(0)) / rule.tile_rows).cast("int")
     of_pure = F.coalesce(F.sum(F.when(F.col("c") >= rule.tile_rows, own_blocks)), F.lit(0)).cast("int")
-    sizes = groups.groupBy("key", "band").agg(of_pure.alias("pure"), (of_pure + of_mixed).alias("blocks"))
+    sizes = cut(groups.groupBy("key", "band").agg(of_pure.alias("pure"), (of_pure + of_mixed).alias("blocks")))
     part = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
     dealt = large.join(sizes, ["key", "band"]).join(spans, ["key", "band", "component"], "left")
     dealt = dealt.withColumn("block", F.when(F.col("from").isNotNull(), F.col("from") + part(F.col("own"))).otherwise(F.col("pure") + part(F.col("blocks") - F.col("pure"))))
     dealt = dealt.select("key", "band", "n", "doc_id", "first", "component", "block")
 
-    def met(step: int, i, j, tile, upper: int) -> DataFrame:
-        """Rows, once for each block of the band step above their own that holds other components."""
-        there = dealt.join(sizes.select("key", (F.col("band") - step).alias("band"), "blocks"), ["key", "band"]).join(spans.withColumn("band", F.col("band") - step), ["key", "band", "component"], "left")
-        blocks = F.expr("filter(sequence(0, blocks - 1), i -> from is null or i < from or i >= from + own)")
-        return there.withColumn("other", F.explode(blocks)).withColumns({"i": i, "j": j, "tile": tile, "upper": F.lit(upper)}).select(*names)
+    def seen_from(df: DataFrame) -> DataFrame:
+        """df, of bands, for rows of the same band and of the neighbouring ones, which lie step below."""
+        return df.withColumn("step", F.explode(F.array(*map(F.lit, (0, 1, -1))))).withColumn("band", F.col("band") - F.col("step"))
 
-    block, other = F.col("block"), F.col("other")
-    rows = met(0, F.least(block, other), F.greatest(block, other), F.col("band"), 0)
+    # a row, once for each block of the band step above its own that holds other components
+    there = dealt.join(seen_from(sizes.select("key", "band", "blocks")), ["key", "band"]).join(seen_from(spans), ["key", "band", "component", "step"], "left")
+    blocks = F.expr("filter(sequence(0, blocks - 1), i -> from is null or i < from or i >= from + own)")
+    block, other, step = F.col("block"), F.col("other"), F.col("step")
     # a band's rows meet those of the band below in the tiles (block there, own block + 1000000)
-    rows = rows.unionByName(met(1, block, other + 1_000_000, F.col("band"), 0)).unionByName(met(-1, other, block + 1_000_000, F.col("band") - 1, 1))
-    return small.unionByName(rows).join(contents, "doc_id").select(*names, "bits", "low")
+    i = F.when(step == 0, F.least(block, other)).when(step == 1, block).otherwise(other)
+    j = F.when(step == 0, F.greatest(block, other)).when(step == 1, other + 1_000_000).otherwise(block + 1_000_000)
+    tile = F.col("band") - (step == -1).cast("int")
+    return there.withColumn("other", F.explode(blocks)).withColumns({"i": i, "j": j, "tile": tile, "upper": (step == -1).cast("int")})
 
 
 def _tiles(keyed: DataFrame, sets: DataFrame, labels: DataFrame, rule: Rule, best: int | None, once: bool) -> DataFrame:
@@ -349,8 +361,9 @@ def join_ngrams(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id
     if hot is not None:
         late = set(signed(hot).tolist())
         touched = cut(map_batches(of_class.select("doc_id", "keys"), lambda ids, ks: {"doc_id": [i for i, k in zip(ids, ks, strict=True) if not late.isdisjoint(k)]}, "doc_id long").distinct())
-        maybe, others = _split(of_class, touched)
-        of_class = others.unionByName(maybe.join(touched, "doc_id", "left_anti").select(*sets.columns)).unionByName(_sketch(_texts_of(known, touched), rule, hot))
+        maybe, unique = _split(sets, copies.select("doc_id").union(touched))  # of sets: a split of of_class would plan its branches twice
+        kept = maybe.join(copies, ["doc_id", "digest"], "left_anti").join(touched, "doc_id", "left_anti").select(*sets.columns)
+        of_class = unique.unionByName(kept).unionByName(_sketch(_texts_of(known, touched), rule, hot))
     repeated = cut(sets.groupBy("doc_id").agg(F.count("*").alias("rows"), (F.min("digest") != F.max("digest")).alias("several")).filter("rows > 1").select("doc_id", "several"))
     links = None
     if repeated.take(1):  # rows of equal doc_id: equal ones once, and links between different ones
